@@ -95,8 +95,9 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(n, 2 * len(up), 4096)
         inverse = pow(base, -1, 1 << 64)
         with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate([[1], np.full(size - 1, base, np.uint64)]).astype(np.uint64))
-            down = np.cumprod(np.concatenate([[1], np.full(size - 1, inverse, np.uint64)]).astype(np.uint64))
+            one = np.ones(1, np.uint64)
+            up = np.cumprod(np.concatenate([one, np.full(size - 1, base, np.uint64)]))
+            down = np.cumprod(np.concatenate([one, np.full(size - 1, inverse, np.uint64)]))
         _powers[base] = (up, down)
     return up, down
 

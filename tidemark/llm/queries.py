@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import pii, quality_gbt, quality_rules_ensemble, url_filters
+from tidemark.llm import gif, pii, quality_gbt, quality_rules_ensemble, substring_dedup, url_filters
 
 #: Fixed rules of the URL query: host, path, verdict.
 URL_RULES = (
@@ -39,6 +39,14 @@ def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 with u as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
@@ -57,14 +65,37 @@ select h.page_id, coalesce(h.host, '') as host, coalesce(h.path, '') as path, be
 from h left join best on h.page_id = best.page_id
 """
 
+OP10_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents
+), s as (
+  select r, unnest(range(1, greatest(len(w) - 34, 0) + 1)) as i, w from d
+), g as (
+  select r, i, md5(array_to_string(w[i:i + 34], ' ')) as h from s
+), rep as (
+  select r, i from g qualify count(*) over (partition by h) > 1
+), gone as (
+  select distinct r, unnest(range(i, i + 35)) as i from rep
+), kept as (
+  select d.r, list(x.word order by x.i) filter (gone.r is null) as k, count(gone.r) as n_removed
+  from d, unnest(d.w) with ordinality as x(word, i) left join gone on gone.r = d.r and gone.i = x.i
+  group by d.r
+)
+select d.doc_id, len(d.w) as n_words, coalesce(kept.n_removed, 0) as n_removed,
+       sha256(coalesce(array_to_string(kept.k, ' '), '')) as kept_sha256
+from d left join kept on kept.r = d.r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rule_ensemble": op1_quality_rule_ensemble,
     "op3_quality_gbt": op3_quality_gbt,
     "op6_url_filters": op6_url_filters,
+    "op8_gif_media": op8_gif_media,
     "op9_pii_anchors": op9_pii_anchors,
+    "op10_substring_dedup": op10_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op10_substring_dedup": OP10_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
