@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import gif, pii, quality_gbt, quality_rules_ensemble, substring_dedup, url_filters
+from tidemark.llm import gif, mixing, packing, pii, quality_gbt, quality_rules_ensemble, substring_dedup, url_filters, warc
 
 #: Fixed rules of the URL query: host, path, verdict.
 URL_RULES = (
@@ -39,6 +39,18 @@ def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_order(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -88,6 +100,9 @@ from d left join kept on kept.r = d.r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rule_ensemble": op1_quality_rule_ensemble,
+    "op2_length_buckets": op2_length_buckets,
+    "op4_pfair_mixing": op4_pfair_mixing,
+    "op7_warc_dictionary": op7_warc_dictionary,
     "op3_quality_gbt": op3_quality_gbt,
     "op6_url_filters": op6_url_filters,
     "op8_gif_media": op8_gif_media,
