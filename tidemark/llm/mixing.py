@@ -67,13 +67,27 @@ def period_schedule(share: DataFrame, period: int) -> DataFrame:
 def mixed_order(
     docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", period: int = 1000, block: int = 20
 ) -> DataFrame:
-    """One row per document: id, source, block number, slot, mix_rank (unique, ascending in the mixed order).
+    """One row per document: id, source, block number, slot, mix_rank (unique, ascending in the mixed order)."""
+    rows = _ranked(docs.select(F.col(id_col), F.col(source_col)), weights, id_col, source_col, period, block)
+    return rows.select(F.col(id_col), F.col(source_col), "block", "slot", "mix_rank")
+
+
+def mixed_rows(
+    docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", period: int = 1000, block: int = 20
+) -> DataFrame:
+    """The rows of ``docs`` with all their columns, sorted by the mixed order."""
+    rows = docs.select(F.col(id_col), F.col(source_col), F.struct(*docs.columns).alias("_doc"))
+    return _ranked(rows, weights, id_col, source_col, period, block).orderBy("mix_rank").select("_doc.*")
+
+
+def _ranked(docs: DataFrame, weights: DataFrame | None, id_col: str, source_col: str, period: int, block: int) -> DataFrame:
+    """``docs`` and block, slot and mix_rank.
 
     ``weights`` is (source, weight: long); sources it leaves out weigh 1.  By default a source weighs the
     square root of its number of documents, in thousandths.  At most ``period`` sources can be mixed.
     """
     key = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
-    base = docs.select(F.col(id_col), F.col(source_col), key.alias("source_key"))
+    base = docs.withColumn("source_key", key)
     found = base.groupBy("source_key").agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
         sources = found.select("source_key", F.greatest(F.round(F.sqrt("_n") * 1000).cast("long"), F.lit(1)).alias("weight"))
@@ -87,4 +101,4 @@ def mixed_order(
     rows = rows.withColumn("block", F.floor(F.col("_row") / block).cast("long")).withColumn("nth", F.col("block") % F.col("b"))
     rows = rows.join(F.broadcast(schedule.drop("b")), ["source_key", "nth"])
     slot = F.expr(f"(block div b) * {int(period)} + slot")
-    return rows.select(F.col(id_col), F.col(source_col), "block", slot.alias("slot"), (slot * block + F.col("_row") % block).alias("mix_rank"))
+    return rows.withColumns({"slot": slot, "mix_rank": slot * block + F.col("_row") % block})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import gif, mixing, packing, pii, quality_gbt, quality_rules_ensemble, substring_dedup, url_filters, warc
+from tidemark.llm import gif, jaccard_join, mixing, packing, pii, quality_gbt, quality_rules_ensemble, substring_dedup, url_filters, warc
 
 #: Fixed rules of the URL query: host, path, verdict.
 URL_RULES = (
@@ -51,6 +51,10 @@ def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -98,10 +102,32 @@ select d.doc_id, len(d.w) as n_words, coalesce(kept.n_removed, 0) as n_removed,
 from d left join kept on kept.r = d.r
 """
 
+OP5_SQL = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w
+  from documents
+), s as (
+  select distinct r, array_to_string(w[i:i + 4], ' ') as g from (select r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)
+), n as (
+  select r, count(*) as n from s group by r
+), pairs as (
+  select a.r as x, b.r as y, count(*) as c from s a join s b on a.g = b.g and a.r <> b.r group by all
+), links as (
+  select x, y from pairs join n nx on nx.r = x join n ny on ny.r = y where 100 * c >= 75 * (nx.n + ny.n - c)
+), reach(x, y) as (
+  select r, r from d union select reach.x, links.y from reach join links on links.x = reach.y
+), comp as (
+  select reach.x, min(e.doc_id) as component_id from reach join d e on e.r = reach.y group by reach.x
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, comp.component_id from d left join n on n.r = d.r join comp on comp.x = d.r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rule_ensemble": op1_quality_rule_ensemble,
     "op2_length_buckets": op2_length_buckets,
     "op4_pfair_mixing": op4_pfair_mixing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_warc_dictionary": op7_warc_dictionary,
     "op3_quality_gbt": op3_quality_gbt,
     "op6_url_filters": op6_url_filters,
@@ -111,6 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op6_url_filters": OP6_SQL, "op10_substring_dedup": OP10_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
