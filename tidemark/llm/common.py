@@ -40,11 +40,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage with files that outlive any executor, keeps columns prunable and computes Python
     stages once however often the result is used.
     """
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{label}-{uuid.uuid4().hex}"
+    return _stored(df, f"{shared_dir(df.sparkSession)}/tidemark/{label}-{uuid.uuid4().hex}")
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one run in one folder of the shared folder, removed when the block ends."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.n = spark, f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return _stored(df, f"{self.folder}/{self.n:03d}-{name}")
+
+    def __exit__(self, *_) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the fold no label is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
