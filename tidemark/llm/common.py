@@ -78,7 +78,8 @@ def numbered(df: DataFrame, group: str, key: str, out: str, rows_per_task: int =
     A row's md5 orders it; the leading hex digits cut a group into slices whose sizes are counted
     first, so a row's number is its slice's offset plus its place in the slice.  The digits used only
     set the slices' size: the numbers are the same for any ``rows_per_task``.  Null keys come first,
-    equal keys take neighbouring numbers in no stated order.
+    equal keys take neighbouring numbers in no stated order.  ``group`` holds no nulls, so the join by
+    equality finds the rows where the window has put them.
     """
     total = df.count()
     digits = 0
@@ -96,7 +97,7 @@ def numbered(df: DataFrame, group: str, key: str, out: str, rows_per_task: int =
     place = F.row_number().over(Window.partitionBy(group, "_slice").orderBy("_order", key)) - 1
     return (
         df.withColumn("_place", place)
-        .join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_slice") == F.col("_s")), "left")
+        .join(offsets, (F.col(group) == F.col("_g")) & (F.col("_slice") == F.col("_s")), "left")
         .withColumn(out, (F.col("_offset") + F.col("_place")).cast("long"))
         .drop("_order", "_slice", "_place", "_offset", "_g", "_s")
     )

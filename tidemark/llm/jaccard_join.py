@@ -46,7 +46,9 @@ from tidemark.llm.common import Scratch, mixed, window_hashes, word_hashes, writ
 from tidemark.llm.components import components
 
 #: Shingles a task counts together; one that so many of their points hold is frequent there, and so many frequent ones at most are put last.
-COUNTED, FREQUENT_LEAST, MAX_FREQUENT = 4_000_000, 2, 262_144
+COUNTED, FREQUENT_LEAST, MAX_FREQUENT = 2_000_000, 2, 262_144
+#: Region rows a task hands over at a time.
+HANDED = 250_000
 #: Longs of the short sketch that join conditions compare.
 LONGS = 8
 #: Cells of a region that serve as pivots in one round.
@@ -162,7 +164,7 @@ def region_rows(keyed: DataFrame, k: int, percent: int, frequent: np.ndarray) ->
                 ids.append(np.full(m, sid, np.int64))
                 at.append(np.arange(m, dtype=np.int32))
                 size += m
-                if size >= COUNTED:
+                if size >= HANDED:
                     yield rows(hs, ids, at, often)
                     hs, ids, often, at, size = [], [], [], [], 0
             if hs:

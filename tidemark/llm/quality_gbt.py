@@ -13,12 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-from tidemark.llm.text_stats import FEATURES, feature_columns, with_counts
+from tidemark.llm.text_stats import FEATURES, feature_columns, feature_matrix, with_counts
 from tidemark.llm.training import MAX_LABELLED, labelled_sample
 from tidemark.llm.trees import Tree, boost
 
@@ -61,6 +62,28 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3) -> Forest
     return Forest(*boost(x, y, trees, depth, rate=0.3, monotone=[-1 if f in FALLING else 0 for f in FEATURES]))
 
 
+def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that quality_verdicts keeps.
+
+    Texts are judged where they are read, in a second pass over them, so no text is shuffled.
+    """
+    forest = fit(*labelled_sample(written(with_counts(docs, id_col, text_col), "op3-stats"), labels, id_col, limit=limit))
+
+    @F.pandas_udf("boolean")
+    def keeps(texts: pd.Series) -> pd.Series:
+        parts = [np.zeros(0, bool)]
+        for lo in range(0, len(texts), 1024):
+            c, x = feature_matrix(texts.iloc[lo : lo + 1024])
+            parts.append(~base_failed(c["n_words"], c["n_repeat_words"]) & (forest.score(x) >= threshold))
+        return pd.Series(np.concatenate(parts))
+
+    return docs.where(keeps(F.col(text_col).cast("string")))
+
+
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED, threshold: float = 0.5) -> DataFrame:
     """One row per document: id, the base counts, base_failed, score, kept.
 
@@ -77,7 +100,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             n = b.num_rows
             x = np.stack([b.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], axis=1) if n else np.zeros((0, len(FEATURES)))
             counts = {c: b.column(c).to_numpy(zero_copy_only=False) for c in BASE}
-            failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
+            failed = base_failed(counts["n_words"], counts["n_repeat_words"])
             score = forest.score(x)
             yield pa.RecordBatch.from_arrays(
                 [b.column(id_col), *(b.column(c) for c in BASE), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))],

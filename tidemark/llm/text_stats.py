@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,21 +82,34 @@ def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def feature_columns() -> dict[str, Column]:
-    """FEATURES as Spark expressions over COUNTS; texts without words give defined values."""
-    n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+def _ratios(c: dict, log1p: Callable, some: Callable) -> dict:
+    """FEATURES from COUNTS, as Spark expressions or as arrays; texts without words give defined values."""
+    n, chars, lines = some(c["n_words"]), some(c["word_chars"]), some(c["n_lines"])
     return {
-        "log_words": F.log1p("n_words"),
-        "mean_word": F.col("word_chars") / n,
-        "symbol_share": F.col("n_symbols") / chars,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "repeat_share": F.col("n_repeat_words") / n,
-        "line_words": F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "upper_share": F.col("n_upper") / chars,
-        "digit_share": F.col("n_digits") / chars,
-        "stop_share": F.col("n_stops") / n,
-        "bang_share": F.col("n_bangs") / n,
-        "pipe_share": F.col("n_pipes") / n,
-        "distinct_share": F.col("n_distinct") / n,
-        "same_next_share": F.col("n_same_next") / n,
+        "log_words": log1p(c["n_words"]),
+        "mean_word": c["word_chars"] / n,
+        "symbol_share": c["n_symbols"] / chars,
+        "dup_line_share": c["n_dup_lines"] / lines,
+        "repeat_share": c["n_repeat_words"] / n,
+        "line_words": c["n_words"] / lines,
+        "upper_share": c["n_upper"] / chars,
+        "digit_share": c["n_digits"] / chars,
+        "stop_share": c["n_stops"] / n,
+        "bang_share": c["n_bangs"] / n,
+        "pipe_share": c["n_pipes"] / n,
+        "distinct_share": c["n_distinct"] / n,
+        "same_next_share": c["n_same_next"] / n,
     }
+
+
+def feature_columns() -> dict[str, Column]:
+    """FEATURES as Spark expressions over COUNTS."""
+    return _ratios({c: F.col(c) for c in COUNTS}, F.log1p, lambda x: F.greatest(x, F.lit(1)))
+
+
+def feature_matrix(texts: Iterable[str | None]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The counts of texts by name, and their FEATURES as the columns of a matrix."""
+    rows = np.array([counts(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
+    c = {name: rows[:, j] for j, name in enumerate(COUNTS)}
+    found = _ratios(c, np.log1p, lambda x: np.maximum(x, 1))
+    return c, np.stack([found[f] for f in FEATURES], axis=1)
