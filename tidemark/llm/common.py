@@ -72,6 +72,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def md5_sample(df: DataFrame, id_col: str, limit: int, total: int) -> DataFrame:
+    """At most ``limit`` rows of ``df``: those whose id has the smallest md5.
+
+    ``total`` is about the number of rows; a cut at its share of all md5 values comes first, so tasks hand over
+    about 1.5 times ``limit`` rows together, whatever their number.  A null id has the smallest value.
+    """
+    key = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("0" * 32))
+    share = min(1.0, (1.5 * limit + 100) / max(total, 1))
+    below = F.conv(F.substring(key, 1, 8), 16, 10).cast("long") < int(share * 2**32)
+    return df.where(below).withColumn("_k", key).orderBy("_k").limit(limit).drop("_k")
+
+
 def numbered(df: DataFrame, group: str, key: str, out: str, rows_per_task: int = 100_000) -> DataFrame:
     """Number the rows of each group from 0 by md5 of ``key`` without gathering a group in one task.
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out
+from tidemark.llm.common import held_out, md5_sample, written
 from tidemark.llm.text_stats import FEATURES, feature_columns
 
 #: Most labelled documents a model is fitted on: the ones whose id has the smallest md5.
@@ -24,13 +24,8 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, id_col="doc_id", label_
         .groupBy(F.col(id_col).alias("_id"))
         .agg((F.avg(label_col) >= 0.5).cast("int").alias("_y"))
     )
-    known = stats.dropDuplicates([id_col]) if limit else stats
-    rows = (
-        known.join(y, F.col(id_col) == F.col("_id"))
-        .select(F.md5(F.col("_id").cast("string").cast("binary")).alias("_k"), "_y", *(c.alias(k) for k, c in feature_columns().items()))
-        .orderBy("_k")
-        .limit(limit)
-        .drop("_k")
-        .toPandas()
-    )
+    y = written(y, "labels")
+    known = stats.dropDuplicates([id_col]).join(y, F.col(id_col) == F.col("_id"))
+    known = known.select("_id", "_y", *(c.alias(k) for k, c in feature_columns().items()))
+    rows = md5_sample(known, "_id", limit, y.count()).toPandas()
     return rows[list(FEATURES)].to_numpy(np.float64), rows["_y"].to_numpy(np.float64)

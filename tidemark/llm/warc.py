@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import md5_sample, written
 
 #: The skippable frame's magic number for dictionaries and the record date and profile.
 SKIPPABLE = 0x184D2A5D
@@ -136,13 +136,8 @@ def write_archives(
     owners = written(owners, "op7-owners")
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     records = base.join(owners, F.col("sha") == F.col("_sha"), "left").select("page_id", "url", "payload", F.when(revisit, F.col("owner")).alias("refers_to"))
-    taken = (
-        base.where(F.octet_length("payload").between(64, 65_536))
-        .select("payload", F.md5(F.col("page_id").cast("string").cast("binary")).alias("_k"))
-        .orderBy("_k")
-        .limit(sample)
-        .select("payload")
-    )
+    fitting = base.where(F.octet_length("payload").between(64, 65_536))
+    taken = md5_sample(fitting.select("page_id", "payload"), "page_id", sample, fitting.count())
     dictionary = train([bytes(r.payload) for r in taken.collect()])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
