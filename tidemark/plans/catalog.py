@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import algebra, ordered, relational, text
+from tidemark.plans import algebra, ordered, relational, stateful, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (algebra, ordered, text, relational):
+for part in (algebra, ordered, text, stateful, relational):
     QUERIES |= {name: query for name, (query, _) in part.ALL.items()}
     ORACLE_SQL |= {name: sql for name, (_, sql) in part.ALL.items() if sql}
