@@ -40,8 +40,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bucket, batch and place of every document."""
-    return packing.packed(docs)
+    """The bucket, batch and place of every document; a bucket's batches are filled in the mixed order."""
+    return packing.packed(docs, in_order=True)
 
 
 STAGES = [

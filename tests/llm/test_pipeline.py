@@ -4,7 +4,8 @@ import corpus_pipeline
 from tests.conftest import TINY
 from tests.llm.data import documents, frame, labels
 from tests.llm.test_documents import result, slow_components
-from tidemark.llm import pii
+from tidemark.llm import mixing, pii
+from tidemark.llm.common import numbered_in_order, with_position, written
 
 
 def test_stages(spark, tmp_path):
@@ -35,3 +36,28 @@ def test_run(spark):
     ids = [r.doc_id for r in out.collect()]
     assert 0 < len(ids) == len(set(ids)) < spark.read.parquet(f"{TINY}/documents.parquet").count()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "PII", "mixing sources to target weights", "packing"]
+
+
+def test_batches_follow_the_mixed_order(spark, tmp_path):
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), "en", "ab"[i >= 200], 1, 1, "h", "s", "b") for i in range(300)]
+    docs = frame(spark, rows)
+    rank = {r.doc_id: r.mix_rank for r in mixing.mixed_order(docs).collect()}
+    at = [name for name, _ in corpus_pipeline.STAGES].index("PII")
+    for _, stage in corpus_pipeline.STAGES[at:]:
+        docs = written(stage(spark, docs, str(tmp_path)), "test-stage")
+    buckets = {}
+    for r in docs.collect():
+        buckets.setdefault(r.bucket, []).append((r.batch, r.place, rank[r.doc_id]))
+    assert len(buckets) == 8 and sum(map(len, buckets.values())) == len(rows)
+    for found in buckets.values():
+        ranks = [r for _, _, r in sorted(found)]
+        assert ranks == sorted(ranks)
+
+
+def test_numbers_in_written_order(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr("999 - id as id", "id % 3 as g").orderBy("id")
+    for rows_per_task in (100_000, 9):
+        out = numbered_in_order(with_position(written(df, "test-order")), "g", "n", rows_per_task=rows_per_task).collect()
+        for g in range(3):
+            assert [r.id for r in sorted((r for r in out if r.g == g), key=lambda r: r.n)] == sorted(r.id for r in out if r.g == g)
+            assert sorted(r.n for r in out if r.g == g) == list(range(sum(r.g == g for r in out)))

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,6 +85,27 @@ def md5_sample(df: DataFrame, id_col: str, limit: int, total: int) -> DataFrame:
     return df.where(below).withColumn("_k", key).orderBy("_k").limit(limit).drop("_k")
 
 
+def with_position(df: DataFrame) -> DataFrame:
+    """``df`` and where its rows stand: _file and _at, which ascend in the order the rows were written.
+
+    Rows read from files stand by file name and row index, however Spark cuts and deals the files; the part
+    files of one write are named in order.  Rows that come from no file stand by partition.
+    """
+    try:
+        return df.withColumns({"_file": F.col("_metadata.file_name"), "_at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return df.withColumns({"_file": F.lit(""), "_at": F.monotonically_increasing_id()})
+
+
+def numbered_in_order(df: DataFrame, group: str, out: str, rows_per_task: int = 100_000) -> DataFrame:
+    """Number the rows of each group from 0 by _file and _at (see ``with_position``), in slices of neighbours.
+
+    ``group``, _file and _at hold no nulls.
+    """
+    df = df.withColumn("_slice", F.struct("_file", F.floor(F.col("_at") / rows_per_task).alias("at")))
+    return _placed(df, group, ["_at"], out).drop("_file", "_at")
+
+
 def numbered(df: DataFrame, group: str, key: str, out: str, rows_per_task: int = 100_000) -> DataFrame:
     """Number the rows of each group from 0 by md5 of ``key`` without gathering a group in one task.
 
@@ -99,6 +121,11 @@ def numbered(df: DataFrame, group: str, key: str, out: str, rows_per_task: int =
         digits += 1
     df = df.withColumn("_order", F.coalesce(F.md5(F.col(key).cast("string").cast("binary")), F.lit("")))
     df = df.withColumn("_slice", F.substring("_order", 1, digits) if digits else F.lit(""))
+    return _placed(df, group, ["_order", key], out).drop("_order")
+
+
+def _placed(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """Number each group's rows from 0 by _slice, then by ``order`` inside a slice."""
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         df.groupBy(group, "_slice")
@@ -106,12 +133,12 @@ def numbered(df: DataFrame, group: str, key: str, out: str, rows_per_task: int =
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .select(F.col(group).alias("_g"), F.col("_slice").alias("_s"), "_offset")
     )
-    place = F.row_number().over(Window.partitionBy(group, "_slice").orderBy("_order", key)) - 1
+    place = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(*order)) - 1
     return (
         df.withColumn("_place", place)
         .join(offsets, (F.col(group) == F.col("_g")) & (F.col("_slice") == F.col("_s")), "left")
         .withColumn(out, (F.col("_offset") + F.col("_place")).cast("long"))
-        .drop("_order", "_slice", "_place", "_offset", "_g", "_s")
+        .drop("_slice", "_place", "_offset", "_g", "_s")
     )
 
 

@@ -6,7 +6,8 @@ allows at that limit, one at least; a document longer than the budget has a batc
 
 The histogram is exact up to ``exact`` tokens and has ``exact / 2`` cells an octave above, each standing for
 its largest length, so its size depends on the longest document's logarithm alone; within that the limits are
-optimal.  Documents are numbered inside a bucket by md5 of their id, in slices, so no bucket meets in one task.
+optimal.  Documents are numbered inside a bucket by md5 of their id, or in the order they were written in, in slices,
+so no bucket meets in one task.
 Null and empty texts have 0 tokens and are packed like any other.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import numbered, words, written
+from tidemark.llm.common import numbered, numbered_in_order, with_position, words, written
 
 
 def optimal_limits(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarray, buckets: int) -> list[int]:
@@ -66,8 +67,8 @@ def optimal_limits(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarray,
     return sorted(limits)
 
 
-def token_counts(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None) -> DataFrame:
-    """id and n_tokens of every whole text: words, or ids of the tokenizer file at the path ``tokenizer``."""
+def token_counts(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, others: tuple[str, ...] = ()) -> DataFrame:
+    """id, ``others`` and n_tokens of every whole text: words, or ids of the tokenizer file at the path ``tokenizer``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
@@ -82,18 +83,23 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | N
                 n = [len(e.ids) for lo in range(0, len(texts), 64) for e in encode.encode_batch(texts[lo : lo + 64], add_special_tokens=False)]
             else:
                 n = [len(words(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(n, pa.int64())], names=[id_col, *others, "n_tokens"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (id_col, *others))
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), *others).mapInArrow(run, f"{kinds}n_tokens long")
 
 
 def packed(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536, tokenizer: str | None = None, exact: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536, tokenizer: str | None = None, exact: int = 1024,
+    in_order: bool = False,
 ) -> DataFrame:
     """One row per document: id, n_tokens, bucket (from 0, by length), bucket_limit, batch (from 0 in its bucket),
-    place (from 0 in its batch), padding."""
-    counts = written(token_counts(docs, id_col, text_col, tokenizer), "packing-counts")
+    place (from 0 in its batch), padding.
+
+    Batches of a bucket are filled by md5 of the ids; with ``in_order`` in the order ``docs`` was written in.
+    """
+    places = ("_file", "_at") if in_order else ()
+    counts = written(token_counts(with_position(docs) if in_order else docs, id_col, text_col, tokenizer, places), "packing-counts")
     octave = F.greatest(F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))) - int(np.log2(exact)) + 1, F.lit(0))
     step = F.when(F.col("n_tokens") <= exact, F.lit(1).cast("long")).otherwise(F.expr("1L") * F.pow(F.lit(2.0), octave).cast("long"))
     cell = F.ceil(F.col("n_tokens") / step) * step
@@ -105,7 +111,8 @@ def packed(
     for limit in limits[:-1]:
         bucket = bucket + (F.col("n_tokens") > limit).cast("int")
     table = F.array(*(F.lit(x).cast("long") for x in limits)) if limits else F.array(F.lit(0).cast("long"))
-    placed = numbered(counts.drop("_cell").withColumn("bucket", bucket), "bucket", id_col, "_row")
+    counts = counts.drop("_cell").withColumn("bucket", bucket)
+    placed = numbered_in_order(counts, "bucket", "_row") if in_order else numbered(counts, "bucket", id_col, "_row")
     limit = F.element_at(table, F.col("bucket") + 1)
     room = F.greatest(F.floor(F.lit(budget) / F.greatest(limit, F.lit(1))), F.lit(1))
     return placed.select(
