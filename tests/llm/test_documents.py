@@ -154,6 +154,32 @@ def test_mixing_keeps_every_row(spark):
     assert rows.columns == frame(spark).columns and rows.count() == len(out)
 
 
+def test_mixing_follows_the_exact_weights_over_many_periods(spark):
+    weight = {"a": 12_345, "b": 50_001, "c": 37_600, "d": 54}
+    total = sum(weight.values())
+    has = {"a": 500, "b": 2000, "c": 1500, "d": 3}
+    rows = [(i, k) for i, k in enumerate(k for k in has for _ in range(has[k]))]
+    docs, weights = spark.createDataFrame(rows, "doc_id long, source string"), spark.createDataFrame(list(weight.items()), "source string, weight long")
+    out = mixing.mixed_order(docs, weights, period=50, block=1).collect()
+    slots = sorted((r.slot, r.source, r.block) for r in out)
+    assert len({t for t, _, _ in slots}) == len(rows) and max(t for t, _, _ in slots) > 50 * 70
+    for t, k, n in slots:
+        assert n * total // weight[k] <= t < -(-(n + 1) * total // weight[k])
+    at, done = dict((t, k) for t, k, _ in slots), dict.fromkeys(has, 0)
+    for t in range(3900):
+        if t in at:
+            done[at[t]] += 1
+        assert all(done[k] == has[k] or abs(done[k] * total - (t + 1) * weight[k]) < total for k in has)
+    assert result(mixing.mixed_order(docs, weights, period=1000, block=1)) == sorted(map(tuple, out), key=repr)
+
+
+def test_more_sources_than_slots(spark):
+    docs = spark.range(240).selectExpr("id as doc_id", "concat('s', id % 80) as source")
+    out = mixing.mixed_order(docs, period=50, block=2).collect()
+    assert sorted(r.doc_id for r in out) == list(range(240)) and len({r.mix_rank for r in out}) == 240 and None not in {r.mix_rank for r in out}
+    assert all(r.block * 80 <= r.slot < (r.block + 1) * 80 for r in out)
+
+
 # ---- copies --------------------------------------------------------------------------------------
 
 

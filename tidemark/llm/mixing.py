@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-A source's documents, in the order of their ids' md5, are cut into blocks.  Weights are shares of a period
-of ``period`` slots: a source with b of them releases its k-th block (from 0) at floor(k * period / b) and
-must have run it by ceil((k + 1) * period / b).  Earliest deadline first (ties: the source's name) fills one
-slot after the other with a released block.  As the shares add up to the period this meets all deadlines,
-so before any slot each source is less than one block away from its weight's share.
-
-The schedule repeats after a period, so only the period is scheduled, by a fold over its slots; every block
-finds its slot from its number.  Nothing is dropped: when a source runs out its slots stay empty, and the
-others go on as before.  A null source is a source of its own.  Repeated ids keep a row each.
+A source's documents, in the order of their ids' md5, are cut into blocks.  With weight w of a total of W, a
+source releases its k-th block (from 0) at slot floor(k * W / w) and must have run it by ceil((k + 1) * W / w).
+Earliest deadline first (ties: the source's name) fills one slot after the other with a released block.  As
+the weights' shares add up to one this meets all deadlines, so before any slot each source that still has
+blocks is less than one block away from its exact share.
+
+A fold schedules all blocks, a period of them at a time; what has not run by the end of a period goes on in the
+next, with quotients and remainders of W / w carried over as whole numbers, so nothing is rounded and ``period``
+does not change the result.  The fold runs in one task, whose time grows with blocks x sources.  Nothing is
+dropped: when a source runs out the others go on, earlier if they are released, and slots without a released
+block stay empty.  A null source is a source of its own.  Repeated ids keep a row each.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from tidemark.llm.common import numbered, written
 def shares(sources: DataFrame, period: int) -> DataFrame:
     """(source_key, weight: positive long) to (source_key, b): whole slots, one at least, that add up to ``period``.
 
+    For a fixed period of at least as many slots as sources; ``mixed_order`` schedules by the exact weights instead.
     What one slot each leaves over is shared by weight; remainders go to the largest, then by name.
     """
     everything = Window.partitionBy()
@@ -36,32 +39,61 @@ def shares(sources: DataFrame, period: int) -> DataFrame:
     return base.select("source_key", (F.col("_q") + 1 + (rank <= spare).cast("int")).cast("long").alias("b"))
 
 
-def period_schedule(share: DataFrame, period: int) -> DataFrame:
-    """(source_key, nth, slot, b): the slot in the period of each source's nth block."""
-    state = F.array_sort(F.collect_list(F.struct("source_key", "b", F.lit(0).cast("long").alias("done"))))
-    slots = F.sequence(F.lit(0).cast("long"), F.lit(period - 1).cast("long"))
-    period_ = F.lit(period).cast("long")
-
-    def step(acc, slot):
-        ready = F.filter(acc["s"], lambda x: (x["done"] < x["b"]) & (F.floor(x["done"] * period_ / x["b"]) <= slot))
-        due = F.transform(ready, lambda x: F.struct(F.ceil((x["done"] + 1) * period_ / x["b"]).alias("d"), x["source_key"].alias("k")))
-        pick = F.array(F.array_min(due)["k"])  # an array of one, so that the choice is evaluated once
-        moved = F.transform(
+def block_schedule(sources: DataFrame, period: int) -> DataFrame:
+    """(source_key, weight: positive long, blocks: long) to (source_key, block, slot): the slot of every block."""
+    everything = Window.partitionBy()
+    numbers = sources.withColumns({
+        "i": F.row_number().over(everything.orderBy("source_key")) - 1, "_t": F.sum("weight").over(everything), "_n": F.sum("blocks").over(everything),
+    })
+    # release now and of the next block, whose remainder is rem; the deadline now is that release, one later if something remains
+    parts = numbers.withColumns({"q": F.expr("_t div weight"), "m": F.expr("_t % weight")}).where("blocks > 0")
+    one = F.struct("i", "q", "m", F.col("weight").alias("w"), F.col("blocks").alias("n"), *(F.lit(0).cast("long").alias(c) for c in ("k", "now")), F.col("q").alias("next"), F.col("m").alias("rem"))
+    state = F.array_sort(F.collect_list(one))
+    never = F.lit(2**62).cast("long")
+
+    def due(x):
+        return x["next"] + (x["rem"] > 0).cast("long")
+
+    def moved(x):
+        rem = x["rem"] + x["m"]
+        over = (rem >= x["w"]).cast("long")
+        done = x["k"] + 1
+        return F.struct(
+            x["i"].alias("i"), x["q"].alias("q"), x["m"].alias("m"), x["w"].alias("w"), x["n"].alias("n"), done.alias("k"),
+            F.when(done < x["n"], x["next"]).otherwise(never).alias("now"), (x["next"] + x["q"] + over).alias("next"), (rem - over * x["w"]).alias("rem"),
+        )
+
+    def step(acc, _):
+        # the first slot in which a block is released; in it the earliest deadline; then the source's name
+        best = F.array_min(F.transform(acc["s"], lambda x: F.struct(F.greatest(x["now"], acc["slot"]).alias("slot"), due(x).alias("due"), x["i"].alias("i"), x["k"].alias("block"))))
+        pick = F.array(best)  # an array of one, so that the choice is evaluated once
+        after = F.transform(
             pick,
-            lambda k: F.struct(
-                F.transform(
-                    acc["s"], lambda x: F.struct(x["source_key"].alias("source_key"), x["b"].alias("b"), (x["done"] + (x["source_key"] == k).cast("long")).alias("done"))
-                ).alias("s"),
-                F.array_append(acc["picks"], k).alias("picks"),
+            lambda p: F.struct(
+                F.transform(acc["s"], lambda x: F.when(x["i"] == p["i"], moved(x)).otherwise(x)).alias("s"), (p["slot"] + 1).alias("slot"),
+                F.array_append(acc["picks"], F.struct(p["i"].alias("i"), p["block"].alias("block"), p["slot"].alias("slot"))).alias("picks"),
             ),
         )
-        return F.element_at(moved, 1)
+        return F.element_at(after, 1)
+
+    def one_period(acc, p):
+        steps = F.sequence(F.lit(1).cast("long"), F.least(F.lit(period).cast("long"), F.col("total") - p * period))
+        inner = F.array(F.aggregate(steps, F.struct(acc["s"].alias("s"), acc["slot"].alias("slot"), none.alias("picks")), step))
+        after = F.transform(inner, lambda r: F.struct(r["s"].alias("s"), r["slot"].alias("slot"), F.array_append(acc["periods"], r["picks"]).alias("periods")))
+        return F.element_at(after, 1)
 
-    start = F.struct(state.alias("s"), F.array().cast("array<string>").alias("picks"))
-    picks = share.agg(start.alias("start")).select(F.aggregate(slots, F.col("start"), step)["picks"].alias("picks"))
-    each = picks.select(F.posexplode("picks").alias("slot", "source_key"))
-    nth = F.row_number().over(Window.partitionBy("source_key").orderBy("slot")) - 1
-    return each.withColumn("nth", nth.cast("long")).join(share, "source_key").select("source_key", "nth", F.col("slot").cast("long"), "b")
+    none = F.array().cast("array<struct<i:int,block:bigint,slot:bigint>>")
+    start = F.struct(F.col("state").alias("s"), F.lit(0).cast("long").alias("slot"), F.array().cast("array<array<struct<i:int,block:bigint,slot:bigint>>>").alias("periods"))
+    gathered = parts.agg(state.alias("state"), F.max("_n").alias("total")).where("total > 0")
+    periods = F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {int(period)}"))
+    picks = gathered.select(F.explode(F.flatten(F.aggregate(periods, start, one_period)["periods"])).alias("p"))
+    return picks.select("p.*").join(numbers.select("i", "source_key"), "i").select("source_key", "block", "slot")
+
+
+def period_schedule(share: DataFrame, period: int) -> DataFrame:
+    """(source_key, nth, slot, b): the slot in the period of each source's nth block; b adds up to ``period``."""
+    slots = block_schedule(share.select("source_key", F.col("b").alias("weight"), F.col("b").alias("blocks")), period)
+    return slots.withColumnRenamed("block", "nth").join(share, "source_key").select("source_key", "nth", "slot", "b")
 
 
 def mixed_order(
@@ -84,21 +116,18 @@ def _ranked(docs: DataFrame, weights: DataFrame | None, id_col: str, source_col:
     """``docs`` and block, slot and mix_rank.
 
     ``weights`` is (source, weight: long); sources it leaves out weigh 1.  By default a source weighs the
-    square root of its number of documents, in thousandths.  At most ``period`` sources can be mixed.
+    square root of its number of documents, in thousandths.
     """
     key = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
     base = docs.withColumn("source_key", key)
     found = base.groupBy("source_key").agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
-        sources = found.select("source_key", F.greatest(F.round(F.sqrt("_n") * 1000).cast("long"), F.lit(1)).alias("weight"))
+        weighted = found.withColumn("weight", F.greatest(F.round(F.sqrt("_n") * 1000).cast("long"), F.lit(1)))
     else:
         given = weights.select(F.concat(F.lit("s:"), F.col(weights.columns[0]).cast("string")).alias("source_key"), F.col(weights.columns[1]).cast("long").alias("_w"))
-        sources = found.join(given, "source_key", "left").select("source_key", F.greatest(F.coalesce("_w", F.lit(1)), F.lit(1)).cast("long").alias("weight"))
-    # one row per slot of the period at most, so this table's size is bounded by the parameter
-    schedule = written(period_schedule(shares(sources, period), period), "mixing-schedule")
-    b = schedule.select("source_key", "b").distinct()
-    rows = numbered(base, "source_key", id_col, "_row").join(F.broadcast(b), "source_key")
-    rows = rows.withColumn("block", F.floor(F.col("_row") / block).cast("long")).withColumn("nth", F.col("block") % F.col("b"))
-    rows = rows.join(F.broadcast(schedule.drop("b")), ["source_key", "nth"])
-    slot = F.expr(f"(block div b) * {int(period)} + slot")
-    return rows.withColumns({"slot": slot, "mix_rank": slot * block + F.col("_row") % block})
+        weighted = found.join(given, "source_key", "left").withColumn("weight", F.greatest(F.coalesce("_w", F.lit(1)), F.lit(1)).cast("long"))
+    sources = weighted.select("source_key", F.col("weight"), F.expr(f"(_n + {int(block)} - 1) div {int(block)}").alias("blocks"))
+    schedule = written(block_schedule(written(sources, "mixing-sources"), period), "mixing-schedule")
+    rows = numbered(base, "source_key", id_col, "_row").withColumn("block", F.floor(F.col("_row") / block).cast("long"))
+    rows = rows.join(schedule, ["source_key", "block"], "left")
+    return rows.withColumn("mix_rank", F.col("slot") * block + F.col("_row") % block)
