@@ -15,18 +15,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id; of rows that repeat an id one.
+    """Of each component of near-duplicates one row, that of the smallest id, whether ids repeat or are missing.
 
-    Rows without an id cannot be told apart and do not stay.
+    Rows without words are components of their own.
     """
-    found = jaccard_join.jaccard_components(docs).where(F.col("doc_id") == F.col("component_id"))
-    kept = written(found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("copies")), "pipeline-kept")
-
-    def rows(which: str) -> DataFrame:
-        some = kept.where(which).hint("merge")
-        return docs.join(some, docs["doc_id"] == some["kept_id"], "left_semi")
-
-    return rows("copies = 1").unionByName(rows("copies > 1").dropDuplicates(["doc_id"]))
+    return jaccard_join.one_of_each(docs)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

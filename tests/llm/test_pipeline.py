@@ -61,3 +61,23 @@ def test_numbers_in_written_order(spark):
         for g in range(3):
             assert [r.id for r in sorted((r for r in out if r.g == g), key=lambda r: r.n)] == sorted(r.id for r in out if r.g == g)
             assert sorted(r.n for r in out if r.g == g) == list(range(sum(r.g == g for r in out)))
+
+
+def test_near_duplicates_by_row(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    texts = [
+        (None, a), (None, a), (None, a + " end"),  # a group of null ids: one stays
+        (None, "unique without an id"), (None, None), (None, " "),  # all stay
+        (1, b), (1, c), (1, c),  # one id, two texts: both stay once
+        (2, d), (5, d + " end"), (5, "another text of five"),  # 5 is a near copy of 2 in one of its rows only
+        (7, c + " end"),  # a near copy of c
+        (8, ""), (9, None),
+    ]
+    docs = frame(spark, [(i, t, "en", "s", 1, 1, "h", "s", "b") for i, t in texts])
+    single = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert single.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in single.collect()), key=repr)
+    of_a = [x for x in got if x[1] and x[1].startswith("a0 ")]
+    assert len(of_a) == 1 and of_a[0] in texts[:3]
+    want = [(None, "unique without an id"), (None, None), (None, " "), (1, b), (1, c), (2, d), (5, "another text of five"), (8, ""), (9, None)]
+    assert sorted(set(got) - set(of_a), key=repr) == sorted(want, key=repr) and len(got) == len(want) + 1

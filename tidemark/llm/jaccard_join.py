@@ -92,9 +92,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _text_hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(5), text, F.length(text))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(5), text, F.length(text)).alias("k2"))
+    k1, k2 = _text_hashes(text)
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
 
 
 def profile(keyed: DataFrame, k: int) -> DataFrame:
@@ -381,15 +386,46 @@ def unresolved(active: DataFrame, roots: DataFrame | None, keep: Scratch) -> Dat
     return rows.join(open_, "h").where("lo <= _hi and _lo <= hi").drop("_lo", "_hi")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id reachable by links, its own included)."""
+def _own_roots(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """One row per document: id, k1, k2, n, root (of its component; null without words)."""
     keyed = _keyed(docs, id_col, text_col)
     rows = written(profile(keyed, k), "op5-profile")
     with Scratch(docs.sparkSession, "op5") as keep:
         roots = point_components(keyed, rows, k, percent, keep)
-    own = rows.where(F.col("n").isNotNull()).select("id", "n", "sid")
-    own = written(rooted(own, "sid", roots, "root"), "op5-own")
+    own = rows.where(F.col("n").isNotNull()).select("id", "k1", "k2", "n", "sid")
+    return written(rooted(own, "sid", roots, "root"), "op5-own")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the smallest id reachable by links, its own included)."""
+    own = _own_roots(docs, id_col, text_col, k, percent)
     lowest = written(own.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("low")), "op5-lowest")
     named = own.where(F.col("root").isNotNull()).join(lowest, "root").select("id", "n", "low")
     empty = own.where(F.col("root").isNull()).select("id", "n", F.col("id").alias("low"))
     return named.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """Of each component's rows one, with all its columns: the smallest id (null last), then the smaller text hashes.
+
+    Rows without words are components of their own and all stay.  Rows are found by id and text hashes; of rows
+    that repeat both, one.
+    """
+    own = _own_roots(docs, id_col, text_col, k, percent).where(F.col("root").isNotNull())
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
+    best = own.groupBy("root").agg(F.min(row).alias("r"))
+    best = best.select(F.col("r.id").alias("_id"), F.col("r.k1").alias("_k1"), F.col("r.k2").alias("_k2"))
+    same = (F.col("id").eqNullSafe(F.col("_id"))) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
+    copies = own.join(best, same).groupBy("_id", "_k1", "_k2").agg(F.count(F.lit(1)).alias("copies"))
+    kept = written(copies, "op5-kept")
+
+    text = F.col(text_col).cast("string")
+    blank = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    hashed = docs.where(~blank).withColumns(dict(zip(("_a", "_b"), _text_hashes(text))))
+
+    def rows(which: str) -> DataFrame:
+        some = kept.where(which).hint("merge")
+        return hashed.join(some, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+
+    single, several = rows("copies = 1"), rows("copies > 1").dropDuplicates([id_col, "_a", "_b"])
+    return single.unionByName(several).drop("_a", "_b").unionByName(docs.where(blank))
