@@ -3,6 +3,8 @@
 import base64
 import hashlib
 
+import pytest
+
 from tidemark.llm import url_filters, warc
 from tidemark.llm.queries import URL_RULES
 
@@ -69,3 +71,23 @@ def test_payloads_survive_and_records_stand_alone(spark):
 
 def test_no_pages(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_long_hosts_and_hot_pairs(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "HOT", 3)
+    urls = ["http://a.example.org/es/x"] * 5 + ["http://" + "a." * 3000 + "com/de/"] + URLS + ["http://none.net/"] * 4
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = url_filters.url_verdicts(pages, url_filters.rule_table(spark, URL_RULES)).collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(repr((i, *slow(u))) for i, u in enumerate(urls))
+
+
+def test_cut_archives_are_errors():
+    dictionary = warc.train([b"some words of a page " * 4] * 3)
+    import zstandard
+
+    shared = zstandard.ZstdCompressionDict(dictionary)
+    records = [warc.record(i, "u", b"x%d " % i * 900 * i, warc.digest32(b"x%d " % i * 900 * i), None) for i in range(5)]
+    content = warc.front(dictionary) + b"".join(zstandard.ZstdCompressor(dict_data=shared).compress(r) for r in records)
+    assert [r["page_id"] for r in warc.read_archive(content)] == list(range(5))
+    with pytest.raises(ValueError):
+        list(warc.read_archive(content[:-3]))

@@ -1,8 +1,8 @@
 """URL filters: host-suffix and path-prefix rules matched by hash prefixes, full digests and precedence.
 
 A rule has a host and a path.  It fits its host and every subdomain when the URL's path starts with the
-rule's path.  Each URL is expanded into the strings host suffix + path prefix (prefix lengths: those that
-rules have); the strings' short hash prefixes are equi-joined with the rules', full SHA-256 digests
+rule's path.  Each URL is expanded into the strings host suffix + path prefix (of the lengths that rules have,
+so a host of many labels costs no more than others); the strings' short hash prefixes are equi-joined with the rules', full SHA-256 digests
 confirm, and the longest rule wins (then the longer host, then the rule's text, then block over allow).
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased.  Path: from there up
@@ -21,6 +21,8 @@ from tidemark.llm.common import written
 
 #: Rules up to this many are broadcast; more are joined by shuffling the expanded URLs.
 BROADCAST_RULES = 20_000
+#: A pair of host and path is hot when one page in so many has it; at most so many pairs can be hot, and they are broadcast.
+HOT = 10_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -41,8 +43,7 @@ def rule_table(spark, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
 def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per page: id, host, path, rule (its text, or null), verdict.
 
-    Repeated rows keep a row each; a page's matches are reduced before its row leaves the expansion, so
-    the join adds no rows beyond a page's own expressions.
+    Repeated rows keep a row each; each distinct host and path is expanded and judged once.
     """
     text = F.concat("host", "path")
     digest = F.sha2(text, 256)
@@ -51,15 +52,20 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
         .select(text.alias("rule"), digest.alias("digest"), F.length("host").alias("rule_host"), F.col("path"), F.col("verdict").alias("rule_verdict"))
         .dropDuplicates()
     )
-    sizes = ruled.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("path"))).alias("lengths")).first()
+    size = lambda c: F.array_sort(F.collect_set(F.length(c)))
+    sizes = ruled.agg(F.count(F.lit(1)).alias("n"), size("path").alias("lengths"), F.array_sort(F.collect_set("rule_host")).alias("host_lengths")).first()
     host, path = host_and_path(F.col(url_col))
-    base = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    base = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
     # equal host and path have equal verdicts: judge each pair once, whatever number of pages share it
-    pairs = base.select("host", "path").where(F.length("host") > 0).distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    lengths = F.array(*(F.lit(n) for n in sizes["lengths"])) if sizes["lengths"] else F.array().cast("array<int>")
-    fitting = F.filter(lengths, lambda n: n <= F.length("path"))
+    pairs = base.where(F.length("host") > 0).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
+    pairs = written(pairs, "op6-pairs")
+    whole = pairs.agg(F.sum("pages")).first()[0] or 0
+
+    array = lambda values: F.array(*(F.lit(n) for n in values)) if values else F.array().cast("array<int>")
+    rest = lambda n: F.substr(F.col("host"), F.length("host") - n + 1, n)
+    dotted = lambda n: F.substr(F.col("host"), F.length("host") - n, F.lit(1)) == "."
+    suffixes = F.transform(F.filter(array(sizes["host_lengths"]), lambda n: (n == F.length("host")) | ((n < F.length("host")) & dotted(n))), rest)
+    fitting = F.filter(array(sizes["lengths"]), lambda n: n <= F.length("path"))
     prefixes = F.transform(fitting, lambda n: F.substr(F.col("path"), F.lit(1), n))
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     asked = pairs.select("host", "path", F.explode(F.array_distinct(expressions)).alias("expression"))
@@ -72,11 +78,15 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
         .where(F.col("asked") == F.col("digest"))
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), "rule_host", "rule", F.col("rule_verdict").alias("v"))).alias("best"))
-        .select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.rule").alias("rule"), F.col("best.v").alias("_v"))
+        .select("host", "path", "best.rule", F.col("best.v").alias("_v"))
     )
-    # both sides of this join are shuffled for it alone, so that a frequent pair can be split; rows without a host stay out of it
-    best = written(best, "op6-best")
-    judged = base.where(F.length("host") > 0).join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+    # every hot pair is broadcast with its verdict; the others are not frequent, so the shuffle by pair has no large group
+    hot = F.col("pages") * HOT >= whole
+    judged = written(pairs.select("host", "path", hot.alias("hot")).join(best.hint("merge"), ["host", "path"], "left"), "op6-judged")
+    often = F.broadcast(judged.where("hot").drop("hot"))
+    hosted = base.where(F.length("host") > 0)
+    frequent = hosted.join(often, ["host", "path"])
+    others = hosted.join(often, ["host", "path"], "left_anti").join(judged.where("not hot").drop("hot").hint("merge"), ["host", "path"])
     hostless = base.where(F.length("host") == 0).withColumns({"rule": F.lit(None).cast("string"), "_v": F.lit(None).cast("string")})
-    columns = [F.col(id_col), "host", "path", "rule", F.coalesce("_v", F.lit(default)).alias("verdict")]
-    return judged.select(*columns).unionByName(hostless.select(*columns))
+    columns = [F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_v", F.lit(default)).alias("verdict")]
+    return frequent.select(*columns).unionByName(others.select(*columns)).unionByName(hostless.select(*columns))

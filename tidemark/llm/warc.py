@@ -2,8 +2,8 @@
 
 Layout of an archive: a skippable frame (magic 0x184D2A5D) that holds the dictionary, then one Zstandard
 frame per WARC record.  Any record can be read alone, given the dictionary at the front.  The dictionary
-is trained on a bounded sample of the records that are archived: the ``sample`` response payloads whose
-page id has the smallest md5, of 64 to 65,536 bytes each; other sizes are archived but not sampled.
+is trained on a bounded sample of the records as they are archived, headers included: the ``sample`` records
+whose page id has the smallest md5, of those with payloads of 64 to 65,536 bytes; others are archived but not sampled.
 
 Records with equal payloads of at least ``min_bytes`` bytes: the one with the largest page id is the
 response, the others are revisits that refer to it and carry no payload.  Smaller payloads are all
@@ -35,6 +35,9 @@ SKIPPABLE = 0x184D2A5D
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Compressed bytes a reader takes at a time; what it took beyond a record's end is taken again for the next.
+CHUNK = 2048
+
 
 def digest32(payload: bytes) -> str:
     """SHA-1 in bare upper-case base32."""
@@ -104,18 +107,23 @@ def parse(raw: bytes) -> dict:
 
 
 def read_archive(content: bytes) -> Iterator[dict]:
-    """All records of an archive, in order."""
+    """All records of an archive, in order, in time that grows with its size.  Raises ValueError where it is cut short."""
     magic, size = struct.unpack_from("<II", content)
     if magic != SKIPPABLE:
         raise ValueError("WARC: no dictionary frame")
     shared = _dictionary(content[8 : 8 + size])
     decompressor = zstandard.ZstdDecompressor(**({"dict_data": shared} if shared else {}))
-    rest = content[8 + size :]
-    while rest:
-        one = decompressor.decompressobj()
-        raw = one.decompress(rest)
-        rest = one.unused_data
-        yield parse(raw)
+    view, at = memoryview(content), 8 + size
+    while at < len(view):
+        one, parts = decompressor.decompressobj(), []
+        while not one.eof:
+            taken = view[at : at + CHUNK]
+            if not len(taken):
+                raise ValueError("WARC: archive ends inside a record")
+            parts.append(one.decompress(taken))
+            at += len(taken)
+        at -= len(one.unused_data)
+        yield parse(b"".join(parts))
 
 
 def write_archives(
@@ -136,9 +144,9 @@ def write_archives(
     owners = written(owners, "op7-owners")
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     records = base.join(owners, F.col("sha") == F.col("_sha"), "left").select("page_id", "url", "payload", F.when(revisit, F.col("owner")).alias("refers_to"))
-    fitting = base.where(F.octet_length("payload").between(64, 65_536))
-    taken = md5_sample(fitting.select("page_id", "payload"), "page_id", sample, fitting.count())
-    dictionary = train([bytes(r.payload) for r in taken.collect()])
+    fitting = records.where(F.octet_length("payload").between(64, 65_536))
+    taken = md5_sample(fitting, "page_id", sample, fitting.count()).collect()  # at most ``sample`` rows of 64 KiB
+    dictionary = train([record(r.page_id, r.url, bytes(r.payload), digest32(bytes(r.payload)), r.refers_to) for r in taken])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = _dictionary(dictionary)
