@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
 from tidemark.llm.text_stats import FEATURES, feature_columns, feature_matrix, with_counts
 from tidemark.llm.training import MAX_LABELLED, labelled_sample
 from tidemark.llm.trees import Tree, boost
@@ -69,9 +68,9 @@ def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that quality_verdicts keeps.
 
-    Texts are judged where they are read, in a second pass over them, so no text is shuffled.
+    Texts are judged where they are read, so no text is shuffled.
     """
-    forest = fit(*labelled_sample(written(with_counts(docs, id_col, text_col), "op3-stats"), labels, id_col, limit=limit))
+    forest = fit(*labelled_sample(docs, labels, id_col, text_col, limit=limit))
 
     @F.pandas_udf("boolean")
     def keeps(texts: pd.Series) -> pd.Series:
@@ -90,8 +89,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     kept is false where the base limits fail, else whether the trees' score reaches ``threshold``.
     Repeated ids keep a row each.
     """
-    stats = written(with_counts(docs, id_col, text_col), "op3-stats")
-    forest = fit(*labelled_sample(stats, labels, id_col, limit=limit))
+    forest = fit(*labelled_sample(docs, labels, id_col, text_col, limit=limit))
+    stats = with_counts(docs, id_col, text_col)
     kind = stats.schema[id_col].dataType.simpleString()
     schema = ", ".join([f"`{id_col}` {kind}", *(f"{c} long" for c in BASE), "base_failed boolean", "score double", "kept boolean"])
 

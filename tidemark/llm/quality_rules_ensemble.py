@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, written
+from tidemark.llm.common import held_out
 from tidemark.llm.text_stats import FEATURES, feature_columns, with_counts
 from tidemark.llm.training import MAX_LABELLED, labelled_sample
 from tidemark.llm.trees import Tree, boost
@@ -93,8 +93,12 @@ def lasso_logistic(x: np.ndarray, y: np.ndarray, strength: float, steps: int = 4
     return float(w[0]), w[1:]
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, strength: float = 5e-4, max_rules: int = 200) -> RuleModel:
-    """Propose rules by boosting on random halves, then weigh them by the lasso."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, strength: float = 5e-4) -> RuleModel:
+    """Propose rules by boosting on random halves, then weigh all of them by the lasso.
+
+    A rule that holds for fewer than 0.2 % or more than 99.8 % of the rows, or for the same rows as an earlier rule or
+    the opposite ones, adds nothing to the fit and is not proposed.
+    """
     start, grown = boost(x, y, trees, depth, rate=0.2, share=0.5)
     rules: dict[tuple, np.ndarray] = {}
     seen: set[bytes] = set()
@@ -103,7 +107,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, strength:
             hit = rule_hits(rule, x)
             key = np.packbits(hit.astype(bool)).tobytes()
             other = np.packbits(~hit.astype(bool)).tobytes()
-            if 0.002 * len(x) <= hit.sum() <= 0.998 * len(x) and key not in seen and other not in seen and len(rules) < max_rules:
+            if 0.002 * len(x) <= hit.sum() <= 0.998 * len(x) and key not in seen and other not in seen:
                 seen.add(key)
                 rules[rule] = hit
     if not rules:
@@ -118,8 +122,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels are learned outside the held-out fold only, from at most ``limit`` documents.  A null id is
     never held out.  Repeated ids keep a row each.
     """
-    stats = written(with_counts(docs, id_col, text_col), "op1-stats")
-    model = fit(*labelled_sample(stats, labels, id_col, limit=limit))
+    model = fit(*labelled_sample(docs, labels, id_col, text_col, limit=limit))
+    stats = with_counts(docs, id_col, text_col)
     features = stats.select(F.col(id_col), *(c.alias(k) for k, c in feature_columns().items()))
     score = model.score({k: F.col(k) for k in FEATURES})
     return features.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score.alias("score")).withColumn(
