@@ -7,6 +7,9 @@ composed canvas.  The encoder writes the same format with real LZW codes.
 LZW: after a clear code, codes are 9 bits wide for 255 codes, 10 for 512, 11 for 1024 and 12 from there on
 (8-bit samples; other sizes alike), so a stream is cut into codes in a few vectorised steps between clear
 codes and only the dictionary walk is a loop over codes.
+
+A stream that ends early leaves the rest of its frame at index 0, samples beyond a frame's size are ignored,
+and indices beyond the palette take its last colour.  Other damage raises ValueError.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +38,12 @@ WIDTH, ROWS, DELAY, BINS = 192, 256, 10, 16
 
 
 def _phases(size: int) -> list[tuple[int, int]]:
-    """(codes, width) after a clear code, for samples of ``size`` bits; the last width holds on."""
+    """(codes, width) after a clear code, for samples of ``size`` bits, while the width grows; then it is 12 to the next clear code."""
     out, next_code = [], (1 << size) + 2
     for width in range(size + 1, 12):
         out.append(((1 << width) - next_code + (1 if width == size + 1 else 0), width))
         next_code = 1 << width
-    return [*out, (1 << 62, 12)]
+    return out
 
 
 def lzw_encode(data: bytes, size: int = 8) -> bytes:
@@ -71,7 +75,7 @@ def lzw_encode(data: bytes, size: int = 8) -> bytes:
     run = FULL - clear
     widths = np.full(run, 12, np.uint8)
     done = 0
-    for n, width in _phases(size)[:-1]:
+    for n, width in _phases(size):
         widths[done : done + n] = width
         done += n
     values = np.array([clear, *codes], "<u2")
@@ -92,7 +96,7 @@ def lzw_decode(stream: bytes, size: int = 8) -> bytes:
     at = 0
     while True:
         table, last = single.copy(), None
-        for n, width in _phases(size):
+        for n, width in chain(_phases(size), repeat((FULL, 12))):
             m = min(n, (len(bits) - at) // width)
             codes = bits[at : at + m * width].reshape(m, width).astype(np.int32) @ _POWERS[:width]
             stop = np.flatnonzero((codes == clear) | (codes == end))
@@ -137,8 +141,8 @@ class Frame:
 
     def histogram(self) -> np.ndarray:
         """Counts of the canvas' red, green and blue in BINS equal bins each."""
-        bins = (self.canvas >> 4).reshape(-1, 3)
-        return np.stack([np.bincount(bins[:, c], minlength=BINS) for c in range(3)])
+        bins = (self.canvas >> 4).reshape(-1, 3) + np.arange(0, 3 * BINS, BINS, dtype=np.uint8)
+        return np.bincount(bins.ravel(), minlength=3 * BINS).reshape(3, BINS)
 
 
 def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -255,10 +259,14 @@ def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
+CHANNELS = ("red", "green", "blue")
+
+
 def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per frame: id, frame, place, delay, disposal, transparent index, indices, and histogram columns.
 
-    Null media give no rows.  ``start`` is the frame's time in hundredths of a second.
+    Null media give no rows; repeated ids give their frames as often.  ``start`` is the frame's time in hundredths
+    of a second; red, green and blue count the composed canvas in BINS bins.
     """
     names = ["frame", "start", "delay", "left", "top", "width", "height", "disposal", "transparent"]
 
@@ -280,7 +288,7 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
                         pa.array([f.indices.tobytes() for f in found], pa.binary()),
                         *(pa.array([h[c].tolist() for h in hist], pa.list_(pa.int64())) for c in range(3)),
                     ],
-                    names=[id_col, *names, "indices", "red", "green", "blue"],
+                    names=[id_col, *names, "indices", *CHANNELS],
                 )
 
     kind = media.schema[id_col].dataType.simpleString()
@@ -289,10 +297,12 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as a GIF, read the stored bytes back, and describe what was read.
+    """Store every text as a GIF, read the stored bytes back into timed frames, and describe what was read.
 
-    Columns: id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 16 payload bytes),
-    media_bytes, media_sha256, feature: frames, total delay and the grey histogram summed over frames.
+    Columns: id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 16 payload bytes), media_bytes,
+    media_sha256, feature (frames, total delay, and the summed red, green and blue histograms), and the timed frames:
+    starts (hundredths of a second) and red, green and blue, a histogram for each frame.  Null texts are empty,
+    repeated ids keep a row each.
     """
     media = written(stored_media(docs, id_col, text_col), "op8-media")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -304,13 +314,20 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 raw = m.as_py()
                 found = decode(raw)
                 payload = b"".join(f.indices.tobytes() for f in found)
-                bins = sum(f.histogram()[0] for f in found)
-                feature = f"{len(found)}:{sum(f.delay for f in found)}:" + ",".join(map(str, bins.tolist()))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                hist = [f.histogram() for f in found]
+                delays = [f.delay for f in found]
+                feature = ":".join([str(len(found)), str(sum(delays)), *(",".join(map(str, c.tolist())) for c in sum(hist))])
+                rows.append(
+                    (
+                        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature,
+                        np.cumsum([0, *delays[:-1]]).tolist(), *([h[c].tolist() for h in hist] for c in range(3)),
+                    )
+                )
+            columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(run, schema)
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "starts", *CHANNELS]
+    lists = pa.list_(pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), lists, lists, lists)
+    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, starts array<long>"
+    return media.mapInArrow(run, schema + "".join(f", {c} array<array<long>>" for c in CHANNELS))
