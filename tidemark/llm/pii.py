@@ -1,7 +1,7 @@
 """PII: Aho-Corasick anchors, expanded and validated by deterministic local parsers.
 
-One automaton finds at-signs, plus-signs, digits, schemes and identifier cues in a single pass over the
-whole text.  Each anchor is handed to the parser of its kind, which expands it to both sides, checks it
+One automaton finds at-signs, plus-signs, digits, schemes and identifier cues (A-Z like a-z) in a single pass over
+the whole text.  Each anchor is handed to the parser of its kind, which expands it to both sides, checks it
 and emits one span; a parser never looks further than the token it grows.
 
 The kinds email, ip, card and phone have exact base definitions (leftmost, not overlapping within a
@@ -51,16 +51,15 @@ def _automaton() -> ahocorasick.Automaton:
     a.add_word("+", ("plus", 1))
     a.add_word("://", ("scheme", 3))
     for cue in SECRET_CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, ("secret", len(cue)))
+        a.add_word(cue, ("secret", len(cue)))
     for cue in IBAN_CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, ("iban", len(cue)))
+        a.add_word(cue, ("iban", len(cue)))
     a.make_automaton()
     return a
 
 
 _AUTOMATON = _automaton()
+_FOLD = str.maketrans(_UPPER, _UPPER.lower())
 
 
 def _run(text: str, at: int, allowed) -> int:
@@ -201,7 +200,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             found.append((span[0], KINDS.index(kind), span[1]))
         after[kind] = span[1]
 
-    for last, (what, length) in _AUTOMATON.iter(text):
+    for last, (what, length) in _AUTOMATON.iter(text.lower() if text.isascii() else text.translate(_FOLD)):
         at = last - length + 1
         if what == "digit":
             if at >= after["card"]:
