@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import Scratch, written
 
 
-def _mins(pairs: DataFrame) -> DataFrame:
-    return written(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m"), "components-min")
+def _mins(pairs: DataFrame, keep: Scratch) -> DataFrame:
+    return keep.written(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m"), "components-min")
 
 
 def _mark(edges: DataFrame):
@@ -22,21 +22,22 @@ def components(links: DataFrame) -> DataFrame:
     Each round joins every node's neighbours to the smallest of them (larger neighbours first, then smaller
     ones) until the edges are stars around roots; rounds grow with the logarithm of a component's size.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges = written(edges, "components")
-    before = _mark(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _mins(both)
-        large = both.join(low, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.least("m", "_u").alias("v"))
-        large = written(large.distinct(), "components-large")
-        low = _mins(large)
-        small = large.join(low, F.col("u") == F.col("_u")).select("u", "v", "m")
-        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("_u").alias("u"), F.col("m").alias("v")))
-        edges = written(small.where("u != v").distinct(), "components")
-        after = _mark(edges)
-        if after == before:
-            break
-        before = after
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return written(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components-roots")
+    with Scratch(links.sparkSession, "components") as keep:
+        edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+        edges = keep.written(edges, "components")
+        before = _mark(edges)
+        while True:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = _mins(both, keep)
+            large = both.join(low, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.least("m", "_u").alias("v"))
+            large = keep.written(large.distinct(), "components-large")
+            low = _mins(large, keep)
+            small = large.join(low, F.col("u") == F.col("_u")).select("u", "v", "m")
+            small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("_u").alias("u"), F.col("m").alias("v")))
+            edges = keep.written(small.where("u != v").distinct(), "components")
+            after = _mark(edges)
+            if after == before:
+                break
+            before = after
+        stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return written(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components-roots")

@@ -30,7 +30,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mixed, window_hashes, word_hashes, words, written
+from tidemark.llm.common import Scratch, mixed, window_hashes, word_hashes, words, written
 
 KEYS = ("k1", "k2")
 
@@ -53,19 +53,15 @@ def spans_of(anchor: np.ndarray, window: int, second: int, first: int) -> tuple[
     return anchor[new], start[new], new, last
 
 
-def repeating(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+def repeating(rows: DataFrame, keys: list[str], label: str, keep: Scratch) -> DataFrame:
     """The rows whose keys occur at least twice."""
-    keep = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys), label)
-    return rows.join(keep, keys, "left_semi")
+    several = keep.written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys), label)
+    return rows.join(several, keys, "left_semi")
 
 
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_text (kept words joined by one space)."""
+def removed_spans(base: DataFrame, window: int, keep: Scratch) -> DataFrame:
+    """(k1, k2, spans): for texts (text, k1, k2) that lose words, the first and last windows of each removed run."""
     first, second = -(-window // 4), min(window, 2 * -(-window // 4))
-    text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col), text.alias("text")).withColumns(
-        {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(window), "text", F.length("text"))}
-    )
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,9 +82,9 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 names=["h", *KEYS, "at"],
             )
 
-    found = written(base.select("text", *KEYS).mapInArrow(first_level, "h long, k1 long, k2 long, at int"), "op10-anchors")
-    kept = repeating(found, ["h"], "op10-first").groupBy(*KEYS).agg(F.collect_set("at").alias("ats"))
-    kept = written(kept, "op10-kept")
+    found = keep.written(base.select("text", *KEYS).mapInArrow(first_level, "h long, k1 long, k2 long, at int"), "op10-anchors")
+    kept = repeating(found, ["h"], "op10-first", keep).groupBy(*KEYS).agg(F.collect_set("at").alias("ats"))
+    kept = keep.written(kept, "op10-kept")
 
     def second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,14 +116,14 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             )
 
     extended = base.select("text", *KEYS).join(kept, list(KEYS)).select("text", *KEYS, "ats")
-    extended = written(extended.mapInArrow(second_level, "h long, span long, k1 long, k2 long, lo int, hi int"), "op10-spans")
-    extended = written(repeating(extended, ["h"], "op10-second"), "op10-doubled")
-    spans = written(
+    extended = keep.written(extended.mapInArrow(second_level, "h long, span long, k1 long, k2 long, lo int, hi int"), "op10-spans")
+    extended = keep.written(repeating(extended, ["h"], "op10-second", keep), "op10-doubled")
+    spans = keep.written(
         extended.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEYS, "lo", "hi")).alias("one")), "op10-distinct"
     )
     whole = extended.join(spans.where("n > 1").select("span"), "span", "left_semi").select(*KEYS, "lo", "hi")
     ones = spans.select("one.*").groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    ones = written(ones, "op10-ones")
+    ones = keep.written(ones, "op10-ones")
 
     def last_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,11 +146,20 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # one row per distinct text that holds a representative: its copies would make every window repeat
     texts = base.select("text", *KEYS).join(ones, list(KEYS)).dropDuplicates(list(KEYS))
-    singles = written(texts.select("text", *KEYS, "spans").mapInArrow(last_level, "h long, g long, k1 long, k2 long, lo int"), "op10-windows")
-    single = repeating(singles, ["h", "g"], "op10-last").select(*KEYS, "lo", F.col("lo").alias("hi"))
-    removed = whole.unionByName(single).groupBy(*KEYS).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    removed = written(removed, "op10-removed")
+    singles = keep.written(texts.select("text", *KEYS, "spans").mapInArrow(last_level, "h long, g long, k1 long, k2 long, lo int"), "op10-windows")
+    single = repeating(singles, ["h", "g"], "op10-last", keep).select(*KEYS, "lo", F.col("lo").alias("hi"))
+    removed = whole.unionByName(single)
+    return removed.groupBy(*KEYS).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+
 
+def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+    """One row per document: id, n_words, n_removed, kept_text (kept words joined by one space)."""
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).alias("_id"), text.alias("text")).withColumns(
+        {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(window), "text", F.length("text"))}
+    )
+    with Scratch(docs.sparkSession, "op10") as keep:
+        removed = written(removed_spans(base, window, keep), "op10-removed")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +180,11 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 gone.append(len(tokens) - len(kept_words))
                 texts.append(b" ".join(kept_words).decode())
             yield pa.RecordBatch.from_arrays(
-                [b.column(id_col), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())],
+                [b.column("_id"), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())],
                 names=[id_col, "n_words", "n_removed", "kept_text"],
             )
 
-    joined = base.join(removed, list(KEYS), "left").select(F.col(id_col), "text", "spans")
+    joined = base.join(removed, list(KEYS), "left").select("_id", "text", "spans")
     return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
 
 
