@@ -10,6 +10,8 @@ import pytest
 
 from tests.conftest import TINY
 from tests.llm.data import documents, frame, labels
+from tidemark.llm.trees import boost
+from tidemark.llm.training import labelled_sample
 from tidemark.llm import gif, jaccard_join, mixing, packing, pii, quality_gbt, quality_rules_ensemble, substring_dedup, text_stats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,6 +75,26 @@ def test_monotone_features_never_raise_the_score():
         assert (np.diff(forest.score(steps).reshape(20, 15), axis=1) <= 1e-12).all()
 
 
+def test_flattened_trees_score_like_the_trees():
+    rng = np.random.default_rng(3)
+    x = rng.random((500, len(text_stats.FEATURES)))
+    start, trees = boost(x, (x[:, 0] > x[:, 3]).astype(float), 20, 3, 0.3)
+    slow = start + sum(t.predict(x) for t in trees)
+    assert len(trees) > 5 and np.allclose(quality_gbt.Forest(start, trees).score(x), 1 / (1 + np.exp(-slow)))
+
+
+def test_labels_of_the_sample(spark):
+    rows = [(i, f"w{i} " * (i + 1)) for i in range(40)] + [(3, "x"), (None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(2, 1), (4, None), (None, 1)], "doc_id long, quality int")
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for limit in (100, 7):
+        x, y = labelled_sample(docs, known, limit=limit)
+        chosen = sorted(sorted(ids, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:limit])
+        assert y.tolist() == [1.0 if i == 2 else float(i % 2) for i in chosen]
+        assert np.allclose(np.expm1(x[:, 0]), [1 if i == 3 else i + 1 for i in chosen])
+
+
 def test_column_scores_equal_the_model(spark):
     docs, known = spark.read.parquet(f"{TINY}/documents.parquet"), spark.read.parquet(f"{TINY}/labels.parquet")
     truth = {r.doc_id: r.quality for r in known.collect()}
@@ -125,11 +147,34 @@ def test_batches(spark):
         assert len(rows) == 1 or sum(r.bucket_limit for r in rows) <= 1000
 
 
+@pytest.mark.parametrize("budget", [1000, 65_536])
+def test_batches_against_brute_force(spark, budget):
+    rows = documents()
+    sizes = [(r[0], len(words(r[1]))) for r in rows]
+    short = sorted({n for _, n in sizes if n <= budget})
+    cost = lambda limits: sum(min(x for x in limits if x >= n) - n for _, n in sizes if n <= budget)
+    best = min(cost([*some, short[-1]]) for some in itertools.combinations(short[:-1], 2))
+    out = packing.packed(frame(spark, rows), buckets=3, budget=budget).collect()
+    assert sum(r.padding for r in out) == best
+    md5 = lambda i: "" if i is None else hashlib.md5(str(i).encode()).hexdigest()
+    groups = {}
+    for r in out:
+        groups.setdefault(r.bucket, []).append(r)
+    for b, found in groups.items():
+        found.sort(key=lambda r: (r.batch, r.place))
+        assert [md5(r.doc_id) for r in found] == sorted(md5(r.doc_id) for r in found)
+        for at, r in enumerate(found):
+            room = max(budget // max(r.bucket_limit, 1), 1)
+            assert (r.batch, r.place) == divmod(at, room)
+            assert (r.n_tokens > budget) == (b == 3) and (b < 3 or r.bucket_limit == r.n_tokens)
+    assert sorted(((r.doc_id, r.n_tokens) for r in out), key=repr) == sorted(sizes, key=repr)
+
+
 def test_slices_do_not_change_numbers(spark):
     from tidemark.llm.common import numbered
 
     df = spark.range(500).selectExpr("id", "id % 2 as g")
-    assert result(numbered(df, "g", "id", "r")) == result(numbered(df, "g", "id", "r", rows_per_task=7))
+    assert result(numbered(df, "g", "id", "r")) == result(numbered(df, "g", "id", "r", digits=1))
 
 
 def test_every_prefix_follows_the_weights(spark):
@@ -173,6 +218,33 @@ def test_mixing_follows_the_exact_weights_over_many_periods(spark):
     assert result(mixing.mixed_order(docs, weights, period=1000, block=1)) == sorted(map(tuple, out), key=repr)
 
 
+def test_mix_order_against_brute_force(spark):
+    """Earliest deadline first, slot by slot, with whole-number arithmetic, and the documents by md5 in each source."""
+    rows = documents()
+    weight = {"s0": 5, "s1": 3, "s2": 2, "absent": 9}
+    weights = spark.createDataFrame(list(weight.items()), "source string, weight long")
+    out = mixing.mixed_order(frame(spark, rows), weights, block=3).collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r[3], []).append(r[0])
+    md5 = lambda i: "" if i is None else hashlib.md5(str(i).encode()).hexdigest()
+    name = lambda s: "null" if s is None else f"s:{s}"
+    w = {s: weight.get(s, 1) for s in of}
+    total, t, done, order = sum(w.values()), 0, dict.fromkeys(of, 0), []
+    left = {s: -(-len(ids) // 3) for s, ids in of.items()}
+    while any(done[s] < left[s] for s in of):
+        ready = [(-(-(done[s] + 1) * total // w[s]), name(s), s) for s in of if done[s] < left[s] and done[s] * total // w[s] <= t]
+        if ready:
+            s = min(ready)[2]
+            order += sorted(of[s], key=md5)[3 * done[s] : 3 * done[s] + 3]
+            done[s] += 1
+        t += 1
+    got = [r.doc_id for r in sorted(out, key=lambda r: r.mix_rank)]
+    assert list(map(md5, got)) == list(map(md5, order))
+    clash = spark.createDataFrame([(1, "a"), (2, None)], "source_key long, text string")
+    assert sorted(r.source_key for r in mixing.mixed_order(clash, id_col="source_key", source_col="text").collect()) == [1, 2]
+
+
 def test_more_sources_than_slots(spark):
     docs = spark.range(240).selectExpr("id as doc_id", "concat('s', id % 80) as source")
     out = mixing.mixed_order(docs, period=50, block=2).collect()
@@ -238,6 +310,11 @@ def test_substring_dedup(spark):
     assert result(substring_dedup.digests(frame(spark, rows))) == slow_removed(rows)
 
 
+def test_id_column_named_like_an_internal_one(spark):
+    df = spark.createDataFrame([(1, "z " * 40), (2, None)], "spans long, text string")
+    assert sorted(r.spans for r in substring_dedup.digests(df, id_col="spans").collect()) == [1, 2]
+
+
 # ---- personal data and media ---------------------------------------------------------------------
 
 PII_TEXTS = [
@@ -285,6 +362,8 @@ def test_random_spans():
 def test_added_spans_and_redaction():
     kinds = [k for k, _, _ in pii.find_spans(PII_TEXTS[5])]
     assert {"iban", "secret", "url"} <= set(kinds)
+    for cue in ("ToKen", "Api_Key", "API_Key", "é PASSword"):
+        assert [k for k, _, _ in pii.find_spans(f"{cue}: abcdef0123456789")] == ["secret"]
     clean = pii.redact(PII_TEXTS[5])
     assert "secret@" not in clean and "0123456789" not in clean and "3704" not in clean
     assert pii.redact(None) is None and pii.redact("nothing here") == "nothing here"
@@ -292,13 +371,37 @@ def test_added_spans_and_redaction():
 
 def test_media_round_trip(spark):
     rows = documents()
-    out = result(gif.round_trip(frame(spark, rows)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"))
-    want = []
+    rows.append((990, "€uro " * 20_000, "en", "s", 1, 1, "h", "s", "b"))
+    docs = frame(spark, rows)
+    full = gif.round_trip(docs)
+    out = result(full.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"))
+    want, frames, features = [], {}, {}
     for r in rows:
         raw = (r[1] or "").encode()
         p = raw + b" " * (-len(raw) % 192 if raw else 192)
         want.append((r[0], len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
+        parts = [p[i : i + 192 * 256] for i in range(0, len(p), 192 * 256)]
+        shown = [x + (parts[i - 1][len(x) :] if i else b"") for i, x in enumerate(parts)]  # a shorter last frame leaves the rows below it as they were
+        frames[r[0]] = [[sum(v >> 4 == j for v in x) for j in range(16)] for x in shown]
+        bins = ",".join(str(sum(f[j] for f in frames[r[0]])) for j in range(16))
+        features[r[0]] = f"{len(parts)}:{10 * len(parts)}:{bins}:{bins}:{bins}"
     assert out == sorted(want, key=repr)
+    media = {r.doc_id: (r.n_bytes, bytes(r.media)) for r in gif.stored_media(docs).collect()}
+    for r in full.collect():
+        assert (r.media_bytes, r.media_sha256) == (len(media[r.doc_id][1]), hashlib.sha256(media[r.doc_id][1]).hexdigest())
+        assert r.feature == features[r.doc_id] and r.red == r.green == r.blue == frames[r.doc_id] and r.starts == [10 * i for i in range(len(r.red))]
+
+
+def test_frames(spark):
+    many = gif.encode_bytes(bytes(range(192)) * 600)
+    media = spark.createDataFrame([(1, many), (2, None), (1, many), (None, gif.encode_bytes(b" " * 192))], "doc_id long, media binary")
+    out = gif.frames(media).collect()
+    assert sorted(((r.doc_id, r.frame, r.start, r.delay, r.width, r.height) for r in out), key=repr) == sorted(
+        [(1, i, 10 * i, 10, 192, h) for i, h in ((0, 256), (1, 256), (2, 88))] * 2 + [(None, 0, 0, 10, 192, 1)], key=repr
+    )
+    assert all(sum(r.red) == 192 * (1 if r.doc_id is None else 256) and r.red == r.green == r.blue for r in out)
+    assert b"".join(bytes(r.indices) for r in sorted((r for r in out if r.doc_id == 1), key=lambda r: r.frame)[::2]) == bytes(range(192)) * 600
+    assert gif.frames(media.limit(0)).count() == 0
 
 
 def test_gif_disposal_and_transparency():
@@ -316,6 +419,45 @@ def test_gif_disposal_and_transparency():
     assert seen == [[red, green], [blue, green], [green, green]] and [f.delay for f in frames] == [5, 5, 5]
 
 
+def gif_file(width, height, palette, *images, background=0):
+    """A file of images (left, top, w, h, pixels, disposal, transparent, local palette, interlaced) with two-bit samples."""
+    two = lambda *v: b"".join(x.to_bytes(2, "little") for x in v)
+    data = b"GIF89a" + two(width, height) + bytes([0x81 if palette else 0, background, 0]) + palette
+    for left, top, w, h, pixels, disposal, transparent, local, interlaced in images:
+        stream = gif.lzw_encode(bytes(pixels), 2)
+        data += bytes([0x21, 0xF9, 4, disposal << 2 | (transparent is not None)]) + two(7) + bytes([transparent or 0, 0])
+        data += b"\x2c" + two(left, top, w, h) + bytes([(0x81 if local else 0) | (0x40 if interlaced else 0)]) + (local or b"")
+        data += b"\x02" + bytes([len(stream)]) + stream + b"\x00"
+    return data + b"\x3b"
+
+
+def test_gif_background_local_palettes_and_interlacing():
+    black, red, green, blue = [0, 0, 0], [255, 0, 0], [0, 255, 0], [0, 0, 255]
+    palette, local = bytes(sum([black, red, green, blue], [])), bytes(sum([blue, green, red, black], []))
+    one = gif_file(2, 1, palette, (0, 0, 2, 1, [1, 2], 2, None, None, False), (0, 0, 1, 1, [2], 1, None, None, False), background=3)
+    assert [f.canvas.reshape(-1, 3).tolist() for f in gif.decode(one)] == [[red, green], [green, blue]]
+    own = gif_file(2, 1, palette, (0, 0, 2, 1, [1, 2], 1, None, local, False), (0, 0, 2, 1, [1, 0], 1, 0, None, False))
+    assert [f.canvas.reshape(-1, 3).tolist() for f in gif.decode(own)] == [[green, red], [red, red]]
+    rows = [i % 4 for i in range(9)]
+    order = [0, 8, 4, 2, 6, 1, 3, 5, 7]
+    woven = gif_file(1, 9, palette, (0, 0, 1, 9, [rows[i] for i in order], 1, None, None, True))
+    assert gif.decode(woven)[0].indices.ravel().tolist() == rows
+
+
+def test_gif_damage():
+    whole = gif.encode_bytes(bytes(range(192)) * 20)
+    with pytest.raises(ValueError):
+        gif.decode(b"PNG")
+    stream = gif.lzw_encode(b"abcabcabc" * 50)
+    assert b"abcabcabc" * 50 == gif.lzw_decode(stream) and (b"abcabcabc" * 50).startswith(gif.lzw_decode(stream[: len(stream) // 2]))
+    assert gif.decode(whole)[0].indices.tobytes() == bytes(range(192)) * 20
+
+
+def test_lzw_time_grows_with_the_stream():
+    data = np.random.default_rng(1).integers(0, 256, 300_000, np.uint8).tobytes()
+    assert gif.lzw_decode(gif.lzw_encode(data)) == data
+
+
 def test_lzw_round_trip():
     rng = np.random.default_rng(0)
     for data in (b"", b"a", b"aaaa" * 9000, rng.integers(0, 256, 20_000, np.uint8).tobytes(), b"the cat sat " * 3000):

@@ -26,10 +26,12 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); where it is unset, a temporary one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tidemark-"))
     return _own_dir[0]
@@ -97,30 +99,26 @@ def with_position(df: DataFrame) -> DataFrame:
         return df.withColumns({"_file": F.lit(""), "_at": F.monotonically_increasing_id()})
 
 
-def numbered_in_order(df: DataFrame, group: str, out: str, rows_per_task: int = 100_000) -> DataFrame:
+def numbered_in_order(df: DataFrame, group: str, out: str, slice_rows: int = 10_000) -> DataFrame:
     """Number the rows of each group from 0 by _file and _at (see ``with_position``), in slices of neighbours.
 
-    ``group``, _file and _at hold no nulls.
+    ``group``, _file and _at hold no nulls.  _file and _at stay.
     """
-    df = df.withColumn("_slice", F.struct("_file", F.floor(F.col("_at") / rows_per_task).alias("at")))
-    return _placed(df, group, ["_at"], out).drop("_file", "_at")
+    df = df.withColumn("_slice", F.struct("_file", F.floor(F.col("_at") / slice_rows).alias("at")))
+    return _placed(df, group, ["_at"], out)
 
 
-def numbered(df: DataFrame, group: str, key: str, out: str, rows_per_task: int = 100_000) -> DataFrame:
+def numbered(df: DataFrame, group: str, key: str, out: str, digits: int = 3) -> DataFrame:
     """Number the rows of each group from 0 by md5 of ``key`` without gathering a group in one task.
 
-    A row's md5 orders it; the leading hex digits cut a group into slices whose sizes are counted
-    first, so a row's number is its slice's offset plus its place in the slice.  The digits used only
-    set the slices' size: the numbers are the same for any ``rows_per_task``.  Null keys come first,
-    equal keys take neighbouring numbers in no stated order.  ``group`` holds no nulls, so the join by
-    equality finds the rows where the window has put them.
+    A row's md5 orders it; its leading hex ``digits`` cut a group into slices (4,096 for three) whose sizes are
+    counted first, so a row's number is its slice's offset plus its place in the slice.  The slices are the same
+    at every size, and the numbers are the same for any ``digits``.  Null keys come first, equal keys take
+    neighbouring numbers in no stated order.  ``group`` holds no nulls, so the join by equality finds the rows
+    where the window has put them.
     """
-    total = df.count()
-    digits = 0
-    while 16**digits * rows_per_task < total and digits < 8:
-        digits += 1
     df = df.withColumn("_order", F.coalesce(F.md5(F.col(key).cast("string").cast("binary")), F.lit("")))
-    df = df.withColumn("_slice", F.substring("_order", 1, digits) if digits else F.lit(""))
+    df = df.withColumn("_slice", F.substring("_order", 1, digits))
     return _placed(df, group, ["_order", key], out).drop("_order")
 
 

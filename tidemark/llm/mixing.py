@@ -100,25 +100,25 @@ def mixed_order(
     docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", period: int = 1000, block: int = 20
 ) -> DataFrame:
     """One row per document: id, source, block number, slot, mix_rank (unique, ascending in the mixed order)."""
-    rows = _ranked(docs.select(F.col(id_col), F.col(source_col)), weights, id_col, source_col, period, block)
-    return rows.select(F.col(id_col), F.col(source_col), "block", "slot", "mix_rank")
+    rows = _ranked(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source")), weights, period, block)
+    return rows.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "block", "slot", "mix_rank")
 
 
 def mixed_rows(
     docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", period: int = 1000, block: int = 20
 ) -> DataFrame:
     """The rows of ``docs`` with all their columns, sorted by the mixed order."""
-    rows = docs.select(F.col(id_col), F.col(source_col), F.struct(*docs.columns).alias("_doc"))
-    return _ranked(rows, weights, id_col, source_col, period, block).orderBy("mix_rank").select("_doc.*")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.struct(*docs.columns).alias("_doc"))
+    return _ranked(rows, weights, period, block).orderBy("mix_rank").select("_doc.*")
 
 
-def _ranked(docs: DataFrame, weights: DataFrame | None, id_col: str, source_col: str, period: int, block: int) -> DataFrame:
-    """``docs`` and block, slot and mix_rank.
+def _ranked(docs: DataFrame, weights: DataFrame | None, period: int, block: int) -> DataFrame:
+    """``docs`` (_id, _source and others) and block, slot and mix_rank.
 
-    ``weights`` is (source, weight: long); sources it leaves out weigh 1.  By default a source weighs the
+    ``weights`` is (source, weight: long); sources it leaves out weigh 1, sources without documents do not count.  By default a source weighs the
     square root of its number of documents, in thousandths.
     """
-    key = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
+    key = F.coalesce(F.concat(F.lit("s:"), F.col("_source").cast("string")), F.lit("null"))
     base = docs.withColumn("source_key", key)
     found = base.groupBy("source_key").agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
@@ -128,6 +128,6 @@ def _ranked(docs: DataFrame, weights: DataFrame | None, id_col: str, source_col:
         weighted = found.join(given, "source_key", "left").withColumn("weight", F.greatest(F.coalesce("_w", F.lit(1)), F.lit(1)).cast("long"))
     sources = weighted.select("source_key", F.col("weight"), F.expr(f"(_n + {int(block)} - 1) div {int(block)}").alias("blocks"))
     schedule = written(block_schedule(written(sources, "mixing-sources"), period), "mixing-schedule")
-    rows = numbered(base, "source_key", id_col, "_row").withColumn("block", F.floor(F.col("_row") / block).cast("long"))
+    rows = numbered(base, "source_key", "_id", "_row").withColumn("block", F.floor(F.col("_row") / block).cast("long"))
     rows = rows.join(schedule, ["source_key", "block"], "left")
     return rows.withColumn("mix_rank", F.col("slot") * block + F.col("_row") % block)

@@ -2,13 +2,13 @@
 
 A dynamic program over the global histogram of lengths chooses bucket limits that minimise padding (every
 document is padded to its bucket's limit).  Batches of a bucket hold as many documents as the token budget
-allows at that limit, one at least; a document longer than the budget has a batch of its own and is kept whole.
+allows at that limit, one at least.  A document longer than the budget has a batch of its own, is kept whole
+and needs no padding: these form one more bucket, after the others, whose limit is each document's own length.
 
-The histogram is exact up to ``exact`` tokens and has ``exact / 2`` cells an octave above, each standing for
-its largest length, so its size depends on the longest document's logarithm alone; within that the limits are
-optimal.  Documents are numbered inside a bucket by md5 of their id, or in the order they were written in, in slices,
-so no bucket meets in one task.
-Null and empty texts have 0 tokens and are packed like any other.
+The histogram is exact.  It covers the lengths up to the budget, so it has ``budget`` + 1 rows at most, whatever
+the corpus; that is all that reaches the driver.  Documents are numbered inside a bucket by md5 of their id, or
+in the order they were written in, in slices of fixed size, so no bucket meets in one task.
+Null and empty texts have 0 tokens and are packed like any other.  Repeated ids keep a row each.
 """
 
 from __future__ import annotations
@@ -90,32 +90,43 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | N
 
 
 def packed(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536, tokenizer: str | None = None, exact: int = 1024,
-    in_order: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536, tokenizer: str | None = None, in_order: bool = False,
 ) -> DataFrame:
     """One row per document: id, n_tokens, bucket (from 0, by length), bucket_limit, batch (from 0 in its bucket),
     place (from 0 in its batch), padding.
 
     Batches of a bucket are filled by md5 of the ids; with ``in_order`` in the order ``docs`` was written in.
     """
-    places = ("_file", "_at") if in_order else ()
-    counts = written(token_counts(with_position(docs) if in_order else docs, id_col, text_col, tokenizer, places), "packing-counts")
-    octave = F.greatest(F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))) - int(np.log2(exact)) + 1, F.lit(0))
-    step = F.when(F.col("n_tokens") <= exact, F.lit(1).cast("long")).otherwise(F.expr("1L") * F.pow(F.lit(2.0), octave).cast("long"))
-    cell = F.ceil(F.col("n_tokens") / step) * step
-    counts = counts.withColumn("_cell", cell.cast("long"))
-    cells = counts.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("longest"))
-    hist = cells.orderBy("_cell").toPandas()
-    limits = optimal_limits(hist["longest"].to_numpy(), hist["n"].to_numpy(), hist["t"].to_numpy(), buckets)
+    return _placements(docs, id_col, text_col, buckets, budget, tokenizer, in_order).drop("_file", "_at")
+
+
+def packed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536, tokenizer: str | None = None) -> DataFrame:
+    """``docs`` as written, all columns and rows, with the columns of ``packed(in_order=True)`` after them.
+
+    Rows find their places by where they stand in the written files, so repeated and null ids keep their own.
+    Columns of ``docs`` that are named like the new ones give way to them.
+    """
+    places = written(_placements(docs, id_col, text_col, buckets, budget, tokenizer, True).drop(id_col), "packing-places")
+    rows = with_position(docs).drop(*(c for c in places.columns if c not in ("_file", "_at")))
+    return rows.join(places.hint("merge"), ["_file", "_at"]).drop("_file", "_at")
+
+
+def _placements(docs: DataFrame, id_col: str, text_col: str, buckets: int, budget: int, tokenizer: str | None, in_order: bool) -> DataFrame:
+    """The rows of ``packed``; with ``in_order`` also _file and _at."""
+    position = ("_file", "_at") if in_order else ()
+    counts = written(token_counts(with_position(docs) if in_order else docs, id_col, text_col, tokenizer, position), "packing-counts")
+    hist = counts.where(F.col("n_tokens") <= budget).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toPandas()
+    lengths, n = hist["n_tokens"].to_numpy(), hist["n"].to_numpy()
+    limits = optimal_limits(lengths, n, lengths * n, buckets)
     bucket = F.lit(0)
-    for limit in limits[:-1]:
+    for limit in limits:
         bucket = bucket + (F.col("n_tokens") > limit).cast("int")
-    table = F.array(*(F.lit(x).cast("long") for x in limits)) if limits else F.array(F.lit(0).cast("long"))
-    counts = counts.drop("_cell").withColumn("bucket", bucket)
+    counts = counts.withColumn("bucket", bucket)
     placed = numbered_in_order(counts, "bucket", "_row") if in_order else numbered(counts, "bucket", id_col, "_row")
-    limit = F.element_at(table, F.col("bucket") + 1)
+    table = F.array(*(F.lit(x).cast("long") for x in limits)) if limits else F.array().cast("array<long>")
+    limit = F.coalesce(F.get(table, F.col("bucket")), F.col("n_tokens"))
     room = F.greatest(F.floor(F.lit(budget) / F.greatest(limit, F.lit(1))), F.lit(1))
     return placed.select(
-        F.col(id_col), "n_tokens", "bucket", limit.alias("bucket_limit"), F.floor(F.col("_row") / room).cast("long").alias("batch"),
+        F.col(id_col), *position, "n_tokens", "bucket", limit.alias("bucket_limit"), F.floor(F.col("_row") / room).cast("long").alias("batch"),
         (F.col("_row") % room).cast("long").alias("place"), (limit - F.col("n_tokens")).alias("padding"),
     )

@@ -24,42 +24,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by the sparse rule ensemble."""
     return quality_rules_ensemble.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of all documents by the boosted trees."""
     return quality_gbt.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page by the fixed rules."""
     return url_filters.url_verdicts(_table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
 
 
 def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of personal data in all documents."""
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket, batch and place of all documents, 8 buckets and 65,536 tokens a batch."""
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block, slot and place in the mixed order of all documents; a source weighs the root of its size."""
     return mixing.mixed_order(_table(spark, sf_dir, "documents"))
 
 
 def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive, written, read back and described."""
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and component of all documents."""
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a GIF, read back into timed frames and described."""
     return gif.round_trip(_table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from all documents as parts of repeated windows, and the digest of the rest."""
     return substring_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
