@@ -10,7 +10,7 @@ from tidemark.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts go, null and repeated ids are judged by their texts."""
     return quality_gbt.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -23,18 +23,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced; n_chars follows the new text."""
+    """All documents, personal data in their texts replaced; n_chars follows the new text, null texts and n_chars stay null."""
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their rows in the mixed order."""
+    """All documents, their rows in the mixed order; a null source is a source of its own, repeated ids keep a row each."""
     return mixing.mixed_rows(docs)
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bucket, batch and place of every document; a bucket's batches are filled in the mixed order."""
-    return packing.packed(docs, in_order=True)
+    """All documents with their bucket, batch and place; a bucket's batches are filled in the mixed order.
+
+    Null texts have no tokens and are packed with the shortest; repeated and null ids keep a row each.
+    """
+    return packing.packed_rows(docs)
 
 
 STAGES = [
