@@ -200,7 +200,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             found.append((span[0], KINDS.index(kind), span[1]))
         after[kind] = span[1]
 
-    for last, (what, length) in _AUTOMATON.iter(text.lower() if text.isascii() else text.translate(_FOLD)):
+    low = text.lower()
+    for last, (what, length) in _AUTOMATON.iter(low if len(low) == len(text) else text.translate(_FOLD)):  # some capitals grow in lower case
         at = last - length + 1
         if what == "digit":
             if at >= after["card"]:
