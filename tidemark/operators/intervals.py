@@ -6,6 +6,8 @@ Every operator drops intervals that are empty, reversed or have a null key or en
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,18 +30,36 @@ def islands(df: DataFrame, gap: int | None = None) -> DataFrame:
     return marked.withColumn("_i", F.sum(new.cast("int")).over(order)).groupBy("key", "_i").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("_i")
 
 
+#: Cells of a coarser level hold this many of the finer one; three levels span all of BIGINT.
+COARSER, LEVELS = 256, 3
+
+
+def _cells(t0: str, t1: str, bucket: int) -> tuple[Column, Column]:
+    """(level, cells): the level of an interval by its length, and the (level, cell) structs at that level and above."""
+    length = F.col(t1) - F.col(t0)
+    level = F.when(length < bucket * COARSER, 0).when(length < bucket * COARSER**2, 1).otherwise(2)
+    at = lambda n: F.transform(
+        F.sequence(F.floor(F.col(t0) / (bucket * COARSER**n)), F.floor((F.col(t1) - 1) / (bucket * COARSER**n))), lambda c: F.struct(F.lit(n).alias("level"), c.alias("cell"))
+    )
+    none = F.array().cast("array<struct<level:int,cell:bigint>>")
+    return level, F.concat(*(F.when(level <= n, at(n)).otherwise(none) for n in range(LEVELS)))
+
+
 def overlapping(a: DataFrame, b: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` (its columns renamed b_*) with equal keys and overlapping intervals.
 
-    Both sides are cut into buckets and joined by key and bucket, so a long key is spread over many tasks; a
-    pair is formed only in the bucket where its overlap begins, so none appears twice.
+    Both sides are cut into cells and joined by key and cell, so a long key is spread over many tasks.  A long interval
+    has cells of a coarser level only, a short one also stands in the coarse cell it lies in, so no row has many cells.
+    A pair is formed at the coarser one's level, in the cell where its overlap begins, so none appears twice.
     """
-    cells = lambda t0, t1: F.explode(F.sequence(F.floor(F.col(t0) / bucket), F.floor((F.col(t1) - 1) / bucket)))
-    left = proper(a).withColumn("_cell", cells("t0", "t1"))
-    right = proper(b).select(*(F.col(c).alias(f"b_{c}") for c in b.columns)).withColumn("_bcell", cells("b_t0", "b_t1"))
+    (la, ca), (lb, cb) = _cells("t0", "t1", bucket), _cells("b_t0", "b_t1", bucket)
+    left = proper(a).withColumn("_level", la).withColumn("_cell", F.explode(ca))
+    right = proper(b).select(*(F.col(c).alias(f"b_{c}") for c in b.columns)).withColumn("_blevel", lb).withColumn("_bcell", F.explode(cb))
     on = (F.col("key") == F.col("b_key")) & (F.col("_cell") == F.col("_bcell")) & (F.col("t0") < F.col("b_t1")) & (F.col("b_t0") < F.col("t1"))
-    first = F.floor(F.greatest("t0", "b_t0") / bucket)
-    return left.join(right, on).where(F.col("_cell") == first).drop("_cell", "_bcell")
+    level = F.greatest("_level", "_blevel")
+    first = F.floor(F.greatest("t0", "b_t0") / (F.lit(bucket) * F.pow(F.lit(COARSER), level)))
+    pairs = left.join(right, on).where((F.col("_cell.level") == level) & (F.col("_cell.cell") == first))
+    return pairs.drop("_cell", "_bcell", "_level", "_blevel")
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -116,8 +136,56 @@ def butt_layout(keep: DataFrame) -> DataFrame:
 
 
 def shares(points: DataFrame, spans: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Left-semi stab: the points (key, t, ...) that some interval of ``spans`` contains (start in, end out)."""
-    inside = islands(spans).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("t0") / bucket), F.floor((F.col("t1") - 1) / bucket))))
-    inside = inside.select(F.col("key").alias("_key"), "t0", "t1", "_cell")
-    on = (F.col("key") == F.col("_key")) & (F.floor(F.col("t") / bucket) == F.col("_cell")) & (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1"))
-    return points.join(inside, on, "left_semi")
+    """Left-semi stab: the points (key, t, ...) that some interval of ``spans`` contains (start in, end out).
+
+    The merged spans are disjoint, so a point has one partner at most.
+    """
+    stabs = overlapping(points.withColumns({"t0": F.col("t"), "t1": F.col("t") + 1}), islands(spans), bucket)
+    return stabs.select(*points.columns)
+
+
+def overlap_length(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(key, covered): the time that both cover, 0 where they do not meet; keys of either side."""
+    both = intersect(a, b).groupBy("key").agg(F.sum(F.col("t1") - F.col("t0")).alias("_n"))
+    keys = proper(a).select("key").union(proper(b).select("key")).distinct()
+    return keys.join(both, "key", "left").select("key", F.coalesce("_n", F.lit(0)).alias("covered"))
+
+
+def snap_edges(df: DataFrame, move: Callable[[Column], Column]) -> DataFrame:
+    """Both edges moved by ``move``; intervals that vanish go, the others are merged."""
+    return islands(proper(df).select("key", move(F.col("t0")).alias("t0"), move(F.col("t1")).alias("t1")))
+
+
+def kept_and_removed(keep: DataFrame, scope: DataFrame) -> DataFrame:
+    """(key, t0, t1, kept): the scope cut into what is kept and what is removed; either list gives the other."""
+    kept = intersect(keep, scope).withColumn("kept", F.lit(True))
+    return kept.unionByName(subtract(scope, keep).withColumn("kept", F.lit(False)))
+
+
+def split_items(items: DataFrame, removed: DataFrame) -> DataFrame:
+    """Items (key, id, t0, t1, src_in) cut by removed intervals and closed up: (key, id, part, t0, t1, src_in, src_out).
+
+    Each part that stays moves left by what is removed before it; an item that lies in a removed interval goes.
+    """
+    cut = islands(removed)
+    order = Window.partitionBy("key").orderBy("t0").rowsBetween(Window.unboundedPreceding, 0)
+    upto = cut.withColumn("_gone", F.sum(F.col("t1") - F.col("t0")).over(order))
+    hits = overlapping(items, upto).select("key", "id", "t0", "t1", "src_in", F.col("b_t0").alias("c0"), F.col("b_t1").alias("c1"), F.col("b__gone").alias("gone"))
+    starts = items.where("t0 < t1").select("key", "id", F.col("t0").alias("t"))
+    marks = upto.select("key", F.col("t0").alias("t"), F.struct("t0", "t1", "_gone").alias("_cut"))
+    line = Window.partitionBy("key").orderBy("t", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = starts.select("*", F.lit(None).cast(marks.schema["_cut"].dataType).alias("_cut")).unionByName(marks.select("key", F.lit(None).cast("long").alias("id"), "t", "_cut"))
+    before = both.withColumn("_last", F.last("_cut", ignorenulls=True).over(line)).where("id is not null")
+    # what is removed before an item's start: all of the last cut at or before it if it has ended, else up to its own start
+    gone = F.when(F.col("_last.t1") <= F.col("t"), F.col("_last._gone")).otherwise(F.col("_last._gone") - (F.col("_last.t1") - F.col("_last.t0")))
+    own = items.where("t0 < t1").join(before.select("key", "id", F.coalesce(gone, F.lit(0)).alias("gone")), ["key", "id"])
+    edges = hits.unionByName(own.select("key", "id", "t0", "t1", "src_in", F.lit(None).cast("long").alias("c0"), F.col("t0").alias("c1"), "gone"))
+    # a part runs from a cut's end (or the item's start) to the next cut's start
+    each = Window.partitionBy("key", "id").orderBy(F.asc_nulls_first("c0"), "c1")
+    end = F.coalesce(F.lead("c0").over(each), F.col("t1"))
+    parts = edges.select("key", "id", "t0", "src_in", "gone", F.greatest("c1", "t0").alias("a"), F.least(end, "t1").alias("b")).where("a < b")
+    part = F.row_number().over(Window.partitionBy("key", "id").orderBy("a")) - 1
+    return parts.select(
+        "key", "id", part.alias("part"), (F.col("a") - F.col("gone")).alias("t0"), (F.col("b") - F.col("gone")).alias("t1"),
+        (F.col("src_in") + F.col("a") - F.col("t0")).alias("src_in"), (F.col("src_in") + F.col("b") - F.col("t0")).alias("src_out"),
+    )

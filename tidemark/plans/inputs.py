@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import tokens
 
@@ -49,17 +50,40 @@ def series(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("key", "i").agg(F.sum("v").alias("v"))
 
 
+def spoken(spark: SparkSession, d: str) -> DataFrame:
+    """Words of conversations in milliseconds, with pauses and overlaps: key, n (place), text, t0, t1, seg (turn's end).
+
+    A turn's words are counted before they are exploded, so only the turns are shuffled.
+    """
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("key"), "turn", F.filter(F.split("text", "[ \\n\\t]+"), lambda w: w != "").alias("w"))
+    before = Window.partitionBy("key").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("off", F.coalesce(F.sum(F.size("w")).over(before), F.lit(0)))
+    rows = turns.select("key", "off", F.size("w").alias("size"), F.posexplode("w").alias("p", "text")).withColumn("n", (F.col("off") + F.col("p")).cast("long"))
+    t0 = F.col("n") * 1000 + F.col("n") * 37 % 7 * 100
+    return rows.select("key", "n", "text", t0.alias("t0"), (t0 + 200 + F.col("n") * 53 % 5 * 100).alias("t1"), (F.col("p") + 1 == F.col("size")).alias("seg"))
+
+
+def sounding(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of 10 ms that sound: those of the words, but for a third, and some between them."""
+    frames = spoken(spark, d).select("key", "n", F.explode(F.sequence(F.floor(F.col("t0") / 10).cast("long"), F.floor(F.col("t1") / 10).cast("long") + 20)).alias("i"))
+    return frames.where("(n * 7 + i div 9) % 3 != 0").select("key", "i").distinct()
+
+
 def words(spark: SparkSession, d: str) -> DataFrame:
     return tokens.words(table(spark, d, "documents"), "doc_id", "text")
 
 
+SPOKEN = """spoken as (select key, n, text, n * 1000 + n * 37 % 7 * 100 as t0, n * 1000 + n * 37 % 7 * 100 + 200 + n * 53 % 5 * 100 as t1, seg from (
+  select conv_id as key, row_number() over (partition by conv_id order by turn, p) - 1 as n, text, p = size as seg from (
+    select conv_id, turn, len(w) as size, x.text, x.p from (select conv_id, turn, list_filter(string_split_regex(text, '[ \\n\\t]+'), lambda x: x <> '') as w from conversations), unnest(w) with ordinality as x(text, p))))"""
+SOUNDING = "sounding as (select distinct key, i from (select key, n, unnest(range(t0 // 10, t1 // 10 + 21)) as i from spoken) where (n * 7 + i // 9) % 3 <> 0)"
 SPANS = """spans as (select user_id as key, event_id as id, event_type as kind, epoch_us(ts) as t0, cast(floor(value * 100 + 0.5) as bigint) as v,
   epoch_us(ts) + cast(floor(value * 100 + 0.5) as bigint) * 6000000 as t1 from events),
 sa as (select * from spans where kind in ('click', 'view')), sb as (select * from spans where kind not in ('click', 'view')),
 points as (select key, id, t0 as t from sb), marks as (select key, id, t0 as t from sa)"""
 SERIES = """series as (select event_type as key, epoch_us(ts) // 600000000 as i, cast(sum(cast(floor(value * 100 + 0.5) as bigint)) as bigint) as v from events group by all)"""
 WORDS = """words as (select doc_id as key, cast(t.pos - 1 as int) as pos, t.token from documents,
-  unnest(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) with ordinality as t(token, pos))"""
+  unnest(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda x: x <> '')) with ordinality as t(token, pos))"""
 
 
 def merged(source: str, new: str = "e is null or t0 > e") -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import text as tx
 from tidemark.operators import joins, review
@@ -32,6 +33,13 @@ def turns(s, d):
     return table(s, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").cast("long").alias("n"), F.length("text").cast("long").alias("size"), F.col("text"))
 
 
+def answers(s, d):
+    """Every turn with all that was said before it in its conversation."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = table(s, d, "conversations")
+    return turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.array_join(F.collect_list("text").over(before), " ").alias("said"))
+
+
 def chapters(s, d):
     return table(s, d, "conversations").select(F.col("conv_id").alias("key"), (F.col("turn") * 700).alias("t"), F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("title"))
 
@@ -52,7 +60,7 @@ ALL = {
     "tokenize": (lambda s, d: words(s, d), Q("select * from words")),
     "norm_token": (
         lambda s, d: table(s, d, "conversations").select("conv_id", "turn", tx.norm(F.col("text")).alias("norm")),
-        "select conv_id, turn, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') as norm from conversations",
+        "select conv_id, turn, regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g') as norm from conversations",
     ),
     "mask_token": (
         lambda s, d: vocabulary(s, d).select("token", tx.mask(F.col("token")).alias("stars"), tx.mask(F.col("token"), "first").alias("first"), tx.mask(F.col("token"), "full").alias("full")),
@@ -69,8 +77,11 @@ ALL = {
         "select doc_id, unnest(regexp_extract_all(text, '[0-9]+')) as number from documents",
     ),
     "grounding": (
-        lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b")).select("conv_id", F.size(F.array_except(tx.tokens(F.col("a")), tx.tokens(F.col("b")))).alias("missing")),
-        "with t as (select conv_id, turn, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from conversations where turn < 2), p as (select c.conv_id, coalesce(a.w, []) as a, coalesce(b.w, []) as b from (select distinct conv_id from conversations) c left join t a on a.conv_id = c.conv_id and a.turn = 0 left join t b on b.conv_id = c.conv_id and b.turn = 1) select conv_id, cast(len(list_filter(list_distinct(a), lambda x: not list_contains(b, x))) as int) as missing from p",
+        lambda s, d: answers(s, d).select("conv_id", "turn", F.size(F.array_except(tx.tokens(F.col("text")), tx.tokens(F.col("said")))).alias("missing"), F.size(tx.grounded(F.col("text"), F.col("said"))).alias("numbers")),
+        """with t as (select conv_id, turn, coalesce(text, '') as text, coalesce(string_agg(text, ' ') over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), '') as said from conversations),
+        w as (select conv_id, turn, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda x: x <> '') as a, list_filter(string_split(regexp_replace(lower(said), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda x: x <> '') as b,
+          list_transform(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'), lambda x: regexp_replace(x, '[.,]', '', 'g')) as p, list_transform(regexp_extract_all(said, '[0-9]+(?:[.,][0-9]+)*'), lambda x: regexp_replace(x, '[.,]', '', 'g')) as q from t)
+        select conv_id, turn, cast(len(list_filter(list_distinct(a), lambda x: not list_contains(b, x))) as int) as missing, cast(len(list_filter(list_distinct(p), lambda x: not list_contains(q, x))) as int) as numbers from w""",
     ),
     "sequence_ratio": (
         lambda s, d: vocabulary(s, d).select("token", tx.ratio(F.col("token"), F.reverse("token")).alias("ratio")), None,
@@ -92,8 +103,8 @@ ALL = {
     "allow_list": (lambda s, d: words(s, d).join(F.broadcast(lexicon(s)), "token", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n")), Q("select key, count(*) as n from words anti join lex using (token) group by key", LEX_SQL)),
     "phrase_match": (lambda s, d: tk.phrase_match(words(s, d), wanted(s)), None),
     "context_words": (
-        lambda s, d: joins.context_words(words(s, d), 3).where(F.col("token") == "la"),
-        Q("select * from (select key, pos, token, coalesce(string_agg(token, ' ') over (partition by key order by pos rows between 3 preceding and 1 preceding), '') as before, coalesce(string_agg(token, ' ') over (partition by key order by pos rows between 1 following and 3 following), '') as after from words) where token = 'la'"),
+        lambda s, d: joins.context_words(words(s, d), 3),
+        Q("select * from (select key, pos, token, coalesce(string_agg(token, ' ') over (partition by key order by pos rows between 3 preceding and 1 preceding), '') as before, coalesce(string_agg(token, ' ') over (partition by key order by pos rows between 1 following and 3 following), '') as after from words)"),
     ),
     "bag_counts": (lambda s, d: tk.frequencies(words(s, d)), Q("select key, token, count(*) as tf from words group by all")),
     "document_frequency": (lambda s, d: tk.document_frequency(words(s, d)), Q("select token, count(distinct key) as df, count(*) as total from words group by token")),
