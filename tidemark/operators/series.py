@@ -63,26 +63,122 @@ def quietest(df: DataFrame, k: int) -> DataFrame:
     return df.select("key", "i", F.min(F.struct("v", "i")).over(line().rowsBetween(-k, k)).alias("_m")).select("key", "i", F.col("_m.i").alias("at"))
 
 
-def otsu(df: DataFrame) -> DataFrame:
-    """(key, threshold): the level whose split of the histogram of whole values has the most between-class variance.
+def otsu(df: DataFrame, lo: int = -100, hi: int = 0) -> DataFrame:
+    """(key, threshold): the valley of a level histogram of whole units, levels clipped to [lo, hi).
 
-    Of equal levels the lowest.  The histogram, not the frames, is what the windows run over.
+    The threshold is the middle of the plateau, empty bins included, around the lowest split with the most
+    between-class variance (those within a thousandth of it that touch it).  A key whose levels share one bin has no
+    split: its threshold is its 10th percentile (linear) plus 20, -20 at most.  Whole-number sums, so no rounding;
+    the histogram, not the frames, is what the windows run over.
     """
-    hist = df.groupBy("key", F.floor("v").cast("long").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    clipped = F.least(F.greatest("v", F.lit(lo)), F.lit(hi))
+    binned = df.select("key", clipped.alias("v"), F.least(F.floor(clipped), F.lit(hi - 1)).cast("long").alias("b"))
+    hist = binned.groupBy("key", "b").agg(F.count(F.lit(1)).alias("n"))
     up, all_ = Window.partitionBy("key").orderBy("b"), Window.partitionBy("key")
-    low, moment = F.sum("n").over(up), F.sum(F.col("n") * F.col("b")).over(up)
-    total, whole = F.sum("n").over(all_), F.sum(F.col("n") * F.col("b")).over(all_)
-    h = hist.select("key", "b", low.alias("w0"), moment.alias("m0"), total.alias("w"), whole.alias("m")).where("w0 < w")
-    spread = (F.col("m") * F.col("w0") - F.col("m0") * F.col("w")) ** 2 / (F.col("w0") * (F.col("w") - F.col("w0")))
-    return h.select("key", "b", spread.alias("s")).groupBy("key").agg(F.max(F.struct(F.col("s"), -F.col("b"))).alias("m")).select("key", (-F.col("m.col2")).alias("threshold"))
-
-
-def frame_owner(df: DataFrame, floor: float, lead: float) -> DataFrame:
-    """(i, owner) of frames (i, key, v): the loudest series that is on and ``lead`` above all others, else 'cross',
-    'unknown' or 'silent'; found by one aggregation that keeps the two loudest."""
-    pair = F.struct((-F.col("v")).alias("d"), F.col("key").alias("k"))
-    top = df.groupBy("i").agg(F.sort_array(F.collect_list(pair)).alias("t"), F.count_if(F.col("v") >= floor).alias("on"))
-    one, two = -F.col("t")[0]["d"], F.try_element_at("t", F.lit(2))
-    clear = two.isNull() | (one + two["d"] >= lead)
-    name = F.when((one >= floor) & clear, F.col("t")[0]["k"].cast("string")).when(F.col("on") >= 2, "cross").when(F.col("on") == 1, "unknown").otherwise("silent")
-    return top.select("i", name.alias("owner"))
+    sums = {"w0": F.sum("n").over(up), "m0": F.sum(F.col("n") * F.col("b")).over(up), "w": F.sum("n").over(all_), "m": F.sum(F.col("n") * F.col("b")).over(all_), "nb": F.lead("b").over(up)}
+    h = hist.select("key", "b", *(c.alias(k) for k, c in sums.items())).where("w0 < w")
+    spread = (F.col("m") * F.col("w0") - F.col("m0") * F.col("w")).cast("double") ** 2 / (F.col("w0") * (F.col("w") - F.col("w0")))
+    h = h.select("key", "b", "nb", spread.alias("s")).withColumn("top", F.max("s").over(all_))
+    peak = F.min(F.when(F.col("s") == F.col("top"), F.col("b"))).over(all_)
+    h = h.withColumn("peak", peak).withColumn("low", (F.col("s") < F.col("top") * 0.999).cast("int")).withColumn("run", F.sum("low").over(up))
+    # rows of a run after its first low one are within the limit; the peak's run is the plateau
+    own = F.max(F.when(F.col("b") == F.col("peak"), F.col("run"))).over(all_)
+    flat = h.withColumn("own", own).where("low = 0 and run = own").groupBy("key").agg(((F.min("b") + F.max("nb")) / 2).alias("t"))
+    single = binned.groupBy("key").agg(F.least(F.percentile("v", F.lit(0.1)) + 20, F.lit(-20)).alias("alone"))
+    return single.join(flat, "key", "left").select("key", F.coalesce("t", "alone").alias("threshold"))
+
+
+def gated(df: DataFrame, hyst: float) -> DataFrame:
+    """Frames (key, i, v, threshold) with ``on``: in a run at or above threshold - ``hyst`` that holds one at or above the threshold."""
+    soft = F.col("v") >= F.col("threshold") - hyst
+    step = soft & F.coalesce(F.lag(soft).over(line()), F.lit(False)) & (F.col("i") - F.lag("i").over(line()) == 1)
+    rows = df.withColumn("_soft", soft).withColumn("_r", F.sum((~step).cast("int")).over(line()))
+    loud = F.max(F.when(F.col("v") >= F.col("threshold"), 1)).over(Window.partitionBy("key", "_r")).isNotNull()
+    return rows.withColumn("on", F.col("_soft") & loud).drop("_soft", "_r")
+
+
+def frame_owner(df: DataFrame, lead: float, smooth: int, floor: float, priority: DataFrame | None = None, enough: int = 100, otherwise: float = -50.0, hyst: float = 4.0) -> DataFrame:
+    """(i, owner) of frames (i, key, v) of several microphones.
+
+    A moving maximum over ``smooth`` frames to both sides bridges syllables; each microphone is gated by its own Otsu
+    valley (``otherwise`` with fewer than ``enough`` frames above ``floor``).  The owner is on and ``lead`` above all
+    others; with several on and no owner it is the one with the highest ``priority`` (key, rank > 0) if that is unique,
+    else 'cross'; one on is 'unknown', none 'silent'.  Two windows by microphone and one aggregation by frame.
+    """
+    near = line().rowsBetween(-smooth, smooth)
+    level = df.select("key", "i", F.max("v").over(near).alias("v"))
+    signal = level.where(F.col("v") > floor + 0.5)
+    counts = signal.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    limits = otsu(signal).join(counts, "key").select("key", F.when(F.col("_n") >= enough, F.col("threshold")).otherwise(otherwise).alias("threshold"))
+    rows = gated(level.join(limits, "key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(otherwise))), hyst)
+    rows = rows.withColumn("rank", F.lit(0)) if priority is None else rows.join(priority.select("key", "rank"), "key", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    mic = F.struct((-F.col("v")).alias("d"), F.col("key").cast("string").alias("k"), "on")
+    ranked = F.struct((-F.col("rank")).alias("d"), F.col("key").cast("string").alias("k"))
+    by = rows.groupBy("i").agg(F.sort_array(F.collect_list(mic)).alias("t"), F.sort_array(F.collect_list(F.when(F.col("on"), ranked))).alias("p"), F.count_if("on").alias("n"))
+    first, second, p = F.col("t")[0], F.try_element_at("t", F.lit(2)), F.col("p")
+    clear = first["on"] & (second.isNull() | (second["d"] - first["d"] >= lead))
+    single = (p[0]["d"] < 0) & (F.try_element_at("p", F.lit(2)).isNull() | (F.try_element_at("p", F.lit(2))["d"] > p[0]["d"]))
+    name = F.when(clear, first["k"]).when((F.col("n") >= 2) & single, p[0]["k"]).when(F.col("n") >= 2, "cross").when(F.col("n") == 1, "unknown").otherwise("silent")
+    return by.select("i", name.alias("owner"))
+
+
+def lanes(owners: DataFrame, bridge: int, least: int, least_cross: int) -> DataFrame:
+    """(key, i0, i1): when each owner of ``frame_owner`` speaks, gaps under ``bridge`` frames closed."""
+    rows = owners.where(~F.col("owner").isin("unknown", "silent")).select(F.col("owner").alias("key"), "i")
+    spans = runs(rows, F.lit(True), bridge - 1)
+    return spans.where(F.col("i1") - F.col("i0") >= F.when(F.col("key") == "cross", least_cross).otherwise(least))
+
+
+def z_scores(df: DataFrame, reach: int) -> DataFrame:
+    """Distance of v from the median of the frames in [i - reach, i + reach), over their population deviation plus 1."""
+    near = Window.partitionBy("key").orderBy("i").rangeBetween(-reach, reach - 1)
+    return df.select("key", "i", ((F.col("v") - F.percentile("v", F.lit(0.5)).over(near)) / (F.stddev_pop("v").over(near) + 1)).alias("z"))
+
+
+def smoothed(df: DataFrame, reach: int) -> DataFrame:
+    """Median of three rows, the ends repeated, and the mean of the frames within ``reach``."""
+    v, before, after = F.col("v"), F.coalesce(F.lag("v").over(line()), F.col("v")), F.coalesce(F.lead("v").over(line()), F.col("v"))
+    median = F.greatest(F.least(v, before), F.least(v, after), F.least(before, after))
+    return df.select("key", "i", median.alias("median3"), F.avg("v").over(line().rangeBetween(-reach, reach)).alias("mean"))
+
+
+def bars(df: DataFrame, most: int) -> DataFrame:
+    """(key, bar, peak, total, n): the frames of a key pooled into at most ``most`` bars of nearly equal numbers of frames."""
+    place, size = F.row_number().over(line()), F.count(F.lit(1)).over(Window.partitionBy("key"))
+    rows = df.select("key", "v", place.alias("p"), size.alias("n"))
+    wanted = F.least(F.col("n"), F.lit(most))
+    bar = F.floor((F.col("p") * wanted - 1) / F.col("n")).cast("long")
+    return rows.groupBy("key", bar.alias("bar")).agg(F.max("v").alias("peak"), F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def music_score(df: DataFrame, live: float = -85.0, window: int = 100, enough: int = 100) -> DataFrame:
+    """(key, active, dips, score) of frames (key, i, v in dB), i from 0: how much a signal is like music, 0 to 1.
+
+    ``active`` is the share of frames within 20 dB of the 95th percentile of live ones, ``dips`` the share of whole
+    windows that hold a dip of 15 dB.  Under ``enough`` live frames all is 0; under three windows the score is ``active``.
+    """
+    stats = df.where(F.col("v") > live).groupBy("key").agg(F.percentile("v", F.lit(0.95)).alias("top"), F.count(F.lit(1)).alias("_live"))
+    size = df.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.join(stats, "key", "left").join(size, "key")
+    act = rows.groupBy("key", "_live", "_n").agg(F.avg((F.col("v") > F.col("top") - 20).cast("int")).alias("active"))
+    whole = rows.where(F.col("i") < F.floor(F.col("_n") / window) * window).groupBy("key", F.floor(F.col("i") / window).alias("_w")).agg((F.max("v") - F.min("v") >= 15).cast("int").alias("_d"))
+    dips = whole.groupBy("key").agg(F.avg("_d").alias("dips"), F.count(F.lit(1)).alias("_k"))
+    out = act.join(dips, "key", "left")
+    enough_live, three = F.coalesce(F.col("_live") >= enough, F.lit(False)), F.coalesce(F.col("_k") >= 3, F.lit(False))
+    score = F.least(F.greatest((F.col("active") - 0.6) / 0.3, F.lit(0.0)), F.lit(1.0)) * (1 - 0.6 * F.col("dips"))
+    return out.select(
+        "key", F.when(enough_live, F.col("active")).otherwise(0.0).alias("active"), F.when(enough_live & three, F.col("dips")).otherwise(0.0).alias("dips"),
+        F.when(~enough_live, 0.0).when(~three, F.col("active")).otherwise(score).alias("score"),
+    )
+
+
+def loudness(df: DataFrame, offset: float = -0.691) -> DataFrame:
+    """(key, loudness): gated mean level of blocks (key, i, power) of 100 ms: means of four in a row, those over -70 dB,
+    of these the ones within 10 dB of their mean; null where nothing passes."""
+    four = F.avg("power").over(line().rowsBetween(0, 3))
+    size = F.count(F.lit(1)).over(line().rowsBetween(0, 3))
+    db = lambda c: offset + 10 * F.log10(c + 1e-20)
+    blocks = df.select("key", four.alias("p"), size.alias("_n")).where("_n = 4").withColumn("l", db(F.col("p"))).where("l > -70")
+    gate_ = blocks.groupBy("key").agg((db(F.avg("p")) - 10).alias("g"))
+    loud = blocks.join(gate_, "key").where("l > g").groupBy("key").agg(db(F.avg("p")).alias("loudness"))
+    return df.select("key").distinct().join(loud, "key", "left")

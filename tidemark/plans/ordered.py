@@ -44,10 +44,6 @@ def items(s, d):
     return spans(s, d).select("key", F.col("id").alias("n"), "t0", "t1", "kind", (F.col("v") % 2 == 0).alias("on"))
 
 
-def owned(s, d):
-    return series(s, d).withColumn("i", F.floor(F.col("i") / 6))
-
-
 ITEMS = "items as (select key, id as n, t0, t1, kind, v % 2 = 0 as \"on\" from spans)"
 IDS = """ids as (select key, n, t0, t1, kind, substr(kind, 1, 1) || cast(t0 // 10000 as varchar)
   || case when p > 1 then '-' || cast(p as varchar) else '' end as id from (
@@ -84,31 +80,19 @@ ALL = {
         lambda s, d: sr.quietest(series(s, d), 4),
         Q("select key, i, min(struct_pack(v := v, i := i)) over (partition by key order by i rows between 4 preceding and 4 following).i as at from series"),
     ),
-    "otsu_threshold": (
-        lambda s, d: sr.otsu(series(s, d).withColumn("v", F.floor(F.col("v") / 100))),
-        Q("""select key, b as threshold from (select *, (m * w0 - m0 * w) ** 2 / (w0 * (w - w0)) as s from (
-          select key, b, sum(n) over (partition by key order by b) as w0, sum(n * b) over (partition by key order by b) as m0, sum(n) over (partition by key) as w, sum(n * b) over (partition by key) as m
-          from (select key, v // 100 as b, cast(count(*) as double) as n from series group by all)) where w0 < w) qualify row_number() over (partition by key order by s desc, b) = 1"""),
-    ),
-    "frame_owner": (
-        lambda s, d: sr.frame_owner(owned(s, d).groupBy("key", "i").agg(F.sum("v").alias("v")), 2000, 1500),
-        Q("""select i, case when m >= 2000 and (second is null or m - second >= 1500) then top when n_on >= 2 then 'cross' when n_on = 1 then 'unknown' else 'silent' end as owner from (
-          select i, max(v) as m, (list_sort(list(v), 'desc'))[2] as second, arg_max(key, v) as top, count(*) filter (v >= 2000) as n_on
-          from (select key, i // 6 as i, sum(v) as v from series group by all) group by i)"""),
-    ),
     "spaced_topk": (
-        lambda s, d: rank.spaced_top(candidates(s, d), 24 * HOUR, 1_000_000).select("key", "id", "t", "score"),
-        greedy_sql(CAND, "score desc, t0, id", f"abs(y.t0 - c.t0) < {24 * HOUR}", "x.id as id, x.t0 as t, x.score as score"),
+        lambda s, d: rank.spaced_top(candidates(s, d), 24 * HOUR, 5).select("key", "id", "t", "score"),
+        greedy_sql(CAND, "score desc, t0, id", f"len(w.kept) >= 5 or abs(y.t0 - c.t0) < {24 * HOUR}", "x.id as id, x.t0 as t, x.score as score"),
     ),
     "nms": (
         lambda s, d: rank.suppressed(candidates(s, d)),
-        greedy_sql(CAND, "score desc, t0, id", "100 * (least(y.t1, c.t1) - greatest(y.t0, c.t0)) > 25 * least(y.t1 - y.t0, c.t1 - c.t0)", "x.id as id, x.t0 as t0, x.t1 as t1, x.score as score"),
+        greedy_sql(CAND, "score desc, t0, id", "100 * (least(y.t1, c.t1) - greatest(y.t0, c.t0)) > 25 * least(y.t1 - y.t0, c.t1 - c.t0) or 10 * (least(y.t1, c.t1) - greatest(y.t0, c.t0)) >= 3 * (greatest(y.t1, c.t1) - least(y.t0, c.t0))", "x.id as id, x.t0 as t0, x.t1 as t1, x.score as score"),
     ),
     "merge_close": (
         lambda s, d: rank.merge_close(candidates(s, d), 6 * HOUR),
         greedy_sql(CAND, "t0, id", f"c.t0 - y.t0 < {6 * HOUR}", "x.id as id, x.t0 as t"),
     ),
-    "budget_pick": (lambda s, d: rank.budgeted(candidates(s, d), 48 * HOUR, 3), None),
+    "budget_pick": (lambda s, d: rank.budgeted(candidates(s, d), 48 * HOUR, 3), greedy_sql(CAND, "t0, id", f"len(list_filter(w.kept, lambda z: c.t0 - z.t0 < {48 * HOUR})) >= 3", "x.id as id, x.t0 as t")),
     "choose_angles": (lambda s, d: rank.round_robin(points(s, d), {"left": 2, "wide": 1, "right": 3}), None),
     "topk_per_group": (
         lambda s, d: rank.top_per_group(candidates(s, d), [F.desc("score"), F.col("id")], 5).select("key", "id", "score", "place"),
