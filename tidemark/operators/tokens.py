@@ -17,10 +17,14 @@ def words(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.posexplode(tokens(F.col(text))).alias("pos", "token"))
 
 
+def nexts(df: DataFrame, n: int) -> Column:
+    """The words from here on, ``n`` at most."""
+    return F.collect_list("token").over(line().rowsBetween(0, n - 1))
+
+
 def grams(df: DataFrame, n: int) -> DataFrame:
     """(key, pos, gram): every n consecutive words."""
-    parts = [F.col("token"), *(F.lead("token", j).over(line()) for j in range(1, n))]
-    return df.select("key", "pos", F.concat_ws(" ", *parts).alias("gram"), parts[-1].alias("_end")).where("_end is not null").drop("_end")
+    return df.select("key", "pos", nexts(df, n).alias("_w")).where(F.size("_w") == n).select("key", "pos", F.array_join("_w", " ").alias("gram"))
 
 
 def stutters(df: DataFrame) -> DataFrame:
@@ -49,20 +53,34 @@ def phrases(df: DataFrame, starts: Column) -> DataFrame:
     return out.select("key", "phrase", "p0", "p1", F.array_join(F.col("_w.token"), " ").alias("text"))
 
 
-def lexicon(df: DataFrame, entries: DataFrame, small: bool = True) -> DataFrame:
-    """Words found in ``entries`` (token, lemma, tier); ``small``: entries are known to fit a broadcast."""
-    return df.join(F.broadcast(entries) if small else entries, "token").select("key", "pos", "token", "lemma", "tier")
+#: Entries of a list up to which it is broadcast; longer ones are joined by shuffling.
+BROADCAST = 100_000
+
+
+def listed(entries: DataFrame) -> DataFrame:
+    """``entries``, broadcast when they are counted and few."""
+    return F.broadcast(entries) if entries.limit(BROADCAST + 1).count() <= BROADCAST else entries
+
+
+def lexicon(df: DataFrame, entries: DataFrame) -> DataFrame:
+    """Words found in ``entries`` (token, lemma, tier)."""
+    return df.join(listed(entries), "token").select("key", "pos", "token", "lemma", "tier")
 
 
 def phrase_match(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Occurrences of phrases (phrase, n) of 1 to 3 words; longer ones win, then earlier ones; kept ones never overlap.
+    """(key, pos, phrase): occurrences of phrases (phrase, n words) of any length, from left to right; at a place the
+    longest wins, and a match hides those that start inside it.
 
-    A kept match hides later matches that start inside it, so the choice is a fold over a key's matches in order.
+    One window gathers the words that follow each word, as many as the longest phrase has; the choice is a fold over a
+    key's matches in order.
     """
-    found = None
-    for n in (1, 2, 3):
-        one = grams(df, n).join(F.broadcast(wanted.where(F.col("n") == n)), F.col("gram") == F.col("phrase")).select("key", "pos", "phrase", F.lit(n).alias("n"))
-        found = one if found is None else found.unionByName(one)
+    sizes = sorted(r.n for r in wanted.select("n").distinct().collect())  # the lengths of phrases, a handful
+    if not sizes:
+        return df.select("key", "pos", F.lit("").alias("phrase")).limit(0)
+    ahead = df.select("key", "pos", nexts(df, sizes[-1]).alias("_w"))
+    some = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.size("_w"))
+    each = ahead.withColumn("n", F.explode(some)).select("key", "pos", "n", F.array_join(F.slice("_w", F.lit(1), F.col("n")), " ").alias("phrase"))
+    found = each.join(listed(wanted.select("phrase", "n").distinct()), ["phrase", "n"])
     seen = F.sort_array(F.collect_list(F.struct("pos", (-F.col("n")).alias("minus"), "phrase")))
     start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<pos:int,phrase:string>>").alias("kept"))
     step = lambda acc, x: F.when(
@@ -80,24 +98,12 @@ def document_frequency(df: DataFrame) -> DataFrame:
     return df.groupBy("token").agg(F.count_distinct("key").alias("df"), F.count(F.lit(1)).alias("total"))
 
 
-def titles(df: DataFrame, least: int = 2, top: int = 3) -> DataFrame:
-    """(key, place, token): a key's most telling words by tf * tf / total, longer words first among equals.
-
-    The score is compared as a whole number of millionths, so that engines agree on ties.
-    """
-    tf = frequencies(df).where(F.length("token") >= 4)
-    total = tf.groupBy("token").agg(F.sum("tf").alias("total"))
-    score = F.floor(F.expr("tf * tf * 1000000L div total"))
-    ranked = tf.where(F.col("tf") >= least).join(total, "token").withColumn("score", score)
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), F.desc(F.length("token")), F.desc("token")))
-    return ranked.withColumn("place", place).where(F.col("place") <= top).select("key", "place", "token", "score")
-
-
 def neighbour_overlap(df: DataFrame, block: int) -> DataFrame:
-    """Between each block of words and the next: the dot product and norms of their bags (cosine = dot / sqrt(a * b))."""
+    """Between each block of words and the next: the dot product and norms of their bags, and their cosine in thousandths."""
     bag = df.groupBy("key", F.floor(F.col("pos") / block).alias("b"), "token").agg(F.count(F.lit(1)).alias("n"))
     norm = bag.groupBy("key", "b").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
     other = bag.select("key", (F.col("b") - 1).alias("b"), "token", F.col("n").alias("n2"))
     dot = bag.join(other, ["key", "b", "token"]).groupBy("key", "b").agg(F.sum(F.col("n") * F.col("n2")).alias("dot"))
     pair = norm.join(norm.select("key", (F.col("b") - 1).alias("b"), F.col("q").alias("q2")), ["key", "b"])
-    return pair.join(dot, ["key", "b"], "left").select("key", "b", F.coalesce("dot", F.lit(0)).alias("dot"), "q", "q2")
+    both = pair.join(dot, ["key", "b"], "left").select("key", "b", F.coalesce("dot", F.lit(0)).alias("dot"), "q", "q2")
+    return both.withColumn("cosine", F.floor(1000 * F.col("dot") / F.sqrt(F.col("q").cast("double") * F.col("q2")) + 1e-6).cast("long"))

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import algebra, ordered, relational, scoring, signals, spoken, stateful, text, timeline, topics
+from tidemark.plans import algebra, cuts, ordered, relational, scoring, signals, spoken, stateful, text, timeline, topics
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (algebra, ordered, scoring, text, stateful, relational, timeline, spoken, signals, topics):
+for part in (algebra, ordered, scoring, text, stateful, relational, timeline, spoken, signals, topics, cuts):
     QUERIES |= {name: query for name, (query, _) in part.ALL.items()}
     ORACLE_SQL |= {name: sql for name, (_, sql) in part.ALL.items() if sql}

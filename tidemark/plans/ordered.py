@@ -93,7 +93,6 @@ ALL = {
         greedy_sql(CAND, "t0, id", f"c.t0 - y.t0 < {6 * HOUR}", "x.id as id, x.t0 as t"),
     ),
     "budget_pick": (lambda s, d: rank.budgeted(candidates(s, d), 48 * HOUR, 3), greedy_sql(CAND, "t0, id", f"len(list_filter(w.kept, lambda z: c.t0 - z.t0 < {48 * HOUR})) >= 3", "x.id as id, x.t0 as t")),
-    "choose_angles": (lambda s, d: rank.round_robin(points(s, d), {"left": 2, "wide": 1, "right": 3}), None),
     "topk_per_group": (
         lambda s, d: rank.top_per_group(candidates(s, d), [F.desc("score"), F.col("id")], 5).select("key", "id", "score", "place"),
         S(f"select * from (select key, id, score, row_number() over (partition by key order by score desc, id) as place from ({CAND})) where place <= 5"),

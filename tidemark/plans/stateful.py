@@ -26,7 +26,7 @@ def scored(s, d):
 
 
 def chapter_rows(s, d):
-    return table(s, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("key"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("title"))
+    return table(s, d, "events").select(F.col("user_id").alias("key"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("title"))
 
 
 def scope(s, d):
@@ -41,7 +41,6 @@ HOLES = f"""v as (select key, i as t0, i + 1 as t1 from series where v >= 1000),
 w as (select key, i as t0, i + 1 as t1 from series where v % 3 = 0), iw as {merged('w')}, rest as {minus('iv', 'iw')}"""
 
 ALL = {
-    "sentences": (lambda s, d: sq.sentences(timed(s, d), 1000, 6, 40_000), None),
     "fix_overlaps": (lambda s, d: sq.without_overlaps(spans(s, d).where("t0 < t1"), 1_000_000), f"""with recursive {SPANS}, r as (
       select *, row_number() over (partition by key order by t0, t1, id) as n from spans where t0 < t1), w as (
       select key, n, id, t0, greatest(t1, t0 + 1000000) as t1 from r where n = 1 union all

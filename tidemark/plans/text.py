@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as tx
+from tidemark.operators import chapters as ch
 from tidemark.operators import joins, review
 from tidemark.operators import tokens as tk
 from tidemark.plans.inputs import WORDS, table, words
@@ -13,10 +14,17 @@ from tidemark.plans.inputs import WORDS, table, words
 Q = lambda body, *more: f"with {', '.join([WORDS, *more])} {body}"
 #: Fixed entries of the lexicon queries (token, lemma, tier) and of the phrase queries.
 LEXICON = (("the", "the", 1), ("and", "and", 1), ("de", "de", 2), ("que", "que", 2), ("la", "la", 2), ("ment", "ment", 3))
-PHRASES = ("de la", "la", "que la de", "the", "en de")
+PHRASES = ("de la", "la", "que la de", "the", "en de", "de la de la de")
 LEX_SQL = "lex(token, lemma, tier) as (values " + ", ".join(f"('{t}', '{m}', {n})" for t, m, n in LEXICON) + ")"
 
 
+PHRASE_SQL = f"""with recursive {WORDS}, p(phrase, n) as (values {', '.join(f"('{x}', {len(x.split())})" for x in PHRASES)}),
+  m as (select key, pos, n, phrase, row_number() over (partition by key order by pos) as r from (select w.key, w.pos, p.n, p.phrase from (select key, pos, list(token) over (partition by key order by pos rows between current row and 4 following) as t from words) w join p on array_to_string(w.t[1:p.n], ' ') = p.phrase and len(w.t) >= p.n
+    qualify row_number() over (partition by w.key, w.pos order by p.n desc) = 1)),
+  walk as (select key, r, pos + n as stop, true as taken, pos, phrase from m where r = 1 union all select m.key, m.r, case when m.pos >= w.stop then m.pos + m.n else w.stop end, m.pos >= w.stop, m.pos, m.phrase from walk w join m on m.key = w.key and m.r = w.r + 1)
+  select key, pos, phrase from walk where taken"""
+
+
 def lexicon(s):
     return s.createDataFrame(list(LEXICON), "token string, lemma string, tier int")
 
@@ -100,8 +108,8 @@ ALL = {
         Q("select key, phrase, min(pos) as p0, max(pos) as p1, string_agg(token, ' ' order by pos) as text from (select *, cast(sum(case when pos = 0 or token in ('the', 'de') then 1 else 0 end) over (partition by key order by pos) as bigint) as phrase from words) group by key, phrase"),
     ),
     "lexicon_lookup": (lambda s, d: tk.lexicon(words(s, d), lexicon(s)), Q("select key, pos, token, lemma, tier from words join lex using (token)", LEX_SQL)),
-    "allow_list": (lambda s, d: words(s, d).join(F.broadcast(lexicon(s)), "token", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n")), Q("select key, count(*) as n from words anti join lex using (token) group by key", LEX_SQL)),
-    "phrase_match": (lambda s, d: tk.phrase_match(words(s, d), wanted(s)), None),
+    "allow_list": (lambda s, d: words(s, d).join(tk.listed(lexicon(s)), "token", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n")), Q("select key, count(*) as n from words anti join lex using (token) group by key", LEX_SQL)),
+    "phrase_match": (lambda s, d: tk.phrase_match(words(s, d), wanted(s)), PHRASE_SQL),
     "context_words": (
         lambda s, d: joins.context_words(words(s, d), 3),
         Q("select * from (select key, pos, token, coalesce(string_agg(token, ' ') over (partition by key order by pos rows between 3 preceding and 1 preceding), '') as before, coalesce(string_agg(token, ' ') over (partition by key order by pos rows between 1 following and 3 following), '') as after from words)"),
@@ -109,12 +117,12 @@ ALL = {
     "bag_counts": (lambda s, d: tk.frequencies(words(s, d)), Q("select key, token, count(*) as tf from words group by all")),
     "document_frequency": (lambda s, d: tk.document_frequency(words(s, d)), Q("select token, count(distinct key) as df, count(*) as total from words group by token")),
     "tfidf_titles": (
-        lambda s, d: tk.titles(words(s, d)),
-        Q("select key, place, token, score from (select *, row_number() over (partition by key order by score desc, length(token) desc, token desc) as place from (select key, token, tf, cast(tf * tf * 1000000 // total as bigint) as score from tf join (select token, cast(sum(tf) as bigint) as total from tf group by token) using (token) where tf >= 2)) where place <= 3", "tf as (select key, token, count(*) as tf from words where length(token) >= 4 group by all)"),
+        lambda s, d: ch.keyword_titles(tk.frequencies(words(s, d)).where(F.length("token") >= 4).select(F.lit(0).alias("key"), F.col("key").alias("part"), "token", "tf")).select(F.col("part").alias("doc"), "place", "token", "score"),
+        Q("select doc, row_number() over (partition by doc order by score desc, length(token) desc, token desc) as place, token, score from (select tf.key as doc, tf.token, cast(floor(1e6 * tf * tf / total * (1 + ln((select count(distinct key) from tf) / df)) + 0.001) as bigint) as score from tf join (select token, cast(sum(tf) as bigint) as total, count(*) as df from tf group by token) using (token) where tf >= 2 and 5 * tf >= 2 * total) qualify place <= 3", "tf as (select key, token, count(*) as tf from words where length(token) >= 4 group by all)"),
     ),
     "cosine_adjacent": (
         lambda s, d: tk.neighbour_overlap(words(s, d), 100),
-        Q("select a.key, a.b, cast(coalesce((select sum(x.n * y.n) from bag x join bag y on x.key = y.key and x.b + 1 = y.b and x.token = y.token where x.key = a.key and x.b = a.b), 0) as bigint) as dot, a.q, b.q as q2 from norm a join norm b on a.key = b.key and a.b + 1 = b.b", "bag as (select key, pos // 100 as b, token, count(*) as n from words group by all)", "norm as (select key, b, cast(sum(n * n) as bigint) as q from bag group by all)"),
+        Q("select a.key, a.b, cast(coalesce((select sum(x.n * y.n) from bag x join bag y on x.key = y.key and x.b + 1 = y.b and x.token = y.token where x.key = a.key and x.b = a.b), 0) as bigint) as dot, a.q, b.q as q2, cast(floor(1000 * coalesce((select sum(x.n * y.n) from bag x join bag y on x.key = y.key and x.b + 1 = y.b and x.token = y.token where x.key = a.key and x.b = a.b), 0) / sqrt(cast(a.q as double) * b.q) + 0.000001) as bigint) as cosine from norm a join norm b on a.key = b.key and a.b + 1 = b.b", "bag as (select key, pos // 100 as b, token, count(*) as n from words group by all)", "norm as (select key, b, cast(sum(n * n) as bigint) as q from bag group by all)"),
     ),
     "youtube_lines": (
         lambda s, d: review.chapter_lines(chapters(s, d)),

@@ -54,6 +54,46 @@ def audible(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("muted") & ~F.col("disabled") & F.col("path").isNotNull())
 
 
+def of_media(media: DataFrame) -> DataFrame:
+    """Sequences of one clip each, in the form of ``clips``, from media (path, duration)."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    zero = F.lit(0.0)
+    return media.select(
+        F.sha1("path").alias("id"), F.lit("video").alias("kind"), F.lit(0).alias("track"), name.alias("name"), "path", zero.alias("t0"), F.col("duration").alias("t1"),
+        zero.alias("src_in"), F.col("duration").alias("src_out"), F.lit(1.0).alias("speed"), F.lit(False).alias("disabled"), F.lit(False).alias("muted"), F.lit(0).alias("clip"),
+    )
+
+
+def json_texts(spark: SparkSession, path: str, schema: str, default: str = "{}") -> DataFrame:
+    """(file, data): one row per JSON file, a byte order mark ignored; files that are no JSON give the default's data."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    good = F.when(F.expr("try_parse_json(value)").isNotNull(), F.col("value")).otherwise(F.lit(default))
+    return raw.select("file", F.from_json(good, schema).alias("data"))
+
+
+def cached_words(spark: SparkSession, path: str, media: DataFrame, version: int, model: str | None = None, lang: str | None = None) -> DataFrame:
+    """(path, n, text, t0, t1, seg, prob) of the word caches (v, hash, model, lang, words) whose version and media's hash are
+    current, and whose model and language are the asked ones; ``media`` is (path, hash).  Media without a cache give no rows."""
+    schema = "v int, hash string, model string, lang string, words array<struct<text:string,start:double,end:double,seg_end:int,prob:double>>"
+    docs = json_texts(spark, path, schema).select("data.*").where(F.col("v") == version)
+    docs = docs if model is None else docs.where(F.col("model") == model)
+    docs = docs if lang is None else docs.where(F.col("lang") == lang)
+    rows = media.select("path", "hash").join(docs.dropDuplicates(["hash"]), "hash").select("path", F.posexplode("words").alias("n", "w"))
+    return rows.select("path", "n", F.col("w.text").alias("text"), F.col("w.start").alias("t0"), F.col("w.end").alias("t1"), (F.coalesce("w.seg_end", F.lit(0)) > 0).alias("seg"), F.coalesce("w.prob", F.lit(1.0)).alias("prob"))
+
+
+def library(spark: SparkSession, folder: str, suffixes: tuple[str, ...], depth: int, exclude: tuple[str, ...] = (), most: int = 5000) -> DataFrame:
+    """(file, size): media files under a folder by suffix, up to ``depth`` folders down, without those in excluded or hidden
+    folders; the first ``most`` by name.  Only names are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size"))
+    root = "file:" + folder.rstrip("/") + "/" if folder.startswith("/") else folder.rstrip("/") + "/"
+    inner = F.substr("path", F.length(F.lit(root)) + 1)
+    parts = F.split(inner, "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    kept = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*suffixes) & (F.size(folders) <= depth) & ~F.exists(folders, lambda x: x.startswith(".") | x.isin(*exclude))
+    return files.where(kept).select(inner.alias("file"), "size").orderBy("file").limit(most)
+
+
 def write_texts(lines: DataFrame, path: str, column: str, order: list[str]) -> None:
     """One text file per key under ``path``/key=..., its lines in order."""
     lines.repartition("key").sortWithinPartitions("key", *order).select("key", F.col(column).cast("string").alias("value")).write.partitionBy("key").text(path)
