@@ -27,12 +27,6 @@ def test_budget(spark):
     assert sorted(r.t for r in rank.budgeted(df, 20, 3).collect()) == kept
 
 
-def test_round_robin_shares(spark):
-    df = spark.createDataFrame([("k", i) for i in range(60)], "key string, id long")
-    got = [r.option for r in rank.round_robin(df, {"a": 1, "b": 2, "c": 3}).orderBy("id").collect()]
-    assert (got.count("a"), got.count("b"), got.count("c")) == (10, 20, 30)
-
-
 def test_gate_and_runs(spark):
     v = [0, 5, 9, 5, 0, 5, 5, 0]
     df = spark.createDataFrame([("k", i, x) for i, x in enumerate(v)], "key string, i long, v long")

@@ -1,0 +1,204 @@
+"""Walks over one key's rows: against brute force, and on small cases made by hand."""
+
+import random
+from difflib import SequenceMatcher
+
+from tidemark.functions import text as tx
+from tidemark.operators import chapters as ch
+from tidemark.operators import highlights as hl
+from tidemark.operators import intervals as iv
+from tidemark.operators import repeats as rp
+from tidemark.operators import shots as sh
+from tidemark.operators import transcript as tr
+
+WORDS = "key string, n long, text string, t0 long, t1 long, seg boolean"
+
+
+def said(spark, text, pauses=None, seg=(), step=400):
+    """One key's words, 300 ms each with 100 ms between; ``pauses`` adds time before a word."""
+    rows, at = [], 0
+    for n, w in enumerate(text.split()):
+        at += (pauses or {}).get(n, 0)
+        rows.append(("k", n, w, at, at + 300, n in seg))
+        at += step
+    return spark.createDataFrame(rows, WORDS)
+
+
+LEX = rp.Lexicon(
+    stop=frozenset(["the", "a", "to"]), conjunctions=frozenset(["and"]), pointers=frozenset(["this"]), doubles=frozenset(["very"]), sorry=frozenset(["sorry"]),
+    markers=(("no", "sorry"), ("sorry",)),
+)
+
+
+def found(spark, text, *kinds, **more):
+    return [(r.i, r.j, r.conf) for r in rp.candidates(said(spark, text, **more), LEX, kinds).orderBy("i").collect()]
+
+
+def test_stutters(spark):
+    assert found(spark, "we open open the page now", "stutter") == [(1, 2, 75)]
+    assert found(spark, "go to go to go to town now", "stutter") == [(0, 4, 90)]
+    assert found(spark, "it is very very good", "stutter") == []
+    assert found(spark, "take this this now", "stutter") == [(1, 2, 50)]
+    assert found(spark, "open open", "stutter") == [(0, 1, 60)]
+    assert found(spark, "we open open now", "stutter", pauses={2: 2000}) == []
+    assert found(spark, "um um yes", "stutter") == []
+
+
+def test_restarts_corrections_and_retakes(spark):
+    assert found(spark, "then we open the file then we open the page now", "restart") == [(0, 5, 50)]
+    assert found(spark, "we start and we start here now", "restart") == []
+    assert found(spark, "press the green button sorry press the red button now", "correction", pauses={4: 700, 5: 700}) == [(0, 5, 80)]
+    out = found(spark, "first choose your new product name first choose your new product name carefully then save", "retake", pauses={6: 900})
+    assert out == [(0, 6, 90)]
+
+
+def test_detection_keeps_the_surest(spark):
+    df = said(spark, "then we open open the file then we open the page now")
+    all_ = [(r.kind, r.i, r.j, r.conf) for r in rp.candidates(df, LEX).collect()]
+    best = rp.detected(df, LEX).collect()
+    assert {(r.kind, r.i, r.j) for r in best} <= {x[:3] for x in all_}
+    for kind, i, j, conf in all_:
+        assert any(r.conf >= conf and r.i < j and i < r.j for r in best)
+    spans = sorted((r.i, r.j) for r in best)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_back_to_back_against_scanning(spark):
+    rng = random.Random(5)
+    least = {1: 4, 2: 3, 3: 3}
+    rows, want = [], []
+    for key in range(30):
+        tokens = [rng.choice("ab") if rng.random() < 0.8 else "c" for _ in range(40)]
+        rows += [(str(key), n, t, n * 10, n * 10 + 9, False) for n, t in enumerate(tokens)]
+        i = 0
+        while i < len(tokens):
+            best = (0, 0, 0)
+            for size in (1, 2, 3):
+                times = 1
+                while tokens[i + times * size : i + (times + 1) * size] == tokens[i : i + size] and i + (times + 1) * size <= len(tokens):
+                    times += 1
+                if times >= least[size] and times * size > best[0]:
+                    best = (times * size, size, times)
+            if best[0]:
+                want.append((str(key), i, best[1], best[2]))
+            i += max(best[0], 1)
+    out = tr.back_to_back(spark.createDataFrame(rows, WORDS), least).collect()
+    assert sorted((r.key, r.n, r.size, r.times) for r in out) == sorted(want) and want
+
+
+def test_fillers(spark):
+    df = said(spark, "um so very very good very um", pauses={1: 500})
+    out = rp.filler_candidates(df, {"um": "always", "so": "tic", "very": "ambiguous"}, frozenset([("very", "very")]), 9000).orderBy("w0").collect()
+    assert [(r.w0, r.w1, r.tier, r.before, r.after) for r in out] == [(0, 0, "always", 9000, 600), (1, 1, "tic", 600, 100), (2, 3, "ambiguous", 100, 100), (5, 5, "ambiguous", 100, 100), (6, 6, "always", 100, 9000)]
+
+
+def test_topic_share_against_all_pairs(spark):
+    rng = random.Random(6)
+    tokens = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    terms = tokens[:6] + ["zzzz"]
+    rows = [(f"k{i % 7}", t) for i, t in enumerate(tokens)]
+    hit = lambda t, w: w == t or (len(t) >= 4 and w.startswith(t[:5])) or (abs(len(t) - len(w)) <= 3 and SequenceMatcher(None, t, w).ratio() >= 0.82)
+    want = {k: 1000 * sum(any(hit(t, w) for x, w in rows if x == k) for t in set(terms)) // len(set(terms)) for k in {r[0] for r in rows}}
+    out = rp.topic_share(spark.createDataFrame(rows, "key string, token string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert {r.key: r.share for r in out.collect()} == want
+
+
+def test_merged_chapters(spark):
+    rng = random.Random(7)
+    rows, ends = [], []
+    for k in range(20):
+        t = sorted(rng.sample(range(0, 1000, 5), rng.randrange(1, 12)))
+        rows += [(f"k{k}", x, f"c{i}") for i, x in enumerate(t)]
+        ends.append((f"k{k}", t[-1] + rng.randrange(10, 200)))
+    out = ch.merged(spark.createDataFrame(rows, "key string, t long, title string"), spark.createDataFrame(ends, "key string, t1 long"), 4, 60).collect()
+    for key, end in ends:
+        before = [(t, n) for k, t, n in rows if k == key]
+        after = sorted((r.t, r.title) for r in out if r.key == key)
+        lengths = [b - a for a, b in zip([t for t, _ in after], [*[t for t, _ in after][1:], end])]
+        assert after[0][0] == before[0][0] and {t for t, _ in after} <= {t for t, _ in before} and {n for _, n in after} <= {n for _, n in before}
+        assert len(after) == min(len(before), 3) or (len(after) >= 3 and len(after) <= 5 and min(lengths) >= 60)
+    one = ch.merged(spark.createDataFrame([("k", t, n) for t, n in ((0, "a"), (50, "b"), (60, "c"), (200, "d"))], "key string, t long, title string"), spark.createDataFrame([("k", 400)], "key string, t1 long"), 3, 20)
+    assert sorted((r.t, r.title) for r in one.collect()) == [(0, "a"), (60, "c"), (200, "d")]
+
+
+def test_fit(spark):
+    units = [("k", i, i * 10, i * 10 + (8 if i != 4 else 10), 0 if i < 8 else 1, i == 2) for i in range(12)]
+    df = spark.createDataFrame(units, "key string, n long, t0 long, t1 long, grp long, filler boolean")
+    starts = spark.createDataFrame([("k", 0, 0, 0), ("k", 1, 7, 7), ("k", 2, 8, 9), ("k", 3, 3, 4), ("k", 4, 0, 7)], "key string, id long, a long, b long")
+    out = {r.id: (r.a, r.b) for r in hl.fitted(df, starts, 25, 50, 30, 1, 1).collect()}
+    assert out == {0: (0, 2), 1: (5, 7), 2: (8, 10), 3: (3, 5), 4: (0, 4)}
+
+
+def test_speaker_shots_and_cutaways(spark):
+    runs = [("k", "a", 0, 100), ("k", "silent", 100, 110), ("k", "b", 110, 130), ("k", "a", 130, 260), ("k", "b", 260, 400), ("k", "cross", 400, 500), ("k", "unknown", 500, 520)]
+    df = spark.createDataFrame(runs, "key string, label string, i0 long, i1 long")
+    scope = spark.createDataFrame([("k", 0, 520)], "key string, t0 long, t1 long")
+    rules = sh.Rules(confirm=30, cross=60, silence=50, least=50, early=5, reaction=50, reaction_every=50)
+    out = [tuple(r)[1:] for r in sh.speaker_shots(df, scope, rules).orderBy("t0").collect()]
+    assert out == [(0, 255, "a", "start"), (255, 400, "b", "speech"), (400, 520, "wide", "crosstalk")]
+    cut = [tuple(r)[1:] for r in sh.cutaways(sh.speaker_shots(df, scope, rules), df, rules).orderBy("t0").collect()]
+    assert cut == [(0, 80, "a", "start"), (80, 130, "b", "reaction"), (130, 255, "a", "back"), (255, 400, "b", "speech"), (400, 520, "wide", "crosstalk")]
+
+
+def test_split_points_and_angles(spark):
+    span = spark.createDataFrame([("k", 0, 0, 100)], "key string, id long, t0 long, t1 long")
+    starts = spark.createDataFrame([("k", t, 100 if t in (28, 61) else 40) for t in range(4, 100, 3)], "key string, t long, strength long")
+    points = [r.t for r in sh.split_points(span, starts, 10, 30).orderBy("t").collect()]
+    pieces = [b - a for a, b in zip([0, *points], [*points, 100])]
+    assert points[0] == 28 and 61 in points and all(10 <= p <= 60 for p in pieces)
+    rng = random.Random(8)
+    shots, t = [], 0
+    for i in range(300):
+        length = rng.randrange(20, 60)
+        shots.append(("k", i, t, t + length, ["b"] if i % 10 == 0 else []))
+        t += length
+    df = spark.createDataFrame(shots, "key string, id long, t0 long, t1 long, misfits array<string>")
+    out = sh.choose_angles(df, {"a": 3, "b": 2, "c": 1}, {"a": 100, "b": 150, "c": 120}).orderBy("id").collect()
+    names = [r.angle for r in out]
+    assert all(x != y for x, y in zip(names, names[1:])) and not any(r.angle == "b" and r.id % 10 == 0 for r in out)
+    time = {a: sum(s[3] - s[2] for s, n in zip(shots, names) if n == a) / t for a in "abc"}
+    assert abs(time["a"] - 1 / 2) < 0.05 and abs(time["b"] - 1 / 3) < 0.05 and abs(time["c"] - 1 / 6) < 0.05
+    held = [r.angle for r in sh.choose_angles(df, {"a": 1, "b": 1}, {"a": 100, "b": 150}, hold=200).orderBy("id").collect()]
+    assert sum(x != y for x, y in zip(held, held[1:])) < 80
+
+
+def test_activity_sessions(spark):
+    rows = [("k", t, False, 100, 100, 200, 200, 10) for t in (0, 5, 10)] + [("k", 30, False, 150, 150, 260, 260, 10), ("k", 35, False, 150, 150, 260, 260, 10)]
+    rows += [("k", 60, True, 0, 0, 1000, 1000, 99), ("k", 61, False, 100, 100, 200, 200, 10), ("k", 65, False, 0, 0, 900, 900, 50), ("k", 66, False, 100, 100, 200, 200, 10)]
+    df = spark.createDataFrame(rows, "key string, t long, global boolean, x0 long, y0 long, x1 long, y1 long, w long")
+    out = [tuple(r)[1:] for r in sh.activity_sessions(df, 600, 12, 5, 25, 600, 20, 2, 5).orderBy("t0").collect()]
+    assert out == [(0, 35, 100, 100, 260, 260, 50, 5, 2)]
+
+
+def test_ripple_items_against_units(spark):
+    rng = random.Random(9)
+    items = [("k", i, a := rng.randrange(0, 150), a + rng.randrange(1, 40), rng.randrange(100)) for i in range(30)]
+    removed = [("k", a := rng.randrange(0, 180), a + rng.randrange(1, 15)) for _ in range(8)]
+    gone = {t for _, a, b in removed for t in range(a, b)}
+    new, n = {}, 0
+    for t in range(400):
+        new[t] = n
+        n += t not in gone
+    want = set()
+    for _, i, a, b, src in items:
+        want |= {(i, new[t], src + t - a) for t in range(a, b) if t not in gone}
+    out = iv.split_items(spark.createDataFrame(items, "key string, id long, t0 long, t1 long, src_in long"), spark.createDataFrame(removed, "key string, t0 long, t1 long")).collect()
+    assert {(r.id, r.t0 + k, r.src_in + k) for r in out for k in range(r.t1 - r.t0)} == want and all(r.t1 - r.t0 == r.src_out - r.src_in > 0 for r in out)
+
+
+def test_very_long_intervals(spark):
+    year = 365 * 86_400_000_000
+    a = [("k", 0, 0, 12_000 * year), ("k", 1, 5, 6), ("k", 2, 3 * year, 3 * year + 40 * 86_400_000_000), ("k", 3, -(2**62), 2**62)]
+    b = [("k", 0, 4, 7), ("k", 1, 12_000 * year - 1, 12_000 * year + 1), ("k", 2, 2 * year, 4 * year), ("k", 3, -5, 0)]
+    kind = "key string, id long, t0 long, t1 long"
+    out = iv.overlapping(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)).collect()
+    assert sorted((r.id, r.b_id) for r in out) == sorted((x[1], y[1]) for x in a for y in b if x[2] < y[3] and y[2] < x[3])
+
+
+def test_scalar_texts(spark):
+    df = spark.createDataFrame([("aabbb", "kitten"), ("hellooo", "sitting"), (None, "x")], "a string, b string")
+    out = df.select(tx.collapse(df.a), tx.ratio(df.a, df.b), tx.mask(df.b, "bleep")).collect()
+    assert [r[0] for r in out] == ["aab", "hello", None] and [r[2] for r in out] == ["[bleep]"] * 3
+    assert [r[1] for r in out] == [SequenceMatcher(None, x, y, autojunk=False).ratio() if x else None for x, y in (("aabbb", "kitten"), ("hellooo", "sitting"), (None, "x"))]
+    patch = spark.createDataFrame([('{"a": 1, "b": {"c": 2, "d": 3}}', '{"b": {"c": null}, "e": [1]}'), (None, '{"a": null, "b": 1}'), ('{"a": 1}', None), ("{", "{}")], "x string, y string")
+    assert [r[0] for r in patch.select(tx.merge_patch(patch.x, patch.y)).collect()] == ['{"a":1,"b":{"d":3},"e":[1]}', '{"b":1}', '{"a":1}', None]

@@ -57,10 +57,12 @@ def test_stream_label_changes(spark, tmp_path):
     assert got == [("a", 0, "x"), ("a", 2, "y"), ("a", 4, "x"), ("b", 0, "z")]
 
 
-def test_sentences_and_pages(spark):
-    words = [("k", i, i * 400, i * 400 + 300, i in (2, 7)) for i in range(10)] + [("k", 20, 20_000, 20_300, False)]
-    df = spark.createDataFrame(words, "key string, pos int, t0 long, t1 long, stop boolean")
-    assert [(r.w0, r.w1) for r in sq.sentences(df, 1000, 3, 40_000).orderBy("w0").collect()] == [(0, 2), (3, 7), (8, 9), (20, 20)]
+def test_stream_label_changes_with_nulls(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0, None), ("a", 1, None), ("a", 2, "x"), ("a", 3, None)], "key string, i long, label string")
+    assert sorted((r.i, r.label) for r in stream(spark, df, tmp_path, spans.label_changes, "append").collect()) == [(0, None), (2, "x"), (3, None)]
+
+
+def test_pages(spark):
     text = spark.createDataFrame([("k", i, w) for i, w in enumerate("aa bb cccc dddddddd e".split())], "key string, pos int, token string")
     assert [(r.page, r.line, r.text) for r in sq.pages(text, 5, 2).orderBy("p0").collect()] == [(0, 0, "aa bb"), (0, 1, "cccc"), (1, 0, "dddddddd"), (1, 1, "e")]
 
@@ -86,3 +88,23 @@ def test_state_machines(spark):
     line = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate([0, 1, 2, 3, 0, 0])], "key string, i long, v double")
     assert [r.i for r in sq.simplified(line, 0.1).orderBy("i").collect()] == [0, 3, 4, 5]
     assert sq.shots(frames.limit(0), 2, 3).count() == 0
+
+
+def test_caches_libraries_and_single_clips(spark, tmp_path):
+    for name, text in {
+        "a.json": "\ufeff" + '{"v": 3, "hash": "h1", "model": "m", "lang": "id", "words": [{"text": " hi", "start": 0.5, "end": 0.9, "seg_end": 1}, {"text": "yo", "start": 1.0, "end": 1.2}]}',
+        "old.json": '{"v": 2, "hash": "h2", "words": [{"text": "x", "start": 0, "end": 1}]}', "bad.json": "{not json",
+    }.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    media = spark.createDataFrame([("m1", "h1"), ("m2", "h2"), ("m3", "h3")], "path string, hash string")
+    found = timeline.cached_words(spark, str(tmp_path), media, 3).orderBy("n").collect()
+    assert [(r.path, r.n, r.text, r.seg, r.prob) for r in found] == [("m1", 0, " hi", True, 1.0), ("m1", 1, "yo", False, 1.0)]
+    assert timeline.cached_words(spark, str(tmp_path), media, 3, model="other").count() == 0
+    (tmp_path / "lib" / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "lib" / ".trash").mkdir()
+    for name in ("lib/b.MP4", "lib/a.png", "lib/c.txt", "lib/deep/d.mp4", "lib/deep/er/e.mp4", "lib/.trash/f.mp4"):
+        (tmp_path / name).write_bytes(b"xy")
+    got = [r.file for r in timeline.library(spark, f"{tmp_path}/lib", ("mp4", "png"), 1).orderBy("file").collect()]
+    assert got == ["a.png", "b.MP4", "deep/d.mp4"]
+    clip = timeline.of_media(spark.createDataFrame([("/x/y.mp4", 12.5)], "path string, duration double")).first()
+    assert (clip.name, clip.t0, clip.t1, clip.speed) == ("y.mp4", 0.0, 12.5, 1.0)

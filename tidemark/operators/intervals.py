@@ -36,7 +36,7 @@ COARSER, LEVELS = 256, 3
 
 def _cells(t0: str, t1: str, bucket: int) -> tuple[Column, Column]:
     """(level, cells): the level of an interval by its length, and the (level, cell) structs at that level and above."""
-    length = F.col(t1) - F.col(t0)
+    length = F.col(t1).cast("double") - F.col(t0)
     level = F.when(length < bucket * COARSER, 0).when(length < bucket * COARSER**2, 1).otherwise(2)
     at = lambda n: F.transform(
         F.sequence(F.floor(F.col(t0) / (bucket * COARSER**n)), F.floor((F.col(t1) - 1) / (bucket * COARSER**n))), lambda c: F.struct(F.lit(n).alias("level"), c.alias("cell"))
@@ -66,14 +66,17 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return islands(a.select("key", "t0", "t1").unionByName(b.select("key", "t0", "t1")))
 
 
-def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return overlapping(islands(a), islands(b)).select("key", F.greatest("t0", "b_t0").alias("t0"), F.least("t1", "b_t1").alias("t1"))
+def intersect(a: DataFrame, b: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    return overlapping(islands(a), islands(b), bucket).select("key", F.greatest("t0", "b_t0").alias("t0"), F.least("t1", "b_t1").alias("t1"))
 
 
-def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    """What of ``a`` no interval of ``b`` covers: the gaps between b's pieces inside each interval of ``a``."""
+def subtract(a: DataFrame, b: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """What of ``a`` no interval of ``b`` covers: the gaps between b's pieces inside each interval of ``a``.
+
+    ``bucket`` is the width of the join's cells, in the unit of t0 and t1: some times the usual length.
+    """
     whole = islands(a)
-    cuts = overlapping(whole, islands(b)).select("key", "t0", "t1", "b_t0", "b_t1")
+    cuts = overlapping(whole, islands(b), bucket).select("key", "t0", "t1", "b_t0", "b_t1")
     edges = cuts.unionByName(whole.select("key", "t0", "t1", F.col("t1").alias("b_t0"), F.col("t1").alias("b_t1")))
     before = F.lag("b_t1").over(Window.partitionBy("key", "t0").orderBy("b_t0", "b_t1"))
     gaps = edges.select("key", F.coalesce(before, F.col("t0")).alias("g0"), F.col("b_t0").alias("g1"))

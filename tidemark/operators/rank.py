@@ -62,23 +62,6 @@ def top_per_group(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("place") <= n)
 
 
-def round_robin(df: DataFrame, weights: dict[str, int]) -> DataFrame:
-    """Each row (key, id) in order gets the option that is furthest behind its share; ties by the option's name."""
-    names = sorted(weights)
-    total = sum(weights.values())
-    seen = F.sort_array(F.collect_list("id"))
-    start = F.struct(F.array(*(F.lit(0) for _ in names)).alias("used"), F.array().cast("array<struct<id:bigint,option:string>>").alias("out"))
-
-    def step(acc, x):
-        behind = [F.size(acc["out"]) * weights[m] - acc["used"][j] * total for j, m in enumerate(names)]
-        best = F.array_max(F.array(*(F.struct((b + weights[m]).alias("b"), F.lit(-j).alias("j")) for j, (m, b) in enumerate(zip(names, behind)))))
-        used = F.transform(acc["used"], lambda u, i: F.when(i == -best["j"], u + 1).otherwise(u))
-        name = F.element_at(F.array(*(F.lit(m) for m in names)), 1 - best["j"])
-        return F.struct(used.alias("used"), F.array_append(acc["out"], F.struct(x.alias("id"), name.alias("option"))).alias("out"))
-
-    return df.groupBy("key").agg(seen.alias("c")).select("key", F.explode(F.aggregate("c", start, step)["out"]).alias("x")).select("key", "x.*")
-
-
 def seeded_top(df: DataFrame, seeds: DataFrame, spans: DataFrame, least: int, most: int) -> DataFrame:
     """(key, id, t, score): up to ``most`` points of a key in all, its ``seeds`` (key, id, t) first and counted.
 

@@ -25,27 +25,6 @@ def walked(df: DataFrame, order: list[str], walk: Callable[[pd.DataFrame], Itera
     return df.where("key is not null").groupBy("key").applyInPandas(run, f"key {kind}, {schema}")
 
 
-def sentences(words: DataFrame, gap: int, soft: int, hard: int) -> DataFrame:
-    """Words (key, pos, t0, t1, stop) to sentences (w0, w1, t0, t1).
-
-    A sentence ends after a word with ``stop`` once it has ``soft`` words, before a pause of at least ``gap``, and
-    before it would last longer than ``hard``; each rule looks at the sentence so far, so this is a fold.
-    """
-
-    def walk(rows):
-        start = None
-        for r in rows.itertuples(index=False):
-            if start is not None and (r.t0 - last.t1 >= gap or r.t1 - start.t0 > hard or (last.stop and last.pos - start.pos + 1 >= soft)):
-                yield start.pos, last.pos, start.t0, last.t1
-                start = None
-            start = r if start is None else start
-            last = r
-        if start is not None:
-            yield start.pos, last.pos, start.t0, last.t1
-
-    return walked(words, ["pos"], walk, "w0 int, w1 int, t0 long, t1 long")
-
-
 def without_overlaps(rows: DataFrame, least: int) -> DataFrame:
     """Rows (key, id, t0, t1) whose starts move past the end of the one before; a row keeps ``least`` at least."""
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import intervals, series
 
+#: Width of the cells of interval joins on frames.
+FRAMES = 1024
+
 
 def spans_of(runs: DataFrame) -> DataFrame:
     return runs.select("key", F.col("i0").alias("t0"), F.col("i1").alias("t1"))
@@ -16,13 +19,13 @@ def plan(frames: DataFrame, scope: DataFrame, soft: float, hard: float, bridge:
     """Cuts (key, t0, t1) in frames: ``scope`` less the gated runs, bridged, long enough and padded; cuts of ``least`` or more stay."""
     loud = intervals.islands(spans_of(series.gate(frames, soft, hard)), bridge)
     voice = intervals.pad(loud.where(F.col("t1") - F.col("t0") >= talk), before, after)
-    return intervals.subtract(scope, voice).where(F.col("t1") - F.col("t0") >= least)
+    return intervals.subtract(scope, voice, FRAMES).where(F.col("t1") - F.col("t0") >= least)
 
 
 def holes(frames: DataFrame, words: DataFrame, level: float, bridge: int, least: int) -> DataFrame:
     """Voiced stretches (key, t0, t1) of ``least`` frames or more that no word (key, t0, t1) covers, small gaps bridged."""
     voiced = spans_of(series.runs(frames, F.col("v") >= level))
-    return intervals.islands(intervals.subtract(voiced, words), bridge).where(F.col("t1") - F.col("t0") >= least)
+    return intervals.islands(intervals.subtract(voiced, words, FRAMES), bridge).where(F.col("t1") - F.col("t0") >= least)
 
 
 def full_plan(
@@ -41,13 +44,13 @@ def full_plan(
     gate = series.gated(frames, hyst).where("on").select("key", F.col("i").alias("t0"), (F.col("i") + 1).alias("t1"))
     heard = frames.where(F.col("v") >= F.col("threshold") - below).select("key", F.col("i").alias("t0"), (F.col("i") + 1).alias("t1"))
     grid = frames.groupBy("key").agg(F.min("i").alias("t0"), (F.max("i") + 1).alias("t1"))
-    guarded = intervals.pad(intervals.intersect(heard, inside(words)), widen, widen)
-    forced = intervals.intersect(intervals.union(guarded, inside(protect)), grid)
+    guarded = intervals.pad(intervals.intersect(heard, inside(words), FRAMES), widen, widen)
+    forced = intervals.intersect(intervals.union(guarded, inside(protect)), grid, FRAMES)
     runs = intervals.islands(gate.unionByName(forced), pause)
-    held = intervals.overlapping(runs, forced, 4096).select("key", "t0", "t1").distinct()
+    held = intervals.overlapping(runs, forced, FRAMES).select("key", "t0", "t1").distinct()
     kept = runs.where(F.col("t1") - F.col("t0") >= talk).unionByName(held).distinct()
     padded = kept.select("key", (F.col("t0") * hop - before).alias("t0"), (F.col("t1") * hop + after).alias("t1"))
-    cuts = intervals.subtract(scope, padded)
+    cuts = intervals.subtract(scope, padded, FRAMES * hop)
     start = -F.floor(-F.col("t0") / per_frame) * per_frame
     end = F.floor(F.col("t1") / per_frame) * per_frame
     return cuts.select("key", start.cast("long").alias("t0"), end.cast("long").alias("t1")).where(F.col("t1") - F.col("t0") >= least)

@@ -213,7 +213,7 @@ def uncovered_sound(frames: DataFrame, words: DataFrame, hop: int, bridge: int,
     """(key, t0, t1, voiced): in frames, sound no word covers, gaps under ``bridge`` closed, spans of ``least`` and
     ``voiced`` sounding frames at least; the first ``most`` of a key."""
     covered = _in_frames(words, hop, True)
-    rest = subtract(frames.select("key", F.col("i").alias("t0"), (F.col("i") + 1).alias("t1")), covered)
+    rest = subtract(frames.select("key", F.col("i").alias("t0"), (F.col("i") + 1).alias("t1")), covered, 512)
     order = Window.partitionBy("key").orderBy("t0")
     new = F.coalesce(F.col("t0") - F.lag("t1").over(order) >= bridge, F.lit(True)).cast("int")
     runs = rest.withColumn("_new", new).withColumn("_r", F.sum("_new").over(order))

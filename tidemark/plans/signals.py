@@ -63,7 +63,7 @@ def frame_spans(s, d):
 
 
 def spoken_at(s, d):
-    return placed(s, d).where("i % 6 = 1").select("key", (F.col("i") * 10 + 3).alias("t0"), (F.col("i") * 10 + 24).alias("t1"))
+    return placed(s, d).where("i % 40 = 1").select("key", (F.col("i") * 10 + 3).alias("t0"), (F.col("i") * 10 + 24).alias("t1"))
 
 
 def guarded(s, d):
@@ -75,11 +75,11 @@ def scopes(s, d):
 
 
 SILENCE = f"""{PLACED}, {otsu_sql('placed', 'th')}, fr as (select p.*, th.threshold from placed p join th on th.key = p.key), {gated_sql('fr', 'ga')},
-  wd as (select distinct key, (i * 10 + 3) // 10 as a, (i * 10 + 24) // 10 + 1 as b from placed where i % 6 = 1),
+  wd as (select distinct key, (i * 10 + 3) // 10 as a, (i * 10 + 24) // 10 + 1 as b from placed where i % 40 = 1),
   gd as (select distinct f.key, f.i from fr f join wd on wd.key = f.key and wd.a <= f.i and f.i < wd.b where f.v >= f.threshold - 6),
   fc as (select distinct key, i from (select key, unnest(range(i - 3, i + 4)) as i from gd union all select key, i from placed where i % 90 = 7) where i >= 0 and i <= (select max(i) from placed q where q.key = key)),
   bound as (select key, max(i) as last from placed group by key), fo as (select fc.key, fc.i from fc join bound on bound.key = fc.key and fc.i <= bound.last),
-  al as (select key, i as t0, i + 1 as t1 from ga where sounds union select key, i, i + 1 from fo), ru as {merged('al', 'e is null or (t0 > e and t0 - e >= 12)')},
+  al as (select key, i as t0, i + 1 as t1 from ga where sounds union select key, i, i + 1 from fo), ru as {merged('al', 'e is null or (t0 > e and t0 - e >= 3)')},
   kp as (select key, t0 * 10 - 4 as t0, t1 * 10 + 8 as t1 from ru where t1 - t0 >= 5 or exists (select 1 from fo where fo.key = ru.key and fo.i >= ru.t0 and fo.i < ru.t1)), ik as {merged('kp')},
   sc0 as (select key, max(i) as n from placed group by key), sc as (select key, 0 as t0, n * 4 as t1 from sc0 union all select key, n * 5, n * 10 from sc0), isc as {merged('sc')}"""
 
@@ -144,7 +144,7 @@ ALL = {
           PLACED, otsu_sql("placed", "ot"), "vo as (select p.* from placed p join ot on ot.key = p.key and p.v >= ot.threshold)", "st as (select key, quantile_cont(v, 0.5) as med, quantile_cont(v, 0.95) as p95, count(*) as n from vo group by key having count(*) >= 50)"),
     ),
     "silence_full_plan": (
-        lambda s, d: silence.full_plan(placed(s, d).join(sr.otsu(placed(s, d)), "key"), spoken_at(s, d), guarded(s, d), scopes(s, d), 10, 4, 12, 5, 4, 8, 12),
+        lambda s, d: silence.full_plan(placed(s, d).join(sr.otsu(placed(s, d)), "key"), spoken_at(s, d), guarded(s, d), scopes(s, d), 10, 4, 3, 5, 4, 8, 12),
         Q(f"select key, t0, t1 from (select key, -(-t0 // 4) * 4 as t0, t1 // 4 * 4 as t1 from (select key, cast(ceil(t0 / 4) * 4 as bigint) as t0, t1 from {minus('isc', 'ik')})) where t1 - t0 >= 12".replace("-(-t0 // 4) * 4 as t0", "t0"), SILENCE),
     ),
     "weighted_box": (

@@ -19,7 +19,7 @@ def clips(s, d):
     start = F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 3_600_000_000).cast("long")
     rows = line.select(
         F.col("l_orderkey").alias("key"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("id"), F.col("l_returnflag").alias("kind"),
-        F.col("l_linenumber").cast("long").alias("track"), F.concat(F.lit("m"), (F.col("l_partkey") % 40).cast("string"), F.element_at(F.array(*map(F.lit, (".wav", ".png", ".mp4"))), (F.col("l_suppkey") % 3 + 1).cast("int"))).alias("media"),
+        F.col("l_linenumber").cast("long").alias("track"), F.concat(F.lit("m"), (F.col("l_partkey") % 2000).cast("string"), F.element_at(F.array(*map(F.lit, (".wav", ".png", ".mp4"))), (F.col("l_suppkey") % 3 + 1).cast("int"))).alias("media"),
         start.alias("t0"), (start + F.col("l_quantity").cast("long") * 24).alias("t1"), (F.col("l_partkey") * 7 % 900).alias("src_in"), (F.col("l_linenumber") == 3).alias("muted"),
         (F.col("l_suppkey") % 7 == 0).alias("disabled"), (F.col("l_linestatus") == "F").alias("selected"), (F.col("l_suppkey") % 3).alias("speed"),
     )
@@ -28,7 +28,7 @@ def clips(s, d):
 
 CLIPS = """clips as (select *, src_in + (t1 - t0) * greatest(speed, 1) as src_out from (
   select l_orderkey as key, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as id, l_returnflag as kind, cast(l_linenumber as bigint) as track,
-    'm' || cast(l_partkey % 40 as varchar) || (['.wav', '.png', '.mp4'])[l_suppkey % 3 + 1] as media, epoch_us(l_shipdate) // 3600000000 as t0,
+    'm' || cast(l_partkey % 2000 as varchar) || (['.wav', '.png', '.mp4'])[l_suppkey % 3 + 1] as media, epoch_us(l_shipdate) // 3600000000 as t0,
     epoch_us(l_shipdate) // 3600000000 + cast(l_quantity as bigint) * 24 as t1, l_partkey * 7 % 900 as src_in, l_linenumber = 3 as muted,
     l_suppkey % 7 = 0 as disabled, l_linestatus = 'F' as selected, l_suppkey % 3 as speed from lineitem))"""
 
@@ -37,11 +37,11 @@ def words(s, d):
     """Words in source time: an event is a word of one of the recordings."""
     e = table(s, d, "events")
     at = (F.col("event_id") * 13 % 1500).alias("s0")
-    media = F.concat(F.lit("m"), (F.col("user_id") % 40).cast("string"), F.lit(".wav"))
+    media = F.concat(F.lit("m"), (F.col("event_id") * 11 % 2000).cast("string"), F.lit(".wav"))
     return e.select(media.alias("media"), F.col("event_id").alias("idx"), at, (at + F.col("event_id") % 17).alias("s1"))
 
 
-WORDS = "heard as (select 'm' || cast(user_id % 40 as varchar) || '.wav' as media, event_id as idx, event_id * 13 % 1500 as s0, event_id * 13 % 1500 + event_id % 17 as s1 from events)"
+WORDS = "heard as (select 'm' || cast(event_id * 11 % 2000 as varchar) || '.wav' as media, event_id as idx, event_id * 13 % 1500 as s0, event_id * 13 % 1500 + event_id % 17 as s1 from events)"
 SEQ = "(t0 + (greatest({0}, src_in) - src_in) // greatest(speed, 1))"
 PAIRS = """pairs as (select c.key, w.media, w.idx, c.id as clip, c.track, c.t0 as c_t0, c.t0 + (greatest(w.s0, c.src_in) - c.src_in) // greatest(c.speed, 1) as t0,
   c.t0 + (least(w.s1, c.src_out) - c.src_in) // greatest(c.speed, 1) as e, w.s0, w.s1, c.src_in, c.src_out, c.speed

@@ -21,22 +21,32 @@ def sessions(rows: DataFrame, gap_seconds: int, late: str = "1 day") -> DataFram
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("seconds")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "seconds")
 
 
-def label_changes(rows: DataFrame) -> DataFrame:
-    """Of rows (key, i, label), those whose label differs from the key's last one; the state is one label and place.
+def label_changes(rows: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Of rows (key, i, label), those whose label differs from the key's last one, the first included; null is a label.
 
+    The state is one label and place.  With ``idle_ms`` a key that is idle for so long is forgotten and starts anew; that
+    needs a trigger that keeps running, as a query with such timeouts never runs out of batches.
     Rows of a batch are taken in order of i; rows at or before the last place seen are late and dropped.
     """
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        label, at = state.get if state.exists else (None, -(2**62))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = not state.exists
+        label, at = (None, -(2**62)) if new else state.get
         out = []
         for r in pd.concat(list(parts)).sort_values("i", kind="stable").itertuples(index=False):
             if r.i <= at:
                 continue
-            if r.label != label:
-                out.append((key[0], r.i, r.label))
-            label, at = r.label, r.i
+            now = None if pd.isna(r.label) else r.label
+            if new or now != label:
+                out.append((key[0], r.i, now))
+            label, at, new = now, r.i, False
         state.update((label, at))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["key", "i", "label"])
 
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, i long, label string", "label string, at long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, i long, label string", "label string, at long", "append", timeout)
