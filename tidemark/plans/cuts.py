@@ -64,7 +64,7 @@ def files(s, d):
 
 def asked(s, d):
     p = table(s, d, "part").where("p_partkey % 9 = 1")
-    terms = F.array_distinct(F.transform(tx.tokens(F.concat_ws(" ", "p_name", "p_type")), lambda t: F.substr(t, F.lit(1), F.lit(6))))
+    terms = F.transform(tx.tokens(F.concat_ws(" ", "p_name", "p_type")), lambda t: F.substr(t, F.lit(1), F.lit(6)))
     return p.select(F.col("p_partkey").alias("key"), F.posexplode(terms).alias("i", "token")).select("key", "token", (F.col("i") % 3 + 1).alias("w"))
 
 

@@ -101,7 +101,7 @@ ALL = {
     ),
     "chapter_parts": (
         lambda s, d: ch.parts(sentences(s, d).select("key", F.col("n").alias("s0"), "t0", "t1"), 40_000),
-        S("select key, n as s0, t0, t1, cast(p // ceil(c / greatest(least(round_even(span / 40000, 0), c), 1)) as bigint) as part from (select key, n, t0, t1, row_number() over (partition by key order by t0) - 1 as p, count(*) over (partition by key) as c, max(t1) over (partition by key) - min(t0) over (partition by key) as span from sents)"),
+        S("select key, n as s0, t0, t1, cast(floor(p / ceil(c / greatest(least(round_even(span / 40000, 0), c), 1))) as bigint) as part from (select key, n, t0, t1, row_number() over (partition by key order by t0) - 1 as p, count(*) over (partition by key) as c, max(t1) over (partition by key) - min(t0) over (partition by key) as span from sents)"),
     ),
     "boundary_scores": (
         lambda s, d: ch.boundary_scores(gapped(s, d), bags(s, d), 60_000, 40, 4000, F.when(F.col("text").rlike("^[A-M]"), 350).otherwise(0)),
