@@ -82,7 +82,7 @@ def test_viterbi_is_the_best_path(spark):
 def test_state_machines(spark):
     frames = spark.createDataFrame([("k", i, x) for i, x in enumerate("aaabaaabbbb")], "key string, i long, label string")
     assert [tuple(r)[1:] for r in sq.shots(frames, 2, 3).orderBy("i0").collect()] == [("a", 0, 7), ("b", 7, 11)]
-    rows = spark.createDataFrame([("k", t, "c") for t in (0, 40, 45, 100, 160, 170, 230, 290)], "key string, t long, title string")
+    rows = spark.createDataFrame([("k", t, "c") for t in (0, 31, 37, 95, 150, 158, 240, 301)], "key string, t long, title string")
     ts = [r.t for r in sq.merged_to_count(rows, 5, 20).orderBy("t").collect()]
     assert len(ts) <= 5 and ts[0] == 0 and all(b - a >= 20 for a, b in zip(ts, ts[1:]))
     line = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate([0, 1, 2, 3, 0, 0])], "key string, i long, v double")
