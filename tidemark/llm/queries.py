@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import gif, jaccard_join, mixing, packing, pii, quality_gbt, quality_rules_ensemble, substring_dedup, url_filters, warc
+from tidemark.llm import (
+    fill_in_middle, gif, importance, jaccard_join, mixing, packing, pii, quality_gbt, quality_rules_ensemble, sharding, substring_dedup, url_filters, warc,
+)
 
 #: Fixed rules of the URL query: host, path, verdict.
 URL_RULES = (
@@ -73,6 +75,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of all documents, 16 shards of nearly equal bytes."""
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of all documents, drawn towards the benchmark's texts."""
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units, form and cuts of all documents, and digests of the outputs and of the texts rebuilt from them."""
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 with u as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
@@ -133,6 +150,27 @@ with recursive d as (
 select d.doc_id, coalesce(n.n, 0) as n_shingles, comp.component_id from d left join n on n.r = d.r join comp on comp.x = d.r
 """
 
+OP13_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+         sha256(concat('1:', doc_id)) as h
+  from documents
+), x as (
+  select *, len(u) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d
+), c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+              when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from x
+), p as (
+  select doc_id, n, form, t, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:n], '') as suf from c
+)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+       sha256(case form when 'plain' then t else pre || mid || suf end) as restored_sha256
+from p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rule_ensemble": op1_quality_rule_ensemble,
     "op2_length_buckets": op2_length_buckets,
@@ -144,9 +182,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_gif_media": op8_gif_media,
     "op9_pii_anchors": op9_pii_anchors,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_sampled_splitters": op11_sampled_splitters,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op6_url_filters": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op6_url_filters": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
