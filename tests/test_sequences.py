@@ -1,14 +1,18 @@
 """Walks over one key's rows: against brute force, and on small cases made by hand."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
+import numpy as np
+
 from tidemark.functions import text as tx
 from tidemark.operators import chapters as ch
 from tidemark.operators import highlights as hl
 from tidemark.operators import intervals as iv
 from tidemark.operators import repeats as rp
 from tidemark.operators import shots as sh
+from tidemark.operators import takes
 from tidemark.operators import transcript as tr
 
 WORDS = "key string, n long, text string, t0 long, t1 long, seg boolean"
@@ -191,10 +195,20 @@ def test_very_long_intervals(spark):
     a = [("k", 0, 0, 12_000 * year), ("k", 1, 5, 6), ("k", 2, 3 * year, 3 * year + 40 * 86_400_000_000), ("k", 3, -(2**62), 2**62)]
     b = [("k", 0, 4, 7), ("k", 1, 12_000 * year - 1, 12_000 * year + 1), ("k", 2, 2 * year, 4 * year), ("k", 3, -5, 0)]
     kind = "key string, id long, t0 long, t1 long"
-    out = iv.overlapping(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)).collect()
+    out = iv.overlapping(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), iv.BUCKET).collect()
     assert sorted((r.id, r.b_id) for r in out) == sorted((x[1], y[1]) for x in a for y in b if x[2] < y[3] and y[2] < x[3])
 
 
+def test_short_intervals_never_meet_in_coarse_cells(spark):
+    rng = random.Random(8)
+    make = lambda n: [(rng.choice("kj"), i, t := rng.randrange(4000), t + rng.choice([1, 3, 20, 900, 3000])) for i in range(n)]
+    kind = "key string, id long, t0 long, t1 long"
+    for short in ("", "a", "b", "ab"):
+        a, b = make(40), make(40)
+        out = iv.overlapping(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), 2, short).collect()
+        assert sorted((r.id, r.b_id) for r in out) == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] < y[3] and y[2] < x[3])
+
+
 def test_scalar_texts(spark):
     df = spark.createDataFrame([("aabbb", "kitten"), ("hellooo", "sitting"), (None, "x")], "a string, b string")
     out = df.select(tx.collapse(df.a), tx.ratio(df.a, df.b), tx.mask(df.b, "bleep")).collect()
@@ -202,3 +216,155 @@ def test_scalar_texts(spark):
     assert [r[1] for r in out] == [SequenceMatcher(None, x, y, autojunk=False).ratio() if x else None for x, y in (("aabbb", "kitten"), ("hellooo", "sitting"), (None, "x"))]
     patch = spark.createDataFrame([('{"a": 1, "b": {"c": 2, "d": 3}}', '{"b": {"c": null}, "e": [1]}'), (None, '{"a": null, "b": 1}'), ('{"a": 1}', None), ("{", "{}")], "x string, y string")
     assert [r[0] for r in patch.select(tx.merge_patch(patch.x, patch.y)).collect()] == ['{"a":1,"b":{"d":3},"e":[1]}', '{"b":1}', '{"a":1}', None]
+
+
+def slow_retakes(words, lex, window=20_000, ahead=4, least=3, most=25):
+    """Every phrase against the later ones, one pair after the other: (first word, first word of the retake, coverage)."""
+    tokens, hes = [w[0] for w in words], [bool(re.match(lex.hesitation, w[0])) for w in words]
+    gap = [None] + [b[1] - a[2] for a, b in zip(words, words[1:])]
+    heads = [i for i in range(len(words)) if i == 0 or words[i - 1][3] or gap[i] >= 600]
+    bounds = [*heads, len(words)]
+    say = lambda a, b: [tokens[k] for k in range(a, min(b, len(words))) if not hes[k]]
+    content = lambda l: [t for t in l if t not in lex.stop]
+    out, p = [], 0
+    while p < len(heads):
+        options = []
+        for q in range(p + 1, min(len(heads), p + ahead + 1)):
+            old = say(heads[p], heads[q])
+            if q == p + 1 and len(say(heads[p], bounds[p + 1])) < least or gap[heads[q]] > window or not least <= len(old) <= most:
+                continue
+            a, b = content(old), content(say(heads[q], heads[q] + len(old) + 3))
+            if len(a) < 2:
+                continue
+            blocks = [k for k in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if k.size]
+            if blocks and sum(k.size for k in blocks) / len(a) >= 0.6 and max(k.size for k in blocks) >= 2 and blocks[0].b <= 1:
+                options.append((-sum(k.size for k in blocks) / len(a), q))
+        if options:
+            out.append((heads[p], heads[min(options)[1]]))
+            p = min(options)[1]
+        else:
+            p += 1
+    return out
+
+
+def slow_corrections(words, lex, most=12):
+    tokens = [w[0] for w in words]
+    gap = [None] + [b[1] - a[2] for a, b in zip(words, words[1:])]
+    out, i = [], 0
+    while i < len(words):
+        m = next((m for m in lex.markers if tuple(tokens[i : i + len(m)]) == m), None)
+        if not m or not i:
+            i += 1
+            continue
+        end, a = i + len(m), i - 1
+        while a > 0 and not words[a - 1][3] and gap[a] < 600:
+            a -= 1
+        told = end < len(words) and m[-1] in lex.sorry and tokens[end] not in lex.stop and gap[end] < 200 and tokens[end] != tokens[a]
+        old = [t for t in tokens[a:i] if not re.match(lex.hesitation, t)]
+        if end < len(words) and not told and 0 < len(old) <= most:
+            out.append((a, end))
+        i = end
+    return out
+
+
+def test_takes_equal_a_walk_over_all_phrases(spark):
+    rng = random.Random(12)
+    said_words, rows = {}, []
+    for key in "abcdef":
+        at, words = 0, []
+        for n in range(120):
+            token = rng.choice(["open", "the", "page", "now", "um", "blue", "no", "sorry", "we"] if rng.random() < 0.8 else ["close", "it"])
+            if n >= 12 and rng.random() < 0.5:
+                token = words[n - rng.choice([5, 6])][0]
+            at += rng.choice([50, 100, 100, 250, 700])
+            seg = rng.random() < 0.15
+            words.append((token, at, at + 300, seg))
+            rows.append((key, 3 * n, token, at, at + 300, seg))
+            at += 300
+        said_words[key] = words
+    numbered = takes.numbered_words(spark.createDataFrame(rows, WORDS), LEX.hesitation).cache()
+    got = takes.retakes(numbered, LEX.stop, LEX.conjunctions, LEX.sorry, LEX.conditions).collect()
+    want = [(k, *x) for k, w in said_words.items() for x in slow_retakes(w, LEX)]
+    assert len(want) > 5 and sorted((r.key, r.i, r.j) for r in got) == sorted(want)
+    got = takes.corrections(numbered, LEX.markers, LEX.sorry, LEX.stop).collect()
+    want = [(k, *x) for k, w in said_words.items() for x in slow_corrections(w, LEX)]
+    assert len(want) > 5 and sorted((r.key, r.i, r.j) for r in got) == sorted(want)
+    numbered.unpersist()
+
+
+def slow_edges(v, threshold, hop, a, b, c):
+    """One cut in the levels of one recording, frame by frame."""
+    n, on = len(v), [False] * len(v)
+    for k in range(n):
+        lo = hi = k
+        while v[k] >= threshold - 4 and lo > 0 and v[lo - 1] >= threshold - 4:
+            lo -= 1
+        while v[k] >= threshold - 4 and hi + 1 < n and v[hi + 1] >= threshold - 4:
+            hi += 1
+        on[k] = v[k] >= threshold - 4 and max(v[lo : hi + 1]) >= threshold
+    at = lambda t: max(0, min(n - 1, (t + hop // 2) // hop))
+    calm = lambda t, r: hop * min(range(max(0, at(t) - r), min(n, at(t) + r + 1)), key=lambda k: (v[k], k))
+
+    def start(t):
+        k = at(t)
+        if on[k]:
+            edges = [j for j in range(max(1, k - 8), k + 1) if not on[j - 1]]
+            return hop * edges[-1] if edges else calm(t, 5)
+        later = [j for j in range(k, min(n, k + 1000 // hop + 1)) if on[j]]
+        return hop * later[0] if later else t
+
+    def stop(t):
+        k = at(t)
+        if on[k]:
+            edges = [j for j in range(k, min(n - 1, k + 9)) if not on[j + 1]]
+            return hop * (edges[0] + 1) if edges else calm(t, 5)
+        before = [j for j in range(max(0, k - 1000 // hop), k + 1) if on[j]]
+        return hop * (before[-1] + 1) if before else t
+
+    s = start(a)
+    e = max(s + 50, stop(b))
+    head = on[at(s - 20)]
+    t0 = s if head else calm(s - 20, 2)
+    if c is None:
+        return t0, max(e, calm(e + 50, 2)), head, None
+    m = max(start(c), e)
+    if m - e > 2000:
+        return t0, max(e, calm(e + 100, 2)), head, m - e
+    glued = on[at(m - 20)]
+    if glued:
+        low = max(at(e) - 20, at(s) + 10)
+        clear = [k for k in range(low + 1, at(m)) if not any(on[k - 3 : k + 1])]
+        if clear and m - hop * clear[-1] <= 600:
+            m, glued = hop * (clear[-1] + 1) + 10, False
+    return t0, max(e, m if glued else calm(m - 30, 2)), head or glued, None
+
+
+def test_cut_edges(spark):
+    rng = random.Random(21)
+    hop, frames, spans, want = 10, [], [], []
+    for key in "pqr":
+        v = []
+        while len(v) < 900:
+            v += [rng.choice([-70, -68, -60]) + rng.randrange(3) for _ in range(rng.choice([3, 6, 12, 60, 130]))]
+            v += [rng.choice([-20, -25, -43]) + rng.randrange(4) for _ in range(rng.choice([1, 5, 14, 40]))]
+        frames += [(key, i, float(x), -40.0) for i, x in enumerate(v)]
+        for i in range(60):
+            a = rng.randrange(0, 9000)
+            b = a + rng.randrange(30, 900)
+            c = None if i % 9 == 0 else b + rng.choice([10, 80, 300, 900, 2600])
+            spans.append((key, i, a, b, c))
+            want.append((key, i, *slow_edges(v, -40.0, hop, a, b, c)))
+    edges = takes.edge_frames(spark.createDataFrame(frames, "key string, i long, v double, threshold double"), hop)
+    df = spark.createDataFrame([*spans, ("silent", 0, 5, 9, 40)], "key string, id long, t0 long, t1 long, next long")
+    got = {(r.key, r.id): tuple(r)[2:] for r in takes.cut_edges(df, edges, hop).select("key", "id", "t0", "t1", "tight", "long_gap").collect()}
+    assert got.pop(("silent", 0)) == (-15, 55, False, None)
+    assert got == {x[:2]: x[2:] for x in want}
+
+
+def test_word_threshold(spark):
+    quiet, loud = [("a", i, -80.0 - i % 9) for i in range(200)], [("a", 200 + i, -30.0 + i % 11) for i in range(100)]
+    few = [("b", i, -95.0) for i in range(30)] + [("b", 30 + i, -50.0) for i in range(30)]
+    out = {r.key: r.threshold for r in takes.word_threshold(spark.createDataFrame(quiet + loud + few, "key string, i long, v double")).collect()}
+    valley = {r.key: r.threshold for r in takes.series.otsu(spark.createDataFrame(quiet + loud + few, "key string, i long, v double")).collect()}
+    levels = np.array([x[2] for x in quiet + loud if x[2] > -85])
+    assert out["a"] == max(valley["a"], np.percentile(levels, 90) - 22) and out["b"] == valley["b"]

@@ -52,7 +52,7 @@ def rhythm(
     line = Window.partitionBy("key").orderBy("n")
     rows = sentences.select("key", "n", "t0", "t1", F.lag("t1").over(line).alias("p"), F.coalesce(F.lead("t0").over(line), F.col("t1") + after).alias("next")).where("n % 2 = 1")
     ends = rows.select("key", F.explode(F.array(F.struct((2 * F.col("n")).alias("id"), F.col("t0").alias("t")), F.struct((2 * F.col("n") + 1).alias("id"), F.col("next").alias("t")))).alias("e")).select("key", "e.*")
-    snapped = snap_nearest(ends, cuts.select("key", "t").distinct(), back, ahead).withColumn("n", F.floor(F.col("id") / 2))
+    snapped = snap_nearest(ends, cuts.select("key", "t").distinct(), back, ahead, 60_000).withColumn("n", F.floor(F.col("id") / 2))
     side = lambda i: F.max(F.when(F.col("id") % 2 == i, F.col("t_new")))
     rows = rows.join(snapped.groupBy("key", "n").agg(side(0).alias("a"), side(1).alias("b")), ["key", "n"])
     half = lambda x, y: F.floor((x + y) / 2).cast("long")
@@ -60,7 +60,7 @@ def rhythm(
     a = F.when((F.col("a") == F.col("t0")) & (F.col("t0") - F.col("p") > pause), start).otherwise(F.col("a"))
     b = F.when((F.col("b") == F.col("next")) & (F.col("next") - F.col("t1") > pause), half(F.col("t1"), F.col("next"))).otherwise(F.col("b"))
     zooms = rows.select("key", "n", a.alias("a"), b.alias("b"))
-    inside = overlapping(zooms.select("key", "n", (F.col("a") + settle + 1).alias("t0"), F.col("b").alias("t1")), hard.select("key", F.col("t").alias("t0"), (F.col("t") + 1).alias("t1")))
+    inside = overlapping(zooms.select("key", "n", (F.col("a") + settle + 1).alias("t0"), F.col("b").alias("t1")), hard.select("key", F.col("t").alias("t0"), (F.col("t") + 1).alias("t1")), 60_000, "b")
     first = inside.groupBy("key", "n").agg(F.min("b_t0").alias("h"))
     out = zooms.join(first, ["key", "n"], "left").select("key", "n", F.col("a").alias("t0"), F.coalesce("h", "b").alias("t1"), F.when(F.col("h").isNotNull() | F.lit(jump), "cut").otherwise("ease").alias("ending"))
     return out.where(F.col("t1") - F.col("t0") >= least)

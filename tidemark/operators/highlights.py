@@ -25,7 +25,7 @@ def units(sentences: DataFrame, scope: DataFrame, bad: str, openers: tuple[str,
     (changes with the range and where a sentence is left out), range, filler (up to three words, all openers) and gap
     (since the unit before, for the first since its range's start).  Sentences that match ``bad`` are left out."""
     middle = F.floor((F.col("t0") + F.col("t1")) / 2).cast("long")
-    inner = overlapping(sentences.select("key", "n", middle.alias("t0"), (middle + 1).alias("t1")), scope).groupBy("key", "n").agg(F.min(F.struct("b_t0", "b_t1", "b_id")).alias("s"))
+    inner = overlapping(sentences.select("key", "n", middle.alias("t0"), (middle + 1).alias("t1")), scope, 60_000, "a").groupBy("key", "n").agg(F.min(F.struct("b_t0", "b_t1", "b_id")).alias("s"))
     rows = sentences.join(inner, ["key", "n"], "left").withColumn("_ok", F.col("s").isNotNull() & ~F.col("text").rlike(bad))
     line = Window.partitionBy("key").orderBy("n")
     rows = rows.withColumn("_skipped", F.coalesce(F.lag("_ok").over(line), F.lit(True))).withColumn("_holes", F.sum((~F.col("_skipped")).cast("int")).over(line)).where("_ok")

@@ -32,34 +32,51 @@ def islands(df: DataFrame, gap: int | None = None) -> DataFrame:
 
 #: Cells of a coarser level hold this many of the finer one; three levels span all of BIGINT.
 COARSER, LEVELS = 256, 3
+#: Roles of a cell in a join: both intervals at home in its level, only the left one, only the right one.
+BOTH, LEFT, RIGHT = 0, 1, 2
 
 
-def _cells(t0: str, t1: str, bucket: int) -> tuple[Column, Column]:
-    """(level, cells): the level of an interval by its length, and the (level, cell) structs at that level and above."""
+def _cells(t0: str, t1: str, bucket: int, long: bool, own: int | None, copy: int | None) -> Column:
+    """The (level, cell, role) structs of an interval, whose level goes by its length (0 unless ``long``).
+
+    At its level it stands with the role BOTH and, in coarse levels, ``own``; above it with the role ``copy``.
+    """
     length = F.col(t1).cast("double") - F.col(t0)
-    level = F.when(length < bucket * COARSER, 0).when(length < bucket * COARSER**2, 1).otherwise(2)
-    at = lambda n: F.transform(
-        F.sequence(F.floor(F.col(t0) / (bucket * COARSER**n)), F.floor((F.col(t1) - 1) / (bucket * COARSER**n))), lambda c: F.struct(F.lit(n).alias("level"), c.alias("cell"))
-    )
-    none = F.array().cast("array<struct<level:int,cell:bigint>>")
-    return level, F.concat(*(F.when(level <= n, at(n)).otherwise(none) for n in range(LEVELS)))
+    level = F.when(length < bucket * COARSER, 0).when(length < bucket * COARSER**2, 1).otherwise(2) if long else F.lit(0)
+    none = F.array().cast("array<struct<level:int,cell:bigint,role:int>>")
+
+    def at(n: int, role: int) -> Column:
+        first, last = F.floor(F.col(t0) / (bucket * COARSER**n)), F.floor((F.col(t1) - 1) / (bucket * COARSER**n))
+        return F.transform(F.sequence(first, last), lambda c: F.struct(F.lit(n).alias("level"), c.alias("cell"), F.lit(role).alias("role")))
+
+    parts = []
+    for n in range(LEVELS):
+        if n == 0 or long:
+            parts.append(F.when(level == n, F.concat(at(n, BOTH), at(n, own)) if n and own is not None else at(n, BOTH)).otherwise(none))
+        if n and copy is not None:
+            parts.append(F.when(level < n, at(n, copy)).otherwise(none))
+    return F.concat(*parts)
 
 
-def overlapping(a: DataFrame, b: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, bucket: int, short: str = "") -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` (its columns renamed b_*) with equal keys and overlapping intervals.
 
-    Both sides are cut into cells and joined by key and cell, so a long key is spread over many tasks.  A long interval
-    has cells of a coarser level only, a short one also stands in the coarse cell it lies in, so no row has many cells.
-    A pair is formed at the coarser one's level, in the cell where its overlap begins, so none appears twice.
+    Both sides are cut into cells of ``bucket`` units, some times the usual length, and joined by key and cell, so a long
+    key is spread over many tasks.  A long interval stands in cells of a coarser level only, so no row has many cells; a
+    short one also leaves a copy in the coarse cell it lies in, which meets long intervals and never another copy.
+    A pair is formed in the cell where its overlap begins, so none appears twice.  ``short`` names the sides ("a", "b", "ab")
+    whose intervals stay under 256 buckets; the other side then leaves no copies.  It never changes the pairs.
     """
-    (la, ca), (lb, cb) = _cells("t0", "t1", bucket), _cells("b_t0", "b_t1", bucket)
-    left = proper(a).withColumn("_level", la).withColumn("_cell", F.explode(ca))
-    right = proper(b).select(*(F.col(c).alias(f"b_{c}") for c in b.columns)).withColumn("_blevel", lb).withColumn("_bcell", F.explode(cb))
-    on = (F.col("key") == F.col("b_key")) & (F.col("_cell") == F.col("_bcell")) & (F.col("t0") < F.col("b_t1")) & (F.col("b_t0") < F.col("t1"))
-    level = F.greatest("_level", "_blevel")
-    first = F.floor(F.greatest("t0", "b_t0") / (F.lit(bucket) * F.pow(F.lit(COARSER), level)))
-    pairs = left.join(right, on).where((F.col("_cell.level") == level) & (F.col("_cell.cell") == first))
-    return pairs.drop("_cell", "_bcell", "_level", "_blevel")
+    wide_a, wide_b = "a" not in short, "b" not in short
+    ca = _cells("t0", "t1", bucket, wide_a, LEFT if wide_a else None, RIGHT if wide_b else None)
+    cb = _cells("b_t0", "b_t1", bucket, wide_b, RIGHT if wide_b else None, LEFT if wide_a else None)
+    flat = lambda df, p: df.withColumns({f"_{p}{f}": F.col(f"_{p}.{f}") for f in ("level", "cell", "role")}).drop(f"_{p}")
+    left = flat(proper(a).withColumn("_x", F.explode(ca)), "x")
+    right = flat(proper(b).select(*(F.col(c).alias(f"b_{c}") for c in b.columns)).withColumn("_y", F.explode(cb)), "y")
+    on = (F.col("key") == F.col("b_key")) & (F.col("_xcell") == F.col("_ycell")) & (F.col("_xlevel") == F.col("_ylevel")) & (F.col("_xrole") == F.col("_yrole"))
+    size = F.lit(bucket) * F.pow(F.lit(COARSER), F.col("_xlevel")) if wide_a or wide_b else F.lit(bucket)
+    meet = (F.col("t0") < F.col("b_t1")) & (F.col("b_t0") < F.col("t1")) & (F.col("_xcell") == F.floor(F.greatest("t0", "b_t0") / size))
+    return left.join(right, on & meet).drop(*(f"_{p}{f}" for p in "xy" for f in ("level", "cell", "role")))
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -88,9 +105,9 @@ def clamp(df: DataFrame, lo: Column | int, hi: Column | int) -> DataFrame:
     return islands(df.select("key", F.greatest("t0", lo).alias("t0"), F.least("t1", hi).alias("t1")))
 
 
-def invert(df: DataFrame, scope: DataFrame) -> DataFrame:
+def invert(df: DataFrame, scope: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The parts of ``scope`` (key, t0, t1) that ``df`` leaves free; keys without intervals keep their whole scope."""
-    return subtract(scope, df)
+    return subtract(scope, df, bucket)
 
 
 def pad(df: DataFrame, before: int, after: int, lo: int | None = None, hi: int | None = None) -> DataFrame:
@@ -143,13 +160,13 @@ def shares(points: DataFrame, spans: DataFrame, bucket: int = BUCKET) -> DataFra
 
     The merged spans are disjoint, so a point has one partner at most.
     """
-    stabs = overlapping(points.withColumns({"t0": F.col("t"), "t1": F.col("t") + 1}), islands(spans), bucket)
+    stabs = overlapping(points.withColumns({"t0": F.col("t"), "t1": F.col("t") + 1}), islands(spans), bucket, "a")
     return stabs.select(*points.columns)
 
 
-def overlap_length(a: DataFrame, b: DataFrame) -> DataFrame:
+def overlap_length(a: DataFrame, b: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(key, covered): the time that both cover, 0 where they do not meet; keys of either side."""
-    both = intersect(a, b).groupBy("key").agg(F.sum(F.col("t1") - F.col("t0")).alias("_n"))
+    both = intersect(a, b, bucket).groupBy("key").agg(F.sum(F.col("t1") - F.col("t0")).alias("_n"))
     keys = proper(a).select("key").union(proper(b).select("key")).distinct()
     return keys.join(both, "key", "left").select("key", F.coalesce("_n", F.lit(0)).alias("covered"))
 
@@ -159,13 +176,13 @@ def snap_edges(df: DataFrame, move: Callable[[Column], Column]) -> DataFrame:
     return islands(proper(df).select("key", move(F.col("t0")).alias("t0"), move(F.col("t1")).alias("t1")))
 
 
-def kept_and_removed(keep: DataFrame, scope: DataFrame) -> DataFrame:
+def kept_and_removed(keep: DataFrame, scope: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(key, t0, t1, kept): the scope cut into what is kept and what is removed; either list gives the other."""
-    kept = intersect(keep, scope).withColumn("kept", F.lit(True))
-    return kept.unionByName(subtract(scope, keep).withColumn("kept", F.lit(False)))
+    kept = intersect(keep, scope, bucket).withColumn("kept", F.lit(True))
+    return kept.unionByName(subtract(scope, keep, bucket).withColumn("kept", F.lit(False)))
 
 
-def split_items(items: DataFrame, removed: DataFrame) -> DataFrame:
+def split_items(items: DataFrame, removed: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Items (key, id, t0, t1, src_in) cut by removed intervals and closed up: (key, id, part, t0, t1, src_in, src_out).
 
     Each part that stays moves left by what is removed before it; an item that lies in a removed interval goes.
@@ -173,7 +190,7 @@ def split_items(items: DataFrame, removed: DataFrame) -> DataFrame:
     cut = islands(removed)
     order = Window.partitionBy("key").orderBy("t0").rowsBetween(Window.unboundedPreceding, 0)
     upto = cut.withColumn("_gone", F.sum(F.col("t1") - F.col("t0")).over(order))
-    hits = overlapping(items, upto).select("key", "id", "t0", "t1", "src_in", F.col("b_t0").alias("c0"), F.col("b_t1").alias("c1"), F.col("b__gone").alias("gone"))
+    hits = overlapping(items, upto, bucket).select("key", "id", "t0", "t1", "src_in", F.col("b_t0").alias("c0"), F.col("b_t1").alias("c1"), F.col("b__gone").alias("gone"))
     starts = items.where("t0 < t1").select("key", "id", F.col("t0").alias("t"))
     marks = upto.select("key", F.col("t0").alias("t"), F.struct("t0", "t1", "_gone").alias("_cut"))
     line = Window.partitionBy("key").orderBy("t", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)

@@ -1,6 +1,8 @@
-"""Constrained ranking: choices that depend on what was chosen before, as folds over one key's ordered candidates.
+"""Constrained ranking: choices that depend on what was chosen before, as folds over ordered candidates.
 
-A key is one sequence; parallelism comes from many keys.  The folds are Spark's own higher-order functions.
+Where a choice reaches no further than a known distance, a key is first cut into isles that cannot affect each other and
+each isle is folded alone; only limits on a whole key (top-k, slots, a budget of time) need all its candidates in one
+fold.  The folds are Spark's own higher-order functions.
 """
 
 from __future__ import annotations
@@ -14,8 +16,18 @@ from pyspark.sql.window import Window
 from tidemark.operators.intervals import overlapping
 
 
-def chosen(df: DataFrame, order: list[Column], allowed: Callable[[Column, Column], Column], columns: list[str], most: int | None = None) -> DataFrame:
-    """Candidates taken in ``order`` whenever ``allowed(kept, candidate)`` holds; ``most`` limits them (top-k)."""
+def isles(df: DataFrame, t0: str, t1: str, reach: int) -> DataFrame:
+    """``df`` with _isle: a row starts a new one where it begins ``reach`` or more after all rows before it have ended."""
+    line = Window.partitionBy("key").orderBy(t0, t1)
+    before = F.max(F.greatest(t0, t1)).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col(t0) - before >= reach).cast("int"), F.lit(1))
+    return df.withColumn("_new", new).withColumn("_isle", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def chosen(
+    df: DataFrame, order: list[Column], allowed: Callable[[Column, Column], Column], columns: list[str], most: int | None = None, by: tuple[str, ...] = ("key",)
+) -> DataFrame:
+    """Candidates taken in ``order`` whenever ``allowed(kept, candidate)`` holds; ``most`` limits them (top-k).  One fold for each ``by``."""
     rank = F.struct(*(c.alias(f"o{j}") for j, c in enumerate(order)))
     seen = F.sort_array(F.collect_list(F.struct(rank.alias("o"), F.struct(*columns).alias("x"))))
     kind = f"array<{df.select(F.struct(*columns).alias('x')).schema['x'].dataType.simpleString()}>"
@@ -24,7 +36,7 @@ def chosen(df: DataFrame, order: list[Column], allowed: Callable[[Column, Column
         fits = allowed(kept, c["x"]) if most is None else allowed(kept, c["x"]) & (F.size(kept) < most)
         return F.when(fits, F.array_append(kept, c["x"])).otherwise(kept)
 
-    lists = df.groupBy("key").agg(seen.alias("c"))
+    lists = df.groupBy(*by).agg(seen.alias("c"))
     return lists.select("key", F.explode(F.aggregate("c", F.array().cast(kind), step)).alias("x")).select("key", "x.*")
 
 
@@ -43,19 +55,19 @@ def suppressed(df: DataFrame, percent: int = 25) -> DataFrame:
         whole = lambda y: F.greatest(y["t1"], x["t1"]) - F.least(y["t0"], x["t0"])
         return F.forall(kept, lambda y: (100 * both(y) <= percent * F.least(y["t1"] - y["t0"], x["t1"] - x["t0"])) & (10 * both(y) < 3 * whole(y)))
 
-    return chosen(df, [-F.col("score"), F.col("t0"), F.col("id")], free, ["id", "t0", "t1", "score"])
+    return chosen(isles(df, "t0", "t1", 1), [-F.col("score"), F.col("t0"), F.col("id")], free, ["id", "t0", "t1", "score"], by=("key", "_isle"))
 
 
 def merge_close(df: DataFrame, gap: int) -> DataFrame:
     """Points (key, id, t) in order, kept when at least ``gap`` after the last kept one."""
     far = lambda kept, x: (F.size(kept) == 0) | (x["t"] - F.try_element_at(kept, F.lit(-1))["t"] >= gap)
-    return chosen(df, [F.col("t"), F.col("id")], far, ["id", "t"])
+    return chosen(isles(df, "t", "t", gap), [F.col("t"), F.col("id")], far, ["id", "t"], by=("key", "_isle"))
 
 
 def budgeted(df: DataFrame, window: int, most: int) -> DataFrame:
     """Points (key, id, t) in order, kept while fewer than ``most`` kept ones lie within ``window`` before."""
     room = lambda kept, x: F.size(F.filter(kept, lambda y: x["t"] - y["t"] < window)) < most
-    return chosen(df, [F.col("t"), F.col("id")], room, ["id", "t"])
+    return chosen(isles(df, "t", "t", window), [F.col("t"), F.col("id")], room, ["id", "t"], by=("key", "_isle"))
 
 
 def top_per_group(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -101,12 +113,12 @@ def rate_limited(df: DataFrame, gap: int, window: int, most: int) -> DataFrame:
         crowded = F.exists(times, lambda s: (s <= x["t"]) & (F.size(F.filter(times, lambda y: (y >= s) & (y < s + window))) > most))
         return F.forall(kept, lambda y: F.abs(y["t"] - x["t"]) >= gap) & ~crowded
 
-    return chosen(best, [-F.col("score"), F.col("t"), F.col("id")], fits, ["id", "t", "score"])
+    return chosen(isles(best, "t", "t", max(gap, window)), [-F.col("score"), F.col("t"), F.col("id")], fits, ["id", "t", "score"], by=("key", "_isle"))
 
 
-def slots(df: DataFrame, spacing: int, air: int, most: int, spare: int = 3) -> DataFrame:
+def slots(df: DataFrame, spacing: int, air: int, most: int, bucket: int, spare: int = 3) -> DataFrame:
     """(key, id, t0, t1, score, taken) of candidates with ``busy``: up to ``most`` of the best, ``spacing`` between starts
-    and ``air`` between spans; busy ones are never taken, but up to ``spare`` of them, spaced too and clear of the taken
+    and ``air`` between spans (``bucket``: see ``overlapping``); busy ones are never taken, but up to ``spare`` of them, spaced too and clear of the taken
     ones, are returned as not taken."""
 
     def fits(kept, x):
@@ -117,21 +129,21 @@ def slots(df: DataFrame, spacing: int, air: int, most: int, spare: int = 3) -> D
         return (F.size(done) < most) & ~clash & (~x["busy"] | room)
 
     out = chosen(df, [-F.col("score"), F.col("t0"), F.col("id")], fits, ["id", "t0", "t1", "score", "busy"])
-    near = overlapping(out.where("busy").select("key", "id", (F.col("t0") - air).alias("t0"), (F.col("t1") + air).alias("t1")), out.where("not busy").select("key", "t0", "t1"))
+    near = overlapping(out.where("busy").select("key", "id", (F.col("t0") - air).alias("t0"), (F.col("t1") + air).alias("t1")), out.where("not busy").select("key", "t0", "t1"), bucket)
     spoiled = near.select("key", "id").distinct()
     return out.join(spoiled, ["key", "id"], "left_anti").select("key", "id", "t0", "t1", "score", (~F.col("busy")).alias("taken"))
 
 
-def first_wins(df: DataFrame) -> DataFrame:
+def first_wins(df: DataFrame, bucket: int) -> DataFrame:
     """(key, id, t0, t1, score, also): of overlapping (key, id, t0, t1, score, kind) the best stays, ties by start and id;
-    ``also`` lists the kinds of those that lost to it, best first."""
+    ``also`` lists the kinds of those that lost to it, best first.  ``bucket``: see ``overlapping``."""
     order = [-F.col("score"), F.col("t0"), F.col("id")]
     free = lambda kept, x: F.forall(kept, lambda y: (x["t1"] <= y["t0"]) | (x["t0"] >= y["t1"]))
-    kept = chosen(df, order, free, ["id", "t0", "t1", "score"])
+    kept = chosen(isles(df, "t0", "t1", 1), order, free, ["id", "t0", "t1", "score"], by=("key", "_isle"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(*order))
     lost = df.join(kept.select("key", "id"), ["key", "id"], "left_anti")
     ranked = kept.withColumn("r", rank)
-    to = overlapping(lost.select("key", "id", "t0", "t1", "score", "kind"), ranked).groupBy("key", "id", "kind", "score", "t0").agg(F.min(F.struct("b_r", "b_id")).alias("m"))
+    to = overlapping(lost.select("key", "id", "t0", "t1", "score", "kind"), ranked, bucket).groupBy("key", "id", "kind", "score", "t0").agg(F.min(F.struct("b_r", "b_id")).alias("m"))
     also = to.groupBy("key", F.col("m.b_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "t0", F.col("id").alias("i"), "kind"))).alias("l"))
     texts = also.select("key", "id", F.array_join(F.transform("l", lambda x: x["kind"]), ",").alias("also"))
     return kept.join(texts, ["key", "id"], "left").select("key", "id", "t0", "t1", "score", F.coalesce("also", F.lit("")).alias("also"))
@@ -140,4 +152,5 @@ def first_wins(df: DataFrame) -> DataFrame:
 def first_list_wins(fixes: DataFrame) -> DataFrame:
     """Fixes (key, list, id, i, n) of spans [i, i + n): those of earlier lists win on overlap, in a list those that come first."""
     free = lambda kept, x: F.forall(kept, lambda y: (x["i"] + x["n"] <= y["i"]) | (x["i"] >= y["i"] + y["n"]))
-    return chosen(fixes, [F.col("list"), F.col("i"), F.col("id")], free, ["list", "id", "i", "n"])
+    apart = isles(fixes.withColumn("_end", F.col("i") + F.col("n")), "i", "_end", 1)
+    return chosen(apart, [F.col("list"), F.col("i"), F.col("id")], free, ["list", "id", "i", "n"], by=("key", "_isle"))

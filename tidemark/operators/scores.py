@@ -53,7 +53,7 @@ def energy_scores(frames: DataFrame, spans: DataFrame, enough: int = 50, least:
     voiced = frames.join(otsu(frames), "key").where("v >= threshold").select("key", "i", "v")
     q = lambda p: F.percentile("v", F.lit(p))
     stats = voiced.groupBy("key").agg(q(0.5).alias("med"), q(0.95).alias("p95"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough)
-    inside = overlapping(spans.select("key", "id", "t0", "t1"), voiced.select("key", F.col("i").alias("t0"), (F.col("i") + 1).alias("t1"), "v"), 256)
+    inside = overlapping(spans.select("key", "id", "t0", "t1"), voiced.select("key", F.col("i").alias("t0"), (F.col("i") + 1).alias("t1"), "v"), 256, "b")
     own = inside.select("key", "id", F.col("b_v").alias("v")).groupBy("key", "id").agg(q(0.75).alias("p75"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("k"))
     rows = spans.select("key", "id").join(stats, "key", "left").join(own, ["key", "id"], "left")
     share = lambda c: F.least(F.greatest(c * 100, F.lit(0.0)), F.lit(100.0))

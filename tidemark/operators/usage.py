@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as tx
-from tidemark.operators.intervals import islands, overlapping
+from tidemark.operators.intervals import BUCKET, islands, overlapping
 
 #: Marks that may follow a word.
 TRAIL = r"[,.?!;:]+$"
@@ -135,7 +135,7 @@ def slot_windows(slots: DataFrame, words: DataFrame, scope: DataFrame, frame: in
     stem = F.substring("_kw", F.lit(1), F.greatest(F.lit(3), F.length("_kw") - 2))
     spans = slots.select("key", "id", F.col("t0").alias("s0"), F.col("t1").alias("s1"), F.col("w0").alias("t0"), (F.col("w1") + 1).alias("t1"), tx.norm(F.coalesce("kw", F.lit(""))).alias("_kw")).withColumn("_kw", F.when(F.col("_kw") != "", stem))
     said = words.select("key", F.col("n").alias("t0"), (F.col("n") + 1).alias("t1"), F.col("t0").alias("at"), tx.norm(F.col("text")).alias("k"))
-    hits = overlapping(spans, said).where(F.startswith("b_k", F.col("_kw"))).groupBy("key", "id").agg(F.min(F.struct("b_t0", "b_at")).alias("m")).select("key", "id", F.col("m.b_at").alias("at"))
+    hits = overlapping(spans, said, 60_000, "b").where(F.startswith("b_k", F.col("_kw"))).groupBy("key", "id").agg(F.min(F.struct("b_t0", "b_at")).alias("m")).select("key", "id", F.col("m.b_at").alias("at"))
     rows = spans.join(hits, ["key", "id"], "left").join(scope.select("key", F.col("t0").alias("lo"), F.col("t1").alias("hi")), "key")
     rows = rows.withColumn("a", F.greatest("s0", F.coalesce(F.col("at") - early, F.col("s0"))))
     want = F.least(F.greatest(F.col("s1") - F.col("a") + rest, F.lit(min(usual, most))), F.lit(most))
@@ -145,13 +145,13 @@ def slot_windows(slots: DataFrame, words: DataFrame, scope: DataFrame, frame: in
     return rows.select("key", "id", on("a").alias("t0"), on("b").alias("t1"))
 
 
-def speech_spans(words: DataFrame, second: DataFrame, clips: DataFrame, widen: int, least: int) -> DataFrame:
+def speech_spans(words: DataFrame, second: DataFrame, clips: DataFrame, widen: int, least: int, bucket: int = BUCKET) -> DataFrame:
     """(key, t0, t1): where clips speak, from words (key, id, t0, t1) that overlap them, cut to the clip, ``least`` long.
 
     The rough times of a second source are widened on both sides; touching spans are one.
     """
     rough = second.select("key", "id", (F.col("t0") - widen).alias("t0"), (F.col("t1") + widen).alias("t1"))
-    pairs = overlapping(words.select("key", "id", "t0", "t1").unionByName(rough), clips)
+    pairs = overlapping(words.select("key", "id", "t0", "t1").unionByName(rough), clips, bucket)
     t0 = F.greatest("t0", "b_t0")
     return islands(pairs.select("key", t0.alias("t0"), F.greatest(F.least("t1", "b_t1"), t0 + least).alias("t1")))
 

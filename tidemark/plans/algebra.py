@@ -73,23 +73,23 @@ ALL = {
         sql("select key, cast(coalesce(sum(t1 - t0) over (partition by key order by t0 rows between unbounded preceding and 1 preceding), 0) as bigint) as start, t0 as src_in, t1 as src_out from ia", IA),
     ),
     "word_clip_midpoint": (
-        lambda s, d: joins.midpoint_join(B(s, d), clips(s, d)),
+        lambda s, d: joins.midpoint_join(B(s, d), clips(s, d), 6 * HOUR),
         sql(
             f"select w.key, w.id, c.id as clip, greatest(w.t0, c.t0) as t0, least(w.t1, c.t1) as t1 from {W} w join clips c on w.key = c.key and 2 * c.t0 <= w.t0 + w.t1 and w.t0 + w.t1 < 2 * c.t1", CLIP_SQL,
         ),
     ),
     "word_clip_overlap": (
-        lambda s, d: joins.overlap_join(B(s, d), clips(s, d)),
+        lambda s, d: joins.overlap_join(B(s, d), clips(s, d), 6 * HOUR),
         sql(
             f"select w.key, w.id, c.id as clip, greatest(w.t0, c.t0) as t0, least(w.t1, c.t1) as t1, 2 * c.t0 <= w.t0 + w.t1 and w.t0 + w.t1 < 2 * c.t1 as mid from {W} w join clips c on w.key = c.key and w.t0 < c.t1 and c.t0 < w.t1", CLIP_SQL,
         ),
     ),
     "stab_top_track": (
-        lambda s, d: joins.stab_top(points(s, d), clips(s, d)),
+        lambda s, d: joins.stab_top(points(s, d), clips(s, d), 6 * HOUR),
         sql("select p.key, p.id, c.id as clip, c.track from points p join clips c on p.key = c.key and c.t0 <= p.t and p.t < c.t1 qualify row_number() over (partition by p.key, p.id order by c.track desc, c.id) = 1", CLIP_SQL),
     ),
     "stab_lowest_track": (
-        lambda s, d: joins.stab_top(points(s, d), clips(s, d), highest=False),
+        lambda s, d: joins.stab_top(points(s, d), clips(s, d), 6 * HOUR, highest=False),
         sql("select p.key, p.id, c.id as clip, c.track from points p join clips c on p.key = c.key and c.t0 <= p.t and p.t < c.t1 qualify row_number() over (partition by p.key, p.id order by c.track, c.id) = 1", CLIP_SQL),
     ),
     "asof_last": (
@@ -97,7 +97,7 @@ ALL = {
         sql("select p.key, p.id, p.t, m.t as mark_t, m.id as mark_id from points p left join marks m on p.key = m.key and m.t <= p.t qualify row_number() over (partition by p.key, p.id order by m.t desc, m.id desc) = 1"),
     ),
     "snap_nearest": (
-        lambda s, d: joins.snap_nearest(points(s, d), marks(s, d), HOUR, 2 * HOUR),
+        lambda s, d: joins.snap_nearest(points(s, d), marks(s, d), HOUR, 2 * HOUR, 6 * HOUR),
         sql(f"select p.key, p.id, p.t, coalesce(m.t, p.t) as t_new from points p left join marks m on p.key = m.key and m.t between p.t - {HOUR} and p.t + {2 * HOUR} qualify row_number() over (partition by p.key, p.id order by abs(m.t - p.t), m.t) = 1"),
     ),
     "frame_overlay_max": (

@@ -122,18 +122,18 @@ ALL = {
     "repeat_candidates": (lambda s, d: rp.candidates(rehearsed(s, d), LEX), None),
     "repeats_detected": (lambda s, d: rp.detected(rehearsed(s, d), LEX), None),
     "repeat_review_items": (
-        lambda s, d: rp.review_items(items(s, d), flags(s, d), reach(s, d), HOUR, HOUR, HOUR, 15, 20, 50),
+        lambda s, d: rp.review_items(items(s, d), flags(s, d), reach(s, d), HOUR, HOUR, HOUR, 15, 20, 50, 6 * HOUR),
         S(f"""select key, id, kind, t0, t1, conf, auto and conf >= 50 as "on" from (select key, id, kind, t0, t1, cast(v % 100 - case when v % 3 = 0 then 15 else 0 end as int) as conf, v % 2 = 0 as auto from spans i where t1 - t0 >= {HOUR}
           and not exists (select 1 from sb f where f.key = i.key and f.id % 5 = 0 and f.t0 - {HOUR} < i.t1 and i.t0 < f.t0 + {2 * HOUR}) and exists (select 1 from (select key, min(t0) + {3 * 24 * HOUR} as a, max(t0) as b from spans group by key) r where r.key = i.key and r.a < i.t1 and i.t0 < r.b and i.t0 >= r.a - {HOUR} and i.t1 <= r.b + {HOUR})) where conf >= 20"""),
     ),
     "filler_candidates": (lambda s, d: rp.filler_candidates(rehearsed(s, d), {"um": "always", "so": "tic", "very": "ambiguous"}, frozenset([("very", "very"), ("then", "then")]), 9000), None),
     "prioritised_hits": (hits, HITS),
     "censor_ranges": (
-        lambda s, d: rp.censored(side(s, d, True).select("key", "id", "t0", "t1", F.concat(F.substring("kind", 1, 1), F.lit("***")).alias("mask")), HOUR),
+        lambda s, d: rp.censored(side(s, d, True).select("key", "id", "t0", "t1", F.concat(F.substring("kind", 1, 1), F.lit("***")).alias("mask")), HOUR, 6 * HOUR),
         S("""select m.key, m.t0, m.t1, string_agg(cast(a.id as varchar), ',' order by a.t0, a.t1, a.id) as ids, string_agg(substr(a.kind, 1, 1) || '***', ' ' order by a.t0, a.t1, a.id) as masks from """ + merged("sa", f"e is null or (t0 > e and t0 - e >= {HOUR})") + """ m join sa a on a.key = m.key and a.t0 >= m.t0 and a.t1 <= m.t1 and a.t0 < a.t1 group by m.key, m.t0, m.t1"""),
     ),
     "second_source": (
-        lambda s, d: rp.second_source(side(s, d, True).where("t0 < t1"), side(s, d, False).where("t0 < t1"), 30),
+        lambda s, d: rp.second_source(side(s, d, True).where("t0 < t1"), side(s, d, False).where("t0 < t1"), 30, 6 * HOUR),
         S("""select key, id, t0, t1, 'main' as source from sa where t0 < t1 union all select key, id, t0, t1, 'second' from sb b where t0 < t1 and not exists (
           select 1 from sa a where a.key = b.key and a.t0 < b.t1 and b.t0 < a.t1 and 100 * (least(a.t1, b.t1) - greatest(a.t0, b.t0)) > 30 * least(a.t1 - a.t0, b.t1 - b.t0))"""),
     ),

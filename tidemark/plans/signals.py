@@ -176,7 +176,7 @@ ALL = {
         pick_sql(CAND, "score desc, t0, id", f"len(list_filter(w.kept, lambda y: abs(y.t0 - c.t0) < {6 * HOUR})) > 0 or {DENSE}", "select key, x.id as id, x.t0 as t, x.score as score from kept"),
     ),
     "slots": (
-        lambda s, d: rank.slots(candidates(s, d), DAY, HOUR, 5),
+        lambda s, d: rank.slots(candidates(s, d), DAY, HOUR, 5, 6 * HOUR),
         pick_sql(
             CAND.replace("kind from", "kind, v % 3 = 0 as busy from"), "score desc, t0, id",
             f"len(list_filter(w.kept, lambda y: not y.busy)) >= 5 or len(list_filter(w.kept, lambda y: not y.busy and (abs(y.t0 - c.t0) < {DAY} or (c.t0 < y.t1 + {HOUR} and y.t0 < c.t1 + {HOUR})))) > 0 or (c.busy and (len(list_filter(w.kept, lambda y: y.busy)) >= 3 or len(list_filter(w.kept, lambda y: y.busy and abs(y.t0 - c.t0) < {DAY})) > 0))",
@@ -184,7 +184,7 @@ ALL = {
         ),
     ),
     "first_wins": (
-        lambda s, d: rank.first_wins(candidates(s, d)),
+        lambda s, d: rank.first_wins(candidates(s, d), 6 * HOUR),
         pick_sql(
             CAND, "score desc, t0, id", "len(list_filter(w.kept, lambda y: y.t0 < c.t1 and c.t0 < y.t1)) > 0",
             """, lost as (select c.key, c.id, c.kind, c.score, c.t0, arg_min(k.x.id, k.x.r) as winner from cand c join kept k on k.key = c.key and k.x.t0 < c.t1 and c.t0 < k.x.t1 where not exists (select 1 from kept j where j.key = c.key and j.x.id = c.id) group by all)
