@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -453,9 +454,43 @@ def test_gif_damage():
     assert gif.decode(whole)[0].indices.tobytes() == bytes(range(192)) * 20
 
 
+def test_gif_cut_at_every_byte():
+    data = gif.encode_bytes(np.random.default_rng(2).integers(0, 9, 192 * 3, np.uint8).tobytes())
+    assert len(gif.decode(data)) == 1
+    for n in range(len(data)):
+        with pytest.raises(ValueError):
+            gif.decode(data[:n])
+
+
+def seconds(work, *args):
+    """The best of three runs."""
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        work(*args)
+        took.append(time.process_time() - began)
+    return min(took)
+
+
 def test_lzw_time_grows_with_the_stream():
-    data = np.random.default_rng(1).integers(0, 256, 300_000, np.uint8).tobytes()
+    data = np.random.default_rng(1).integers(0, 256, 400_000, np.uint8).tobytes()
     assert gif.lzw_decode(gif.lzw_encode(data)) == data
+    few, many = (seconds(lambda d: gif.lzw_decode(gif.lzw_encode(d)), data[:n]) for n in (40_000, 400_000))
+    assert many < 25 * few
+
+
+@pytest.mark.parametrize("unit", ["x://", "token=", "iban ", "a@", "+1 ", "1.", "4 4", "x://u:p", "api_key: '", "1.1.1.1.", "token=a1", "iban de", "@a."])
+def test_pii_time_grows_with_the_text(unit):
+    few, many = ((unit * (n // len(unit))) for n in (100_000, 1_000_000))
+    assert seconds(pii.find_spans, many) < 25 * seconds(pii.find_spans, few) + 0.05
+
+
+def test_pii_cues_fold_only_ascii():
+    value = "=abcdefgh12345678"
+    assert pii.find_spans("TOKEN" + value)[0][0] == "secret"
+    for other in ("", "İ", "é"):  # a letter elsewhere changes nothing
+        assert not any(k == "secret" for k, _, _ in pii.find_spans(f"{other} to\u212aen{value}"))
+    assert pii.find_spans("seventeenletterslongscheme://user:pw@host/x") == [("url", 0, 43)]
 
 
 def test_lzw_round_trip():

@@ -1,11 +1,13 @@
 """Every stage of the pipeline against brute force on its own input."""
 
+import pytest
+
 import corpus_pipeline
 from tests.conftest import TINY
 from tests.llm.data import documents, frame, labels
 from tests.llm.test_documents import result, slow_components
-from tidemark.llm import mixing, pii
-from tidemark.llm.common import numbered_in_order, with_position, written
+from tidemark.llm import mixing, packing, pii
+from tidemark.llm.common import clean, numbered_in_order, with_position, written
 
 
 def test_stages(spark, tmp_path):
@@ -35,6 +37,23 @@ def test_stages(spark, tmp_path):
     assert all(r.n_tokens == len((r.text or "").split()) for r in batches.collect())
 
 
+def test_rows_of_partition_folders_keep_their_places(spark, tmp_path):
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), "en", "abc"[i % 3], 1, 1, "h", "s", "b") for i in range(300)]
+    frame(spark, rows).coalesce(1).write.partitionBy("source").parquet(f"{tmp_path}/parts")
+    shuffled = frame(spark, rows).repartition(5, "doc_id").where("doc_id >= 0")
+    for docs in (spark.read.parquet(f"{tmp_path}/parts"), shuffled, shuffled.unionByName(shuffled)):
+        out = packing.packed_rows(docs).collect()
+        assert len(out) == docs.count() and all(r.n_tokens == len(r.text.split()) for r in out)
+
+
+def test_scratch_tables_can_be_removed(spark):
+    table = written(frame(spark), "test-clean")
+    assert table.count() > 0 and clean(spark) >= 1
+    assert clean(spark) == 0
+    with pytest.raises(Exception):
+        table.collect()
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, TINY)
     ids = [r.doc_id for r in out.collect()]

@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
 _own_dir: list[str] = []
+#: Paths of the tables written by this session.
+_made: list[str] = []
 
 
 def words(text: str | None) -> list[bytes]:
@@ -30,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not (spark.conf.get("spark.master", None) or "unknown").startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tidemark-"))
@@ -48,9 +50,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Remove the written tables of this session that are still there, once all results that read them are stored.
+
+    Results are lazy and read these tables, so nothing removes them before.  Returns how many there were.
+    """
+    n = sum(_remove(spark, path) for path in _made)
+    _made.clear()
+    return n
+
+
+def _remove(spark: SparkSession, folder: str) -> bool:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Written tables of one run in one folder of the shared folder, removed when the block ends."""
 
@@ -65,9 +84,7 @@ class Scratch:
         return _stored(df, f"{self.folder}/{self.n:03d}-{name}")
 
     def __exit__(self, *_) -> None:
-        context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(self.spark, self.folder)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -90,13 +107,21 @@ def md5_sample(df: DataFrame, id_col: str, limit: int, total: int) -> DataFrame:
 def with_position(df: DataFrame) -> DataFrame:
     """``df`` and where its rows stand: _file and _at, which ascend in the order the rows were written.
 
-    Rows read from files stand by file name and row index, however Spark cuts and deals the files; the part
-    files of one write are named in order.  Rows that come from no file stand by partition.
+    ``df`` reads files and does nothing else (see ``as_files``): a row stands by file path and row index, however Spark
+    cuts and deals the files; the part files of one write are named in order.
     """
+    return df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+
+
+def as_files(df: DataFrame, label: str) -> DataFrame:
+    """``df`` itself where it is a plain scan of files, so that every row has one place; else written first."""
+    plain = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
     try:
-        return df.withColumns({"_file": F.col("_metadata.file_name"), "_at": F.col("_metadata.row_index")})
+        if plain and df.select("_metadata.row_index").schema:
+            return df
     except AnalysisException:
-        return df.withColumns({"_file": F.lit(""), "_at": F.monotonically_increasing_id()})
+        pass  # a source without files
+    return written(df, label)
 
 
 def numbered_in_order(df: DataFrame, group: str, out: str, slice_rows: int = 10_000) -> DataFrame:

@@ -161,7 +161,17 @@ def _interlaced(rows: np.ndarray) -> np.ndarray:
 
 
 def decode(data: bytes) -> list[Frame]:
-    """All frames of a GIF, composed in order on a black canvas.  Raises ValueError on other bytes."""
+    """All frames of a GIF, composed in order on a black canvas.
+
+    A code stream that ends early leaves index 0.  Bytes that are no GIF, or end before the trailer, raise ValueError.
+    """
+    try:
+        return _decode(data)
+    except (IndexError, struct.error) as e:  # a length or a place beyond the bytes
+        raise ValueError("GIF: the bytes end early") from e
+
+
+def _decode(data: bytes) -> list[Frame]:
     if data[:6] not in (b"GIF87a", SIGNATURE):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -172,7 +182,7 @@ def decode(data: bytes) -> list[Frame]:
         at += 3 * n
     canvas, frames = np.zeros((height, width, 3), np.uint8), []
     delay, disposal, transparent = 0, 0, None
-    while at < len(data) and data[at] != TRAILER:
+    while data[at] != TRAILER:
         if data[at] == EXTENSION:
             label, (block, after) = data[at + 1], _sub_blocks(data, at + 2)
             if label == CONTROL_LABEL:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import numbered, numbered_in_order, with_position, words, written
+from tidemark.llm.common import as_files, numbered, numbered_in_order, with_position, words, written
 
 
 def optimal_limits(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarray, buckets: int) -> list[int]:
@@ -103,9 +103,10 @@ def packed(
 def packed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536, tokenizer: str | None = None) -> DataFrame:
     """``docs`` as written, all columns and rows, with the columns of ``packed(in_order=True)`` after them.
 
-    Rows find their places by where they stand in the written files, so repeated and null ids keep their own.
+    ``docs`` that is more than a scan of files is written first.  Rows find their places by where they stand in the written files, so repeated and null ids keep their own.
     Columns of ``docs`` that are named like the new ones give way to them.
     """
+    docs = as_files(docs, "packing-rows")
     places = written(_placements(docs, id_col, text_col, buckets, budget, tokenizer, True).drop(id_col), "packing-places")
     rows = with_position(docs).drop(*(c for c in places.columns if c not in ("_file", "_at")))
     return rows.join(places.hint("merge"), ["_file", "_at"]).drop("_file", "_at")
@@ -114,6 +115,7 @@ def packed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _placements(docs: DataFrame, id_col: str, text_col: str, buckets: int, budget: int, tokenizer: str | None, in_order: bool) -> DataFrame:
     """The rows of ``packed``; with ``in_order`` also _file and _at."""
     position = ("_file", "_at") if in_order else ()
+    docs = as_files(docs, "packing-rows") if in_order else docs
     counts = written(token_counts(with_position(docs) if in_order else docs, id_col, text_col, tokenizer, position), "packing-counts")
     hist = counts.where(F.col("n_tokens") <= budget).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toPandas()
     lengths, n = hist["n_tokens"].to_numpy(), hist["n"].to_numpy()

@@ -2,7 +2,8 @@
 
 One automaton finds at-signs, plus-signs, digits, schemes and identifier cues (A-Z like a-z) in a single pass over
 the whole text.  Each anchor is handed to the parser of its kind, which expands it to both sides, checks it
-and emits one span; a parser never looks further than the token it grows.
+and emits one span.  A parser looks no further than the token it grows, and what a failed one has read of a run is
+remembered where a later anchor could read it again, so the time grows with the text alone.
 
 The kinds email, ip, card and phone have exact base definitions (leftmost, not overlapping within a
 kind, failing matches dropped without a retry).  The method adds three kinds: ``url`` for URLs with
@@ -138,25 +139,27 @@ def parse_phone(text: str, at: int) -> tuple[Span | None, bool]:
 
 
 def parse_url(text: str, at: int) -> Span | None:
-    """A URL around ``://`` whose authority carries user:password@."""
+    """A URL around ``://`` whose authority carries user:password@.
+
+    Only the authority is read until the credentials are found: it ends before the next anchor's slashes.
+    """
     start = at
-    while start > 0 and text[start - 1] in _ALNUM and at - start < 16:
+    while start > 0 and text[start - 1] in _ALNUM:
         start -= 1
     if start == at:
         return None
-    end = at + 3
-    stop, user, colon = False, -1, False
+    end, user, colon = at + 3, -1, False
+    while end < len(text) and text[end] not in _URL_END and text[end] not in "/?#":
+        if text[end] == ":" and user < 0:
+            colon = True
+        elif text[end] == "@" and colon:
+            user = end
+        end += 1
+    if user <= at + 3:
+        return None
     while end < len(text) and text[end] not in _URL_END:
-        ch = text[end]
-        if not stop:
-            if ch in "/?#":
-                stop = True
-            elif ch == ":" and user < 0:
-                colon = True
-            elif ch == "@" and colon:
-                user = end
         end += 1
-    return (start, end) if user > at + 3 else None
+    return start, end
 
 
 def parse_iban(text: str, at: int) -> Span | None:
@@ -178,14 +181,25 @@ def _iban_valid(body: str) -> bool:
     return int("".join(c if c in _DIGITS else str(ord(c) - 55) for c in body[4:] + body[:4])) % 97 == 1
 
 
-def parse_secret(text: str, at: int) -> Span | None:
-    """After the cue: blanks, = or :, blanks, an optional quote and a value of 16 characters with a digit."""
-    i = _run(text, at, frozenset(" \t\"'"))
+_QUOTE = frozenset(" \t\"'")
+
+
+def parse_secret(text: str, at: int, failed: int = 0) -> tuple[Span | None, int]:
+    """After the cue: blanks, = or :, blanks, an optional quote and a value of 16 characters with a digit.
+
+    (span, failed): a value that is too short or has no digit fails up to its end, and so does every later value that
+    starts before it, being a part of it.
+    """
+    i = _run(text, at, _QUOTE)
     if i >= len(text) or text[i] not in "=:":
-        return None
-    start = _run(text, i + 1, frozenset(" \t\"'"))
+        return None, failed
+    start = _run(text, i + 1, _QUOTE)
+    if start < failed:
+        return None, failed
     end = _run(text, start, _SECRET)
-    return (start, end) if end - start >= 16 and any(c in _DIGITS for c in text[start:end]) else None
+    if end - start >= 16 and any(c in _DIGITS for c in text[start:end]):
+        return (start, end), failed
+    return None, end
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -200,8 +214,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             found.append((span[0], KINDS.index(kind), span[1]))
         after[kind] = span[1]
 
-    low = text.lower()
-    for last, (what, length) in _AUTOMATON.iter(low if len(low) == len(text) else text.translate(_FOLD)):  # some capitals grow in lower case
+    failed = 0
+    for last, (what, length) in _AUTOMATON.iter(text.translate(_FOLD)):
         at = last - length + 1
         if what == "digit":
             if at >= after["card"]:
@@ -230,8 +244,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         elif what == "iban":
             if at >= after["iban"] and (span := parse_iban(text, last + 1)):
                 add("iban", span)
-        elif at >= after["secret"] and (span := parse_secret(text, last + 1)):
-            add("secret", span)
+        elif at >= after["secret"]:
+            span, failed = parse_secret(text, last + 1, failed)
+            if span:
+                add("secret", span)
     found.sort()
     return [(KINDS[k], s, e) for s, k, e in found]
 
