@@ -60,7 +60,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _AUTOMATON = _automaton()
-_FOLD = str.maketrans(_UPPER, _UPPER.lower())
+
 
 
 def _run(text: str, at: int, allowed) -> int:
@@ -215,7 +215,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         after[kind] = span[1]
 
     failed = 0
-    for last, (what, length) in _AUTOMATON.iter(text.translate(_FOLD)):
+    low = text.lower() if text.isascii() else text.encode().lower().decode()  # bytes fold A-Z only
+    for last, (what, length) in _AUTOMATON.iter(low):
         at = last - length + 1
         if what == "digit":
             if at >= after["card"]:
