@@ -10,6 +10,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import chapters as ch
 from tidemark.operators import highlights as hl
 from tidemark.operators import intervals as iv
+from tidemark.operators import repeat_review as rr
 from tidemark.operators import repeats as rp
 from tidemark.operators import shots as sh
 from tidemark.operators import takes
@@ -284,10 +285,10 @@ def test_takes_equal_a_walk_over_all_phrases(spark):
         said_words[key] = words
     numbered = takes.numbered_words(spark.createDataFrame(rows, WORDS), LEX.hesitation).cache()
     got = takes.retakes(numbered, LEX.stop, LEX.conjunctions, LEX.sorry, LEX.conditions).collect()
-    want = [(k, *x) for k, w in said_words.items() for x in slow_retakes(w, LEX)]
+    want = [(k, 3 * x, 3 * y) for k, w in said_words.items() for x, y in slow_retakes(w, LEX)]
     assert len(want) > 5 and sorted((r.key, r.i, r.j) for r in got) == sorted(want)
     got = takes.corrections(numbered, LEX.markers, LEX.sorry, LEX.stop).collect()
-    want = [(k, *x) for k, w in said_words.items() for x in slow_corrections(w, LEX)]
+    want = [(k, 3 * x, 3 * y) for k, w in said_words.items() for x, y in slow_corrections(w, LEX)]
     assert len(want) > 5 and sorted((r.key, r.i, r.j) for r in got) == sorted(want)
     numbered.unpersist()
 
@@ -356,8 +357,17 @@ def test_cut_edges(spark):
             want.append((key, i, *slow_edges(v, -40.0, hop, a, b, c)))
     edges = takes.edge_frames(spark.createDataFrame(frames, "key string, i long, v double, threshold double"), hop)
     df = spark.createDataFrame([*spans, ("silent", 0, 5, 9, 40)], "key string, id long, t0 long, t1 long, next long")
-    got = {(r.key, r.id): tuple(r)[2:] for r in takes.cut_edges(df, edges, hop).select("key", "id", "t0", "t1", "tight", "long_gap").collect()}
-    assert got.pop(("silent", 0)) == (-15, 55, False, None)
+    got = {(r.key, r.id): tuple(r)[2:] for r in takes.cut_edges(df, edges, hop).select("key", "id", "t0", "t1", "glued", "long_gap", "tight").collect()}
+    assert got.pop(("silent", 0)) == (-15, 55, False, None, False)
+    level = {(k, i): v for k, i, v, _ in frames}
+    size = {k: max(i for q, i in level if q == k) + 1 for k in "pqr"}
+
+    def joint(key, t):
+        i = max(0, min(size[key] - 1, (t + 5) // 10))
+        return level[key, i] <= -40 or max(level[key, j] for j in range(max(0, i - 15), min(size[key], i + 16))) - level[key, i] >= 8
+
+    assert all(x[4] == (not (joint(k[0], x[0]) and joint(k[0], x[1]))) for k, x in got.items())
+    got = {k: x[:4] for k, x in got.items()}
     assert got == {x[:2]: x[2:] for x in want}
 
 
@@ -368,3 +378,57 @@ def test_word_threshold(spark):
     valley = {r.key: r.threshold for r in takes.series.otsu(spark.createDataFrame(quiet + loud + few, "key string, i long, v double")).collect()}
     levels = np.array([x[2] for x in quiet + loud if x[2] > -85])
     assert out["a"] == max(valley["a"], np.percentile(levels, 90) - 22) and out["b"] == valley["b"]
+
+
+def test_quiet_loops_equal_a_walk(spark):
+    rng = random.Random(33)
+    words, frames = [], []
+    for key in "ab":
+        text = [rng.choice("xyz") for _ in range(150)]
+        for n in range(0, 140, 10):
+            text[n : n + 6] = rng.choice([["x"] * 6, ["x", "y"] * 3, ["x", "y", "z"] * 2])
+        words += [(key, n, w, 100 * n, 100 * n + 70, False) for n, w in enumerate(text)]
+        frames += [(key, i, rng.random() < (0.8 if i // 60 % 2 else 0.3)) for i in range(1400)]
+    edges = spark.createDataFrame(frames, "key string, i long, on boolean")
+    got = sorted(tuple(r) for r in rr.quiet_loops(spark.createDataFrame(words, WORDS), edges, 10).collect())
+    want = []
+    for key in "ab":
+        w, on, i = [x for x in words if x[0] == key], [f[2] for f in frames if f[0] == key], 0
+        while i < len(w):
+            ends = {n: i for n in (1, 2, 3)}
+            for n in ends:
+                j = i
+                while [x[2] for x in w[j : j + n]] == [x[2] for x in w[i : i + n]] and j + n <= len(w):
+                    j += n
+                ends[n] = j if j - i >= 3 * n else i
+            j = max(ends.values())
+            heard = on[w[i][3] // 10 : max(w[i][3] // 10 + 1, w[j - 1][4] // 10)] if j > i else []
+            if j > i and (not heard or sum(heard) < 0.5 * len(heard)):
+                want.append((key, i, j))
+                i = j
+            else:
+                i += 1
+    assert len(want) > 3 and got == want
+
+
+def test_repeat_items(spark):
+    text = "now we open open the file okay la la la la la and press the green button sorry press the red button now. then save it"
+    n = len(text.split())
+    loop = range(7, 12)
+    words = said(spark, text, step=500, pauses={12: 700, 13: 700, 17: 700, 18: 700})
+    times = {r.n: (r.t0, r.t1) for r in words.collect()}
+    loud = {i for k, (a, b) in times.items() if k not in loop for i in range(a // 10, b // 10)}
+    frames = spark.createDataFrame([("k", i, -20.0 if i in loud else -70.0) for i in range(times[n - 1][1] // 10 + 60)], "key string, i long, v double")
+    scope = spark.createDataFrame([("k", 0, 10**9)], "key string, t0 long, t1 long")
+    items = {r.kind: r for r in rr.repeat_items(words, frames, scope, LEX, 10).collect()}
+    stutter, correction = items.pop("stutter"), items.pop("correction")
+    assert not items  # the loop over silence is no stutter
+    assert (stutter.drop, stutter.on, stutter.auto, stutter.tight, stutter.alike) == ("open", True, True, False, 1000) and stutter.keep.startswith("open the file")
+    assert times[2][0] - 40 <= stutter.t0 <= times[2][0] and times[2][1] <= stutter.t1 <= times[3][0]
+    assert correction.drop.endswith("sorry") and correction.auto and correction.keep.startswith("press the red button") and correction.keep.endswith("now.")
+    prior = spark.createDataFrame([("k", stutter.id, False, True)], "key string, id string, on boolean, touched boolean")
+    flags = spark.createDataFrame([("k", correction.t0, correction.t0 + 10)], "key string, t0 long, t1 long")
+    again = rr.repeat_items(words, frames, scope, LEX, 10, flags=flags, prior=prior).collect()
+    assert [(r.id, r.on, r.touched) for r in again] == [(stutter.id, False, True)]
+    outside = spark.createDataFrame([("k", 0, 50)], "key string, t0 long, t1 long")
+    assert rr.repeat_items(words, frames, outside, LEX, 10).count() == 0
