@@ -98,35 +98,37 @@ def gated(df: DataFrame, hyst: float) -> DataFrame:
 
 
 def frame_owner(df: DataFrame, lead: float, smooth: int, floor: float, priority: DataFrame | None = None, enough: int = 100, otherwise: float = -50.0, hyst: float = 4.0) -> DataFrame:
-    """(i, owner) of frames (i, key, v) of several microphones.
+    """(key, i, owner) of frames (key, mic, i, v): the microphones of recordings.
 
     A moving maximum over ``smooth`` frames to both sides bridges syllables; each microphone is gated by its own Otsu
     valley (``otherwise`` with fewer than ``enough`` frames above ``floor``).  The owner is on and ``lead`` above all
-    others; with several on and no owner it is the one with the highest ``priority`` (key, rank > 0) if that is unique,
-    else 'cross'; one on is 'unknown', none 'silent'.  Two windows by microphone and one aggregation by frame.
+    others; with several on and no owner it is the one with the highest ``priority`` (rank > 0) if that is unique,
+    else 'cross'; one on is 'unknown', none 'silent'.  Two windows by microphone and one aggregation by frame of a recording;
+    ``priority`` is (mic, rank) for all recordings.
     """
+    df = df.select(F.struct("key", F.col("mic").cast("string").alias("mic")).alias("key"), "i", "v")
     near = line().rowsBetween(-smooth, smooth)
     level = df.select("key", "i", F.max("v").over(near).alias("v"))
     signal = level.where(F.col("v") > floor + 0.5)
     counts = signal.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
     limits = otsu(signal).join(counts, "key").select("key", F.when(F.col("_n") >= enough, F.col("threshold")).otherwise(otherwise).alias("threshold"))
     rows = gated(level.join(limits, "key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(otherwise))), hyst)
-    rows = rows.withColumn("rank", F.lit(0)) if priority is None else rows.join(priority.select("key", "rank"), "key", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
-    mic = F.struct((-F.col("v")).alias("d"), F.col("key").cast("string").alias("k"), "on")
-    ranked = F.struct((-F.col("rank")).alias("d"), F.col("key").cast("string").alias("k"))
-    by = rows.groupBy("i").agg(F.sort_array(F.collect_list(mic)).alias("t"), F.sort_array(F.collect_list(F.when(F.col("on"), ranked))).alias("p"), F.count_if("on").alias("n"))
+    rows = rows.withColumn("rank", F.lit(0)) if priority is None else rows.join(priority.select(F.col("mic").cast("string").alias("_mic"), "rank"), F.col("key.mic") == F.col("_mic"), "left").drop("_mic").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    mic = F.struct((-F.col("v")).alias("d"), F.col("key.mic").alias("k"), "on")
+    ranked = F.struct((-F.col("rank")).alias("d"), F.col("key.mic").alias("k"))
+    by = rows.groupBy(F.col("key.key").alias("key"), "i").agg(F.sort_array(F.collect_list(mic)).alias("t"), F.sort_array(F.collect_list(F.when(F.col("on"), ranked))).alias("p"), F.count_if("on").alias("n"))
     first, second, p = F.col("t")[0], F.try_element_at("t", F.lit(2)), F.col("p")
     clear = first["on"] & (second.isNull() | (second["d"] - first["d"] >= lead))
     single = (p[0]["d"] < 0) & (F.try_element_at("p", F.lit(2)).isNull() | (F.try_element_at("p", F.lit(2))["d"] > p[0]["d"]))
     name = F.when(clear, first["k"]).when((F.col("n") >= 2) & single, p[0]["k"]).when(F.col("n") >= 2, "cross").when(F.col("n") == 1, "unknown").otherwise("silent")
-    return by.select("i", name.alias("owner"))
+    return by.select("key", "i", name.alias("owner"))
 
 
 def lanes(owners: DataFrame, bridge: int, least: int, least_cross: int) -> DataFrame:
-    """(key, i0, i1): when each owner of ``frame_owner`` speaks, gaps under ``bridge`` frames closed."""
-    rows = owners.where(~F.col("owner").isin("unknown", "silent")).select(F.col("owner").alias("key"), "i")
-    spans = runs(rows, F.lit(True), bridge - 1)
-    return spans.where(F.col("i1") - F.col("i0") >= F.when(F.col("key") == "cross", least_cross).otherwise(least))
+    """(key, lane, i0, i1): when each owner of ``frame_owner`` speaks in a recording, gaps under ``bridge`` frames closed."""
+    rows = owners.where(~F.col("owner").isin("unknown", "silent")).select(F.struct("key", "owner").alias("key"), "i")
+    spans = runs(rows, F.lit(True), bridge - 1).select("key.key", F.col("key.owner").alias("lane"), "i0", "i1")
+    return spans.where(F.col("i1") - F.col("i0") >= F.when(F.col("lane") == "cross", least_cross).otherwise(least))
 
 
 def z_scores(df: DataFrame, reach: int) -> DataFrame:

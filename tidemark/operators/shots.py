@@ -5,7 +5,9 @@ Each is a walk over one key's ordered rows with a small state; keys are recordin
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,10 @@ class Rules:
     aside: int = 250
 
 
+#: Labels of runs that are no speaker.
+LABELS = ("cross", "silent", "unknown")
+
+
 def labelled_runs(owners: DataFrame) -> DataFrame:
     """(key, label, i0, i1): the runs of frames (key, i, owner)."""
     return rle(owners.withColumn("label", F.col("owner")), "label")
@@ -71,40 +77,73 @@ def speaker_shots(runs: DataFrame, scope: DataFrame, rules: Rules) -> DataFrame:
     return walked(rows, ["i0"], walk, "t0 long, t1 long, camera string, why string")
 
 
+#: Frames of 10 ms: the shortest sound and pause that count, how early a reaction comes, how late a cut in a pause.
+SOUND, PAUSE, EARLY, INTO = 15, 15, 30, 10
+
+
 def cutaways(shots: DataFrame, runs: DataFrame, rules: Rules) -> DataFrame:
     """Speaker shots broken up: a listener's short sound (15 frames to ``confirm``) shows that listener for ``reaction``
     frames, ``reaction_every`` apart; with nothing for ``longest`` frames the wide camera is shown for ``aside``.
 
-    Every piece keeps ``least`` frames on the speaker.  Equal neighbours are one shot.
+    Both last ``least`` at least, and every piece keeps ``least`` frames on the speaker; a shot with no room for that stays
+    whole.  The aside begins in the longest pause of the last two fifths of ``longest``, where one of 15 frames is, the earlier of equals.
+    Without a wide camera it shows the listener: who was on before, else who is next, else the speaker next by name.  Equal neighbours are one shot.
     """
-
-    def pieces(s0, s1, camera, why, sounds):
-        at, reason = s0, why
+    react, aside = max(rules.least, rules.reaction), max(rules.least, rules.aside)
+
+    def pause(quiet: list, a: int, b: int) -> int | None:
+        """Where the longest pause in [a, b) starts."""
+        best = None
+        for q0, q1 in quiet[max(0, bisect_right(quiet, (a,)) - 1) : bisect_left(quiet, (b,))]:
+            size = min(q1, b) - max(q0, a)
+            if size >= PAUSE and (best is None or size > best[0]):
+                best = (size, max(q0, a))
+        return best and best[1]
+
+    def pieces(s0, s1, camera, why, sounds, quiet, listener):
+        at, reason, k = s0, why, 0
         while True:
-            react = next(((t - 30, c) for t, c in sounds if t - 30 >= at + max(rules.least, rules.reaction_every) and t - 30 + rules.reaction <= s1 - rules.least), None)
+            first = at + max(rules.least, rules.reaction_every)
+            while k < len(sounds) and sounds[k][0] - EARLY < first:
+                k += 1
+            show = (sounds[k][0] - EARLY, sounds[k][1], react, "reaction") if k < len(sounds) and sounds[k][0] - EARLY + react <= s1 - rules.least else None
             over = None
-            if rules.longest and rules.wide and s1 - at > rules.longest:
-                latest = min(at + rules.longest, s1 - rules.least - rules.aside)
-                over = (latest, rules.wide) if latest >= at + rules.least else None
-            pick = min((x for x in (react, over) if x), key=lambda x: (x[0], x is over), default=None)
+            if rules.longest and s1 - at > rules.longest:
+                latest = min(at + rules.longest, s1 - rules.least - aside)
+                if latest >= at + rules.least:
+                    calm = pause(quiet, min(at + max(rules.least, 3 * rules.longest // 5), latest), latest)
+                    over = (calm + INTO if calm is not None and calm + INTO <= latest else latest, rules.wide or listener, aside, "aside")
+            pick = show if show and (over is None or show[0] <= over[0]) else over
             if pick is None:
                 yield at, s1, camera, reason
                 return
-            size = rules.aside if pick is over else rules.reaction
             yield at, pick[0], camera, reason
-            yield pick[0], pick[0] + size, pick[1], "aside" if pick is over else "reaction"
-            at, reason = pick[0] + size, "back"
+            yield pick[0], pick[0] + pick[2], pick[1], pick[3]
+            at, reason = pick[0] + pick[2], "back"
 
     def walk(rows):
-        sounds = [(a, c) for a, b, c, k in zip(rows["t0"], rows["t1"], rows["camera"], rows["run"]) if k and 15 <= b - a < rules.confirm]
-        held = None
-        for s0, s1, camera, why, k in zip(rows["t0"], rows["t1"], rows["camera"], rows["why"], rows["run"]):
-            if k:
-                continue
-            own = [(s0, s1, camera, why)]
-            if camera != rules.wide:
-                own = pieces(s0, s1, camera, why, [(t, c) for t, c in sounds if c != camera and s0 < t < s1])
-            for p in own:
+        said = [(a, b, c) for a, b, c, k in zip(rows["t0"], rows["t1"], rows["camera"], rows["run"]) if k]
+        own = [(a, b, c, w) for a, b, c, w, k in zip(rows["t0"], rows["t1"], rows["camera"], rows["why"], rows["run"]) if not k]
+        sounds = [(a, c) for a, b, c in said if c not in LABELS and SOUND <= b - a < rules.confirm] if rules.reaction else []
+        quiet: list = []
+        for a, b, c in said:
+            if c in ("silent", "unknown") and quiet and quiet[-1][1] == a:
+                quiet[-1] = (quiet[-1][0], b)
+            elif c in ("silent", "unknown"):
+                quiet.append((a, b))
+        names = sorted({c for _, _, c in said if c not in LABELS})
+        speakers = [x for x in own if x[2] in names]
+        held, place = None, 0
+        for s0, s1, camera, why in own:
+            parts = [(s0, s1, camera, why)]
+            if camera in names and s1 - s0 >= 2 * rules.least + min(react, aside):
+                while place < len(speakers) and speakers[place][0] < s0:
+                    place += 1
+                other = chain(range(place - 1, -1, -1), range(place, len(speakers)))
+                listener = next((speakers[j][2] for j in other if speakers[j][2] != camera), names[(names.index(camera) + 1) % len(names)])
+                near = [x for x in sounds[bisect_right(sounds, (s0, chr(0x10FFFF))) : bisect_left(sounds, (s1,))] if x[1] != camera]
+                parts = pieces(s0, s1, camera, why, near, quiet, listener)
+            for p in parts:
                 if held and held[2] == p[2]:
                     held = (held[0], p[1], *held[2:])
                 else:
@@ -114,8 +153,8 @@ def cutaways(shots: DataFrame, runs: DataFrame, rules: Rules) -> DataFrame:
         if held:
             yield held
 
-    speech = runs.where(~F.col("label").isin("cross", "silent", "unknown")).select("key", F.col("i0").alias("t0"), F.col("i1").alias("t1"), F.col("label").alias("camera"), F.lit("").alias("why"), F.lit(True).alias("run"))
-    return walked(shots.withColumn("run", F.lit(False)).unionByName(speech), ["t0", "run"], walk, "t0 long, t1 long, camera string, why string")
+    labelled = runs.select("key", F.col("i0").alias("t0"), F.col("i1").alias("t1"), F.col("label").alias("camera"), F.lit("").alias("why"), F.lit(True).alias("run"))
+    return walked(shots.withColumn("run", F.lit(False)).unionByName(labelled), ["t0", "run"], walk, "t0 long, t1 long, camera string, why string")
 
 
 def sentence_starts(words: DataFrame, per_frame: int) -> DataFrame:
@@ -137,11 +176,12 @@ def split_points(spans: DataFrame, starts: DataFrame, least: int, every: int) ->
 
     def walk(rows):
         points = [(t, s) for t, s, k in zip(rows["t0"], rows["strength"], rows["kind"]) if k == 1]
+        times = [t for t, _ in points]
         for a, b, i, k in zip(rows["t0"], rows["t1"], rows["id"], rows["kind"]):
             last = a
             while k == 0 and b - last >= 2 * least and 4 * (b - last) > 5 * every:
-                free = [(t, s) for t, s in points if last + least <= t <= b - least]
-                near = [x for x in free if x[0] <= last + 2 * every] or free[:1]
+                lo, hi = bisect_left(times, last + least), bisect_right(times, b - least)
+                near = points[lo : min(hi, bisect_right(times, last + 2 * every))] or points[lo:hi][:1]
                 if not near:
                     break
                 last = max(near, key=lambda x: (x[1] * every - 60 * abs(x[0] - last - every), -x[0]))[0]

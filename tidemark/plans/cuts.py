@@ -83,7 +83,7 @@ FILES = f"""with lib as (select distinct p_partkey as file, unnest({TOKENS}) as
 
 
 def owned(s, d):
-    return signals.owners(s, d).select(F.lit(0).alias("key"), "i", "owner")
+    return signals.owners(s, d)
 
 
 def owned_runs(s, d):

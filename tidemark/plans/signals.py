@@ -45,16 +45,23 @@ def gated_sql(source: str, name: str) -> str:
         select *, v >= threshold - 4 and coalesce(lag(v >= threshold - 4) over (partition by key order by i), false) and coalesce(i - lag(i) over (partition by key order by i) = 1, false) as st from {source})))"""
 
 
-MICS = f"""lev as (select key, i, max(v) over (partition by key order by i rows between 1 preceding and 1 following) as v from db), sig as (select * from lev where v > -87.5), {otsu_sql('sig', 'ot')},
+MICS = f"""mdb as (select (user_id % 3) || ':' || event_type as key, epoch_us(ts) // 600000000 as i, least(0, cast(floor(sum(cast(floor(value * 100 + 0.5) as bigint)) / 15) as bigint) - 90) as v from events group by all),
+  lev as (select key, i, max(v) over (partition by key order by i rows between 1 preceding and 1 following) as v from mdb), sig as (select * from lev where v > -87.5), {otsu_sql('sig', 'ot')},
   lim as (select l.key, l.i, l.v, case when coalesce(c.n, 0) >= 100 then ot.threshold else -50 end as threshold from lev l left join ot on ot.key = l.key left join (select key, count(*) as n from sig group by key) c on c.key = l.key), {gated_sql('lim', 'gt')},
   prio(key, rank) as (values ('click', 2), ('view', 2), ('purchase', 3)),
-  own as (select i, case when one.sounds and (two is null or one.v - two.v >= 12) then one.key when n >= 2 and pr[1].r > 0 and (pr[2] is null or pr[2].r < pr[1].r) then pr[1].key when n >= 2 then 'cross' when n = 1 then 'unknown' else 'silent' end as owner from (
-    select i, l[1] as one, l[2] as two, n, pr from (select gt.i, list(struct_pack(v := gt.v, key := gt.key, sounds := gt.sounds) order by gt.v desc, gt.key) as l, count(*) filter (gt.sounds) as n, list(struct_pack(r := coalesce(prio.rank, 0), key := gt.key) order by coalesce(prio.rank, 0) desc, gt.key) filter (gt.sounds) as pr
-      from gt left join prio on prio.key = gt.key group by gt.i)))"""
+  own as (select key, i, case when one.sounds and (two is null or one.v - two.v >= 12) then one.key when n >= 2 and pr[1].r > 0 and (pr[2] is null or pr[2].r < pr[1].r) then pr[1].key when n >= 2 then 'cross' when n = 1 then 'unknown' else 'silent' end as owner from (
+    select key, i, l[1] as one, l[2] as two, n, pr from (select gt.rec as key, gt.i, list(struct_pack(v := gt.v, key := gt.mic, sounds := gt.sounds) order by gt.v desc, gt.mic) as l, count(*) filter (gt.sounds) as n, list(struct_pack(r := coalesce(prio.rank, 0), key := gt.mic) order by coalesce(prio.rank, 0) desc, gt.mic) filter (gt.sounds) as pr
+      from (select *, cast(split_part(key, ':', 1) as bigint) as rec, split_part(key, ':', 2) as mic from gt) gt left join prio on prio.key = gt.mic group by gt.rec, gt.i)))"""
+
+
+def microphones(s, d):
+    """Three recordings, one for each remainder of the users, with a microphone for each kind of event."""
+    e = table(s, d, "events").select((F.col("user_id") % 3).cast("long").alias("key"), F.col("event_type").alias("mic"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000).cast("long").alias("i"), F.floor(F.col("value") * 100 + 0.5).cast("long").alias("v"))
+    return e.groupBy("key", "mic", "i").agg(F.least(F.lit(0), F.floor(F.sum("v") / 15) - 90).cast("long").alias("v"))
 
 
 def owners(s, d):
-    return sr.frame_owner(db(s, d), 12, 1, -88, s.createDataFrame([("click", 2), ("view", 2), ("purchase", 3)], "key string, rank int"))
+    return sr.frame_owner(microphones(s, d), 12, 1, -88, s.createDataFrame([("click", 2), ("view", 2), ("purchase", 3)], "mic string, rank int"))
 
 
 def frame_spans(s, d):
@@ -110,8 +117,8 @@ ALL = {
     "frame_owner": (owners, Q("select * from own", MICS)),
     "lanes": (
         lambda s, d: sr.lanes(owners(s, d), 4, 2, 3),
-        Q("""select key, min(i) as i0, max(i) + 1 as i1 from (select *, sum(n) over (partition by key order by i) as g from (
-          select owner as key, i, case when coalesce(i - lag(i) over (partition by owner order by i) > 4, true) then 1 else 0 end as n from own where owner not in ('unknown', 'silent'))) group by key, g having max(i) + 1 - min(i) >= case when key = 'cross' then 3 else 2 end""", MICS),
+        Q("""select key, lane, min(i) as i0, max(i) + 1 as i1 from (select *, sum(n) over (partition by key, lane order by i) as g from (
+          select key, owner as lane, i, case when coalesce(i - lag(i) over (partition by key, owner order by i) > 4, true) then 1 else 0 end as n from own where owner not in ('unknown', 'silent'))) group by key, lane, g having max(i) + 1 - min(i) >= case when lane = 'cross' then 3 else 2 end""", MICS),
     ),
     "z_scores": (
         lambda s, d: sr.z_scores(db(s, d), 30).withColumn("z", F.round("z", 6)),
