@@ -17,6 +17,18 @@ def words(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.posexplode(tokens(F.col(text))).alias("pos", "token"))
 
 
+def texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, w): a text's words as one array, for what needs a text's words together; nothing is shuffled."""
+    return df.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w"))
+
+
+def _runs(n: Column | int) -> Column:
+    """Every ``n`` consecutive words of the array w, joined by spaces, in order."""
+    n = F.lit(n) if isinstance(n, int) else n
+    starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+
+
 def nexts(df: DataFrame, n: int) -> Column:
     """The words from here on, ``n`` at most."""
     return F.collect_list("token").over(line().rowsBetween(0, n - 1))
@@ -33,9 +45,14 @@ def stutters(df: DataFrame) -> DataFrame:
 
 
 def repeated_grams(df: DataFrame, n: int, within: int) -> DataFrame:
-    """Grams that come again up to ``within`` words later: (key, gram, pos, next_pos)."""
-    after = F.lead("pos").over(Window.partitionBy("key", "gram").orderBy("pos"))
-    return grams(df, n).withColumn("next_pos", after).where(F.col("next_pos") - F.col("pos") <= within).select("key", "gram", "pos", "next_pos")
+    """Grams of texts (key, w) that come again up to ``within`` words later in the same row: (key, gram, pos, next_pos).
+
+    Each gram is looked for among the ``within`` that follow it, inside the row; only hits leave it.
+    """
+    rows = df.select("key", _runs(n).alias("g"))
+    again = F.transform("g", lambda x, i: F.struct(x.alias("gram"), i.alias("pos"), F.array_position(F.slice("g", i + 2, F.lit(within)), x).alias("d")))
+    hits = rows.select("key", F.explode(F.filter(again, lambda x: x["d"] > 0)).alias("x"))
+    return hits.select("key", "x.gram", "x.pos", (F.col("x.pos") + F.col("x.d")).cast("int").alias("next_pos"))
 
 
 def dense(df: DataFrame, window: int, most_distinct: int) -> DataFrame:
@@ -71,15 +88,20 @@ def phrase_match(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, pos, phrase): occurrences of phrases (phrase, n words) of any length, from left to right; at a place the
     longest wins, and a match hides those that start inside it.
 
-    One window gathers the words that follow each word, as many as the longest phrase has; the choice is a fold over a
-    key's matches in order.
+    Texts (key, w) give their runs of words inside the row, so only matches are shuffled; for words (key, pos, token) one window gathers
+    what follows each word.  The choice is a fold over a key's matches in order; rows of texts with equal keys count as one text.
     """
     sizes = sorted(r.n for r in wanted.select("n").distinct().collect())  # the lengths of phrases, a handful
     if not sizes:
-        return df.select("key", "pos", F.lit("").alias("phrase")).limit(0)
-    ahead = df.select("key", "pos", nexts(df, sizes[-1]).alias("_w"))
-    some = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.size("_w"))
-    each = ahead.withColumn("n", F.explode(some)).select("key", "pos", "n", F.array_join(F.slice("_w", F.lit(1), F.col("n")), " ").alias("phrase"))
+        return df.select("key", F.lit(0).alias("pos"), F.lit("").alias("phrase")).limit(0)
+    if "w" in df.columns:
+        placed = lambda n: F.transform(_runs(n), lambda x, i: F.struct(i.alias("pos"), F.lit(n).alias("n"), x.alias("phrase")))
+        runs = F.flatten(F.array(*map(placed, sizes)))
+        each = df.select("key", F.explode(runs).alias("x")).select("key", "x.*")
+    else:
+        ahead = df.select("key", "pos", nexts(df, sizes[-1]).alias("_w"))
+        some = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.size("_w"))
+        each = ahead.withColumn("n", F.explode(some)).select("key", "pos", "n", F.array_join(F.slice("_w", F.lit(1), F.col("n")), " ").alias("phrase"))
     found = each.join(listed(wanted.select("phrase", "n").distinct()), ["phrase", "n"])
     seen = F.sort_array(F.collect_list(F.struct("pos", (-F.col("n")).alias("minus"), "phrase")))
     start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<pos:int,phrase:string>>").alias("kept"))

@@ -96,7 +96,7 @@ ALL = {
     ),
     "stutter_candidates": (lambda s, d: tk.stutters(words(s, d)), Q("select * from words qualify lag(token) over (partition by key order by pos) = token")),
     "ngram_repeat_pairs": (
-        lambda s, d: tk.repeated_grams(words(s, d), 2, 40),
+        lambda s, d: tk.repeated_grams(tk.texts(table(s, d, "documents"), "doc_id", "text"), 2, 40),
         Q("select * from (select key, gram, pos, lead(pos) over (partition by key, gram order by pos) as next_pos from grams) where next_pos - pos <= 40", GRAMS2),
     ),
     "dense_repeat": (
@@ -109,7 +109,7 @@ ALL = {
     ),
     "lexicon_lookup": (lambda s, d: tk.lexicon(words(s, d), lexicon(s)), Q("select key, pos, token, lemma, tier from words join lex using (token)", LEX_SQL)),
     "allow_list": (lambda s, d: words(s, d).join(tk.listed(lexicon(s)), "token", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n")), Q("select key, count(*) as n from words anti join lex using (token) group by key", LEX_SQL)),
-    "phrase_match": (lambda s, d: tk.phrase_match(words(s, d), wanted(s)), PHRASE_SQL),
+    "phrase_match": (lambda s, d: tk.phrase_match(tk.texts(table(s, d, "documents"), "doc_id", "text"), wanted(s)), PHRASE_SQL),
     "context_words": (
         lambda s, d: joins.context_words(words(s, d), 3),
         Q("select * from (select key, pos, token, coalesce(string_agg(token, ' ') over (partition by key order by pos rows between 3 preceding and 1 preceding), '') as before, coalesce(string_agg(token, ' ') over (partition by key order by pos rows between 1 following and 3 following), '') as after from words)"),
