@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as tx
+from tidemark.operators import highlights as hl
 from tidemark.operators import rank, scores, silence
 from tidemark.operators import series as sr
 from tidemark.plans.inputs import HOUR, SERIES, SPANS, merged, minus, series, spans, table
@@ -144,6 +146,20 @@ ALL = {
         Q("""select k.key, round(x.l, 4) as loudness from (select distinct key from placed) k left join (select b.key, -0.691 + 10 * log10(avg(p) + 1e-20) as l from bl b join (select key, -0.691 + 10 * log10(avg(p) + 1e-20) - 10 as g from bl group by key) g on g.key = b.key and b.l > g.g group by b.key) x on x.key = k.key""",
           PLACED, "bl as (select key, p, -0.691 + 10 * log10(p + 1e-20) as l from (select key, avg(10.0 ** (v / 10)) over w as p, count(*) over w as n from placed window w as (partition by key order by i rows between current row and 3 following)) where n = 4 and -0.691 + 10 * log10(p + 1e-20) > -70)"),
     ),
+    "loudness_range": (
+        lambda s, d: sr.loudness_range(placed(s, d).select("key", "i", F.pow(F.lit(10.0), F.col("v") / 10).alias("power"))).withColumn("range", F.round("range", 4)),
+        Q("""select k.key, round(case when count(l) > 1 then quantile_cont(l, 0.95) - quantile_cont(l, 0.1) else 0 end, 4) as range from (select distinct key from placed) k left join (
+            select b.key, b.l from b3 b join (select key, -0.691 + 10 * log10(avg(10 ** ((l + 0.691) / 10))) - 20 as g from b3 group by key) g on g.key = b.key and b.l > g.g) x on x.key = k.key group by k.key""",
+          PLACED, "b3 as (select key, -0.691 + 10 * log10(p + 1e-20) as l from (select key, avg(10.0 ** (v / 10)) over w as p, count(*) over w as n, row_number() over (partition by key order by i) - 1 as r from placed window w as (partition by key order by i rows between current row and 29 following)) where n = 30 and r % 10 = 0 and -0.691 + 10 * log10(p + 1e-20) > -70)"),
+    ),
+    "linear_levels": (
+        lambda s, d: db(s, d).select("key", "i", F.round(tx.level(F.col("v").cast("double")), 9).alias("level")),
+        Q("select key, i, round(10.0 ** (v / 20), 9) as level from db"),
+    ),
+    "composite_scores": (
+        lambda s, d: spans(s, d).select("id", hl.composite_score(*(F.col("v") * k % 101 for k in (1, 3, 7, 11, 13))).alias("score")),
+        f"with {SPANS} select id, cast(round_even(round(0.9 * (0.35 * (v % 101) + 0.2 * (v * 3 % 101) + 0.25 * (v * 7 % 101) + 0.1 * (v * 11 % 101)) / 0.9 + 0.1 * (v * 13 % 101), 9), 0) as int) as score from spans",
+    ),
     "energy_spans": (
         lambda s, d: scores.energy_scores(placed(s, d), frame_spans(s, d), 50, 5),
         Q("""select s.key, s.id, case when n is null then 50 when count(vo.v) < 5 then 0 else cast(round_even(0.7 * least(greatest((quantile_cont(vo.v, 0.75) - med) / greatest(p95 - med, 1) * 100, 0), 100) + 0.3 * least(greatest(stddev_pop(vo.v) / 8 * 100, 0), 100), 0) as bigint) end as energy
