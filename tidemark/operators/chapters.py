@@ -12,9 +12,11 @@ from pyspark.sql.window import Window
 from tidemark.operators.sequences import walked
 
 
-def wanted(span: Column, mode: str = "normal", each: int = 240) -> Column:
+def wanted(span: Column, mode: str | int = "normal", each: int = 240) -> Column:
     """How many chapters a span of seconds gets: one for ``each``, 3 to 15; fewer: six tenths, 3 at least; more: 1.6
-    times, 25 at most.  Halves round to the even number."""
+    times, 25 at most.  Halves round to the even number.  A number as mode is taken as it is, 1 to 50."""
+    if str(mode).strip().isdigit():
+        return F.when(span.isNotNull(), F.lit(max(1, min(50, int(mode)))))
     base = F.greatest(F.least(F.bround(span / each), F.lit(15)), F.lit(3))
     return {"normal": base, "less": F.greatest(F.bround(base * 0.6), F.lit(3)), "more": F.least(F.bround(base * 1.6), F.lit(25))}[mode].cast("int")
 

@@ -70,7 +70,7 @@ def switches(s, d):
 
 
 def layers(s, d):
-    c = clips(s, d).where("key % 5 = 0").withColumn("first", F.min("t0").over(cl.Window.partitionBy("key")))
+    c = clips(s, d).withColumn("first", F.min("t0").over(cl.Window.partitionBy("key")))
     return c.select("key", "media", (F.col("t0") - F.col("first")).alias("t0"), (F.col("t0") - F.col("first") + F.col("id") % 7 * 10).alias("t1"), "src_in", F.greatest("speed", F.lit(1)).alias("speed"))
 
 
@@ -79,7 +79,7 @@ def envelopes(s, d):
 
 
 def lengths(s, d):
-    return clips(s, d).where("key % 5 = 0").select("key").distinct().select("key", F.lit(60).cast("long").alias("n"))
+    return clips(s, d).select("key").distinct().select("key", F.lit(60).cast("long").alias("n"))
 
 
 S = lambda body, *more: f"with {', '.join([SPANS, CLIPS, WORDS, *more])} {body}"
@@ -126,7 +126,7 @@ ALL = {
             """select g.key, g.i, coalesce(max(e.v), -90) as v from (select distinct key, unnest(range(60)) as i from layers) g
             left join (select key, media, t0, src_in, speed, unnest(range(t0, t1)) as i from layers where t0 < t1) f on f.key = g.key and f.i = g.i
             left join (select media, s0 as i, max(s1) as v from heard group by 1, 2) e on e.media = f.media and e.i = f.src_in + (f.i - f.t0) * f.speed group by g.key, g.i""",
-            "layers as (select key, media, t0 - f as t0, t0 - f + id % 7 * 10 as t1, src_in, greatest(speed, 1) as speed from (select *, min(t0) over (partition by key) as f from clips where key % 5 = 0))",
+            "layers as (select key, media, t0 - f as t0, t0 - f + id % 7 * 10 as t1, src_in, greatest(speed, 1) as speed from (select *, min(t0) over (partition by key) as f from clips))",
         ),
     ),
     "contained_clips": (
