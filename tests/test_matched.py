@@ -5,6 +5,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
 from tidemark.operators import captions as cp
@@ -96,6 +97,56 @@ def test_pages(spark):
     assert cp.caption_pages(df.limit(0), LOOK).collect() == []
 
 
+def test_heights_are_the_cheapest_of_all_paths():
+    rng, rules, moves = np.random.default_rng(4), cp.Heights(), 0
+    levels = np.array([20.0, 50.0, 80.0])
+    for _ in range(60):
+        n = int(rng.integers(1, 7))
+        cost = rng.random((n, 3)).round(3) * rng.choice([1, 4])
+        gaps = rng.choice([100, 2000], n)
+
+        def price(path):
+            out = sum(cost[i, k] for i, k in enumerate(path))
+            for i in range(1, n):
+                if path[i] != path[i - 1]:
+                    out += (0.3 if gaps[i] >= 1000 else 1.0) + 1.5 * abs(levels[path[i]] - levels[path[i - 1]]) / 100
+            return out
+
+        best = min(itertools.product(range(3), repeat=n), key=price)
+        got = cp.best_heights(levels, cost, gaps, rules)
+        assert abs(price(got) - price(best)) < 1e-9
+        moves += len(set(got)) > 1
+    assert moves > 10
+
+
+def test_caption_heights(spark):
+    pages = [(0, 0, 2000), (1, 2000, 4000), (2, 4000, 5000), (3, 5000, 9000), (4, 12_000, 14_000)]
+    rows = []
+    for key, block in (("face", {(2, 80.0): 0.9, (3, 80.0): 0.9}), ("fixed", {}), ("none", {})):
+        for n, t0, t1 in pages:
+            for y in (30.0, 80.0):
+                rows.append((key, n, t0, t1, y, block.get((n, y)), None, 0.0, 30.0 if key == "fixed" and n == 4 else None))
+    df = spark.createDataFrame(rows, "key string, n long, t0 long, t1 long, y double, face double, text double, action double, fixed double")
+    out = {(r.key, r.n): (r.y, r.why) for r in cp.caption_heights(df).collect()}
+    assert [out["face", n] for n in range(5)] == [(80.0, "default")] * 2 + [(30.0, "face")] * 2 + [(80.0, "default")]
+    assert [out["fixed", n] for n in range(5)] == [(80.0, "default")] * 4 + [(30.0, "manual")]
+    assert {out["none", n] for n in range(5)} == {(80.0, "default")}
+    assert cp.caption_heights(df.limit(0)).collect() == []
+
+
+def test_brief_stays_settle():
+    levels, t0, t1 = np.array([30.0, 79.0, 80.0]), [0, 2000, 3000, 4000, 9000], [2000, 3000, 4000, 9000, 9900]
+    face = np.zeros((5, 3))
+    settle = lambda path, free=(True,) * 5, face=face: cp.settled(list(path), levels, face, list(free), t0, t1, cp.Heights())
+    assert settle([2, 0, 0, 2, 2]) == [2, 2, 2, 2, 2] and settle([2, 0, 0, 1, 1]) == [2, 2, 2, 1, 1]
+    assert settle([2, 0, 0, 0, 2]) == [2, 0, 0, 0, 2]  # long enough
+    assert settle([2, 0, 0, 2, 2], (True, False, True, True, True)) == [2, 0, 0, 2, 2]
+    seen = face.copy()
+    seen[2, 2] = 0.5
+    assert settle([2, 0, 0, 2, 2], face=seen) == [2, 0, 0, 2, 2]
+    assert settle([0, 2, 2, 2, 2]) == [0, 2, 2, 2, 2] and settle([2, 2, 2, 2, 0]) == [2, 2, 2, 2, 0]
+
+
 # ---- glossary ------------------------------------------------------------------------------------
 
 PAIRS, WEAK, FILLERS = (("ph", "f"), ("oe", "u")), ("the", "to"), ("um",)

@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,3 +154,78 @@ def page_flags(lines: DataFrame, words: DataFrame, per_second: float = 17.0, sur
     cps = F.floor(F.col("c") * 1000 / F.greatest("d", F.lit(1)) * 10 + 0.5) / 10
     counted = each.groupBy("key", "page", "c", "d").agg(F.count(F.when(F.col("p") < sure, 1)).alias("unsure"))
     return counted.select("key", "page", cps.alias("cps"), (cps > per_second).alias("fast"), "unsure")
+
+
+@dataclass(frozen=True)
+class Heights:
+    """What a caption's height costs: faces, text and action under it (shares), distance from ``anchor`` (percent of the frame, over 30);
+    a move, less after a ``pause``, and more the further it goes.  ``brief``: a stay shorter than that between like heights is no stay."""
+
+    anchor: float = 80.0
+    face: float = 8.0
+    text: float = 2.0
+    action: float = 4.0
+    away: float = 1.5
+    move: float = 1.0
+    move_after_pause: float = 0.3
+    far: float = 1.5
+    pause: int = 1000
+    brief: int = 3000
+    same: float = 3.0
+    step: float = 5.0
+
+
+def best_heights(levels: np.ndarray, cost: np.ndarray, gaps: np.ndarray, rules: Heights) -> list[int]:
+    """The cheapest sequence of levels for pages with costs (page x level), ``gaps`` before each page; of equals the lower level."""
+    apart = np.abs(levels[:, None] - levels[None, :]) / 100
+    total, back = cost[0].copy(), []
+    for own, gap in zip(cost[1:], gaps[1:]):
+        jump = rules.move_after_pause if gap >= rules.pause else rules.move
+        reach = total[:, None] + np.where(apart > 1e-9, jump + rules.far * apart, 0.0)
+        back.append(reach.argmin(0))
+        total = reach.min(0) + own
+    path = [int(total.argmin())]
+    for before in reversed(back):
+        path.append(int(before[path[-1]]))
+    return path[::-1]
+
+
+def settled(path: list[int], levels: np.ndarray, face: np.ndarray, free: list[bool], t0: list[int], t1: list[int], rules: Heights) -> list[int]:
+    """``path`` without brief stays that come back to about the height before, unless a page is fixed or a face is there."""
+    path, edges = list(path), [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
+    for a, b, c in zip(edges[1:], edges[2:], edges[3:]):
+        back = path[a - 1]
+        near = abs(levels[back] - levels[path[b]]) <= rules.same
+        if c > b and t1[b - 1] - t0[a] < rules.brief and near and all(free[i] and face[i, back] <= 0.02 for i in range(a, b)):
+            path[a:b] = [back] * (b - a)
+    return path
+
+
+def caption_heights(places: DataFrame, rules: Heights = Heights()) -> DataFrame:
+    """(key, n, y, why): where each page stands, for pages by possible heights (key, n, t0, t1, y, face, text, action, fixed).
+
+    Every page of a key has the same heights y, in percent; face, text and action are shares of what it would cover there (null: none),
+    ``fixed`` a height chosen by hand, one of them.  Heights are chosen together, by the least cost of all; ``why``: manual, what the
+    anchor's height would have covered (face, text, action), stability, or default for the anchor's own.
+    """
+
+    def walk(rows) -> Iterator[tuple]:
+        rows = rows.sort_values(["n", "y"])
+        levels = np.unique(rows["y"].to_numpy(float))
+        shape = (len(rows) // len(levels), len(levels))
+        face, text, action = (rows[c].fillna(0.0).to_numpy(float).reshape(shape) for c in ("face", "text", "action"))
+        first = rows.iloc[:: len(levels)]
+        fixed, n, t0, t1 = first["fixed"].to_numpy(float), first["n"].tolist(), first["t0"].tolist(), first["t1"].tolist()
+        free = np.isnan(fixed)
+        cost = rules.face * face + rules.text * text + rules.action * action + rules.away * np.abs(levels - rules.anchor) / 30
+        cost[~free] = np.where(np.abs(levels - fixed[~free][:, None]) < 1e-6, 0.0, 1e6)
+        gaps = np.array([0, *(a - b for a, b in zip(t0[1:], t1))])
+        path = settled(best_heights(levels, cost, gaps, rules), levels, face, free.tolist(), t0, t1, rules)
+        home = int(np.abs(levels - rules.anchor).argmin())
+        for i, k in enumerate(path):
+            why = [name for name, share, most in (("face", face, 0.02), ("text", text, 0.35), ("action", action, 0.05)) if share[i, home] > most]
+            moved = abs(levels[k] - rules.anchor) > 0.6 * rules.step
+            yield n[i], float(levels[k]), "manual" if not free[i] else ",".join(why) or "stability" if moved else "default"
+
+    rows = places.select("key", "n", "t0", "t1", *(F.col(c).cast("double").alias(c) for c in ("y", "face", "text", "action", "fixed")))
+    return walked(rows, ["n", "y"], walk, "n long, y double, why string")

@@ -45,7 +45,15 @@ def chunks(s, d):
     return w.groupBy("key", "page", "line").agg(F.min("n").alias("w0"), F.max("n").alias("w1"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.array_join(F.transform(order, lambda x: x["text"]), " ").alias("text"))
 
 
+def standing(s, d):
+    """Every page of three sentences with five heights and what stands there."""
+    rows = topics.sentences(s, d).select("key", "n", "t0", "t1", F.explode(F.array(*map(F.lit, (20.0, 35.0, 50.0, 65.0, 80.0)))).alias("y"))
+    place = F.pmod(F.hash("key", F.floor(F.col("n") / 3), "y"), F.lit(100))
+    return rows.select("*", F.when(place < 15, place / 15).alias("face"), (F.pmod(place, F.lit(30)) / 40).alias("text"), F.when(place > 80, 0.3).alias("action"), F.when(F.col("n") % 11 == 5, 35.0).alias("fixed"))
+
+
 ALL = {
+    "caption_heights": (lambda s, d: cp.caption_heights(standing(s, d)), None),
     "caption_pages": (lambda s, d: cp.caption_pages(captioned(s, d), LOOK), None),
     "page_flags": (
         lambda s, d: cp.page_flags(chunks(s, d), spoken.spoken(s, d).select("key", "n", (F.col("n") * 31 % 100 / 100).alias("p")), 9.0),
