@@ -166,6 +166,22 @@ def test_page_shots(spark):
     assert got == sorted(want) and max(x[2] for x in want) > 3 and any(x[3] is None for x in want)
 
 
+def test_animated_cells_equal_a_step_by_step_loop(spark):
+    rng, rows, want = random.Random(5), [], {}
+    for key, alpha in (("a", 0.1),):
+        for cell in range(4):
+            level, at = 0.0, {k for k in range(1500) if rng.random() < (0.05, 0.5, 0.95, 0.6 if k % 700 < 300 else 0.0)[cell]}
+            for k in range(1500):
+                level = level * (1 - alpha) + (alpha if k in at else 0.0)
+                if k in at:
+                    rows.append((key, cell, k))
+                    want[key, cell, k] = level
+    df = spark.createDataFrame([*rows, rows[0], (None, 1, 2)], "key string, cell int, k long")
+    got = {(r.key, r.cell, r.k): (r.level, r.masked) for r in mo.animated_cells(df, 0.1).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x][0] - want[x]) < 1e-9 and got[x][1] == (want[x] > 0.5) for x in want)
+    assert {m for _, m in got.values()} == {True, False}
+
+
 # ---- sounds --------------------------------------------------------------------------------------
 
 

@@ -143,3 +143,26 @@ def page_shots(samples: DataFrame, step: int, around: int, least_mass: int, clos
     inner = F.coalesce(F.max((F.col("_seen") & ~F.col("_trim")).cast("int")).over(shot), F.lit(0)) == 1
     shown = F.col("_seen") & ~(F.col("_trim") & inner)
     return rows.select("key", "t", "shot", *(F.when(shown, F.col(f"_m{c}") / F.col("_m")).alias(c) for c in ("x", "y")))
+
+
+def animated_cells(active: DataFrame, alpha: float = 0.01, limit: float = 0.5) -> DataFrame:
+    """(key, cell, k, level, masked): cells of a screen that change so often that they are an animation.
+
+    ``active`` is (key, cell, k), the cells that change in frame k, but for frames in which everything does.  A cell's level decays by
+    ``alpha`` with every frame and gains it with every change; from ``limit`` on the cell is masked.  Repeated rows count once.
+
+    Levels are sums of powers, taken in blocks of 10 / alpha frames: inside a block by one running sum, before it from what the four blocks
+    before left (what is older is below the precision of a double).  So frames without changes need no rows and nothing is walked.
+    """
+    keep = 1.0 - alpha
+    size = max(1, round(10 / alpha))
+    rows = active.select("key", "cell", F.col("k").cast("long").alias("k")).dropna().distinct()
+    rows = rows.withColumns({"b": F.floor(F.col("k") / size).cast("long"), "r": F.pmod(F.col("k"), F.lit(size))})
+    inside = Window.partitionBy("key", "cell", "b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.sum(alpha * F.pow(F.lit(keep), -F.col("r"))).over(inside))
+    ends = rows.groupBy("key", "cell", "b").agg((F.max("own") * keep ** (size - 1)).alias("end"))
+    near = F.collect_list(F.struct("b", "end")).over(Window.partitionBy("key", "cell").orderBy("b").rangeBetween(-4, -1))
+    left = F.aggregate("near", F.lit(0.0), lambda acc, x: acc + x["end"] * F.pow(F.lit(keep), (F.col("b") - 1 - x["b"]) * size))
+    carried = ends.withColumn("near", near).select("key", "cell", "b", left.alias("before"))
+    level = F.pow(F.lit(keep), F.col("r")) * (F.col("own") + F.col("before") * keep)
+    return rows.join(carried, ["key", "cell", "b"]).select("key", "cell", "k", level.alias("level"), (level > limit).alias("masked"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tidemark.operators import motion as mo
 from tidemark.operators import sounds as so
 from tidemark.plans import spoken, topics
-from tidemark.plans.inputs import HOUR, side, spans
+from tidemark.plans.inputs import HOUR, SPANS, side, spans
 
 STEP = 500
 
@@ -78,7 +78,21 @@ def heard(s, d):
     return w.select("key", F.col("n").alias("id"), text.alias("text"), (F.col("t0") + 500).alias("t0"), (F.col("t1") + 500).alias("t1"))
 
 
+def flicker(s, d):
+    """Events as changes of a screen's cells, some cells of which change nearly always."""
+    rows = spans(s, d).select((F.col("key") % 3).alias("key"), (F.col("id") % 12).alias("cell"), F.floor(F.col("t0") / 1_800_000_000).cast("long").alias("k"), "v")
+    more = rows.where("cell < 3").withColumn("k", F.explode(F.sequence("k", F.col("k") + F.col("v") % 30)))
+    return rows.select("key", "cell", "k").union(more.select("key", "cell", "k"))
+
+
+FLICKER = """ch as (select distinct key, cell, k from (select key % 3 as key, id % 12 as cell, t0 // 1800000000 as k from spans union all select key % 3, id % 12, unnest(range(t0 // 1800000000, t0 // 1800000000 + v % 30 + 1)) from spans where id % 12 < 3))"""
+
+
 ALL = {
+    "animated_cells": (
+        lambda s, d: mo.animated_cells(flicker(s, d), 0.02).withColumn("level", F.round("level", 9)),
+        f"with {SPANS}, {FLICKER} select key, cell, k, round(level, 9) as level, level > 0.5 as masked from (select a.key, a.cell, a.k, sum(0.02 * 0.98 ** (a.k - b.k)) as level from ch a join ch b on b.key = a.key and b.cell = a.cell and b.k <= a.k group by all)",
+    ),
     "cursor_rests": (lambda s, d: so.cursor_rests(cursor(s, d)), f"with {topics.SENTENCES}, {topics.SCOPE}, {SAMPLES}, {CURSOR}"),
     "merged_by_rank": (lambda s, d: so.merged_by_rank(detections(s, d), 6 * HOUR), None),
     "claimed_islands": (
