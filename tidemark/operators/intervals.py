@@ -16,6 +16,15 @@ from pyspark.sql.window import Window
 BUCKET = 6 * 3600 * 1_000_000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles both sides, whatever size Spark guesses.
+
+    Its guess starts from the bytes of compressed files and does not grow where rows are exploded into words, frames or cells, so
+    a large table can look small enough for a broadcast, which passes through the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def proper(df: DataFrame) -> DataFrame:
     return df.where("key is not null and t0 < t1")
 

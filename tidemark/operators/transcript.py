@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.text import norm
-from tidemark.operators.intervals import islands, overlapping, subtract
+from tidemark.operators.intervals import islands, overlapping, shuffled, subtract
 from tidemark.operators.sequences import walked
 
 
@@ -164,7 +164,7 @@ def shown_words(words: DataFrame) -> DataFrame:
 
 def _sounding(frames: DataFrame) -> DataFrame:
     """(key, t0, t1): runs of sounding frames, in frames."""
-    return islands(frames.select("key", F.col("i").alias("t0"), (F.col("i") + 1).alias("t1")))
+    return shuffled(islands(frames.select("key", F.col("i").alias("t0"), (F.col("i") + 1).alias("t1"))))
 
 
 def _in_frames(spans: DataFrame, hop: int, whole: bool) -> DataFrame:
@@ -196,7 +196,7 @@ def audible_edges(spans: DataFrame, frames: DataFrame, hop: int) -> DataFrame:
     """(key, n, first, last): start of a span's first sounding frame and end of its last one; null where none sounds."""
     pairs = overlapping(_in_frames(spans, hop, True), _sounding(frames), 512)
     edges = pairs.groupBy("key", "n").agg((F.min(F.greatest("t0", "b_t0")) * hop).alias("first"), (F.max(F.least("t1", "b_t1")) * hop).alias("last"))
-    return spans.select("key", "n").join(edges, ["key", "n"], "left")
+    return spans.select("key", "n").join(shuffled(edges), ["key", "n"], "left")
 
 
 def destretched(words: DataFrame, frames: DataFrame, hop: int, pad: int, least_move: int, least: int) -> DataFrame:
