@@ -6,7 +6,9 @@ from tests.conftest import TINY
 from tidemark.plans import catalog
 
 #: Queries whose tables are all words, frames or candidates.
-EXPLODED = ("audible_edges",)
+EXPLODED = (
+    "audible_edges", "audible_loss",
+)
 
 
 @pytest.mark.parametrize("name", EXPLODED)

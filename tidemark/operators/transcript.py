@@ -186,9 +186,9 @@ def audible_loss(spans: DataFrame, frames: DataFrame, cuts: DataFrame, hop: int,
     fewer than ``least`` frames sound."""
     heard = overlapping(_in_frames(spans, hop, True), _sounding(frames), 512).select("key", "n", F.greatest("t0", "b_t0").alias("t0"), F.least("t1", "b_t1").alias("t1"))
     gone = islands(cuts.select("key", F.floor(F.col("t0") / hop).cast("long").alias("t0"), F.floor(F.col("t1") / hop).cast("long").alias("t1")))
-    lost = overlapping(heard, gone, 512).groupBy("key", "n").agg(F.sum(F.least("t1", "b_t1") - F.greatest("t0", "b_t0")).alias("_lost"))
+    lost = overlapping(heard, shuffled(gone), 512).groupBy("key", "n").agg(F.sum(F.least("t1", "b_t1") - F.greatest("t0", "b_t0")).alias("_lost"))
     all_ = heard.groupBy("key", "n").agg(F.sum(F.col("t1") - F.col("t0")).alias("_all"))
-    rows = spans.select("key", "n").join(all_, ["key", "n"], "left").join(lost, ["key", "n"], "left")
+    rows = spans.select("key", "n").join(shuffled(all_), ["key", "n"], "left").join(shuffled(lost), ["key", "n"], "left")
     return rows.select("key", "n", F.when(F.col("_all") >= least, F.floor(1000 * F.coalesce("_lost", F.lit(0)) / F.col("_all"))).cast("long").alias("loss"))
 
 
