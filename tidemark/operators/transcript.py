@@ -203,7 +203,7 @@ def destretched(words: DataFrame, frames: DataFrame, hop: int, pad: int, least_m
     """(key, n, t0, t1): words that start in silence start ``pad`` before their first sounding frame, at most ``least``
     before their end; moves under ``least_move`` and words without sound are left alone."""
     edges = audible_edges(words, frames, hop).select("key", "n", "first")
-    rows = words.select("key", "n", "t0", "t1").join(edges, ["key", "n"])
+    rows = words.select("key", "n", "t0", "t1").join(shuffled(edges), ["key", "n"])
     start = F.least(F.greatest("t0", F.col("first") - pad), F.col("t1") - least)
     late = F.floor(F.col("first") / hop) > F.floor(F.col("t0") / hop)
     return rows.select("key", "n", F.when(late & (start - F.col("t0") >= least_move), start).otherwise(F.col("t0")).alias("t0"), "t1")
