@@ -7,7 +7,7 @@ from tidemark.plans import catalog
 
 #: Queries whose tables are all words, frames or candidates.
 EXPLODED = (
-    "audible_edges", "audible_loss", "destretched",
+    "audible_edges", "audible_loss", "destretched", "sounding_share",
 )
 
 

@@ -178,7 +178,7 @@ def sounding_share(spans: DataFrame, frames: DataFrame, hop: int) -> DataFrame:
     inside = _in_frames(spans, hop, False)
     pairs = overlapping(inside, _sounding(frames), 512).groupBy("key", "n").agg(F.sum(F.least("t1", "b_t1") - F.greatest("t0", "b_t0")).alias("_on"))
     share = F.floor(1000 * F.coalesce("_on", F.lit(0)) / (F.col("t1") - F.col("t0"))).cast("long")
-    return inside.join(pairs, ["key", "n"], "left").select("key", "n", share.alias("share"))
+    return inside.join(shuffled(pairs), ["key", "n"], "left").select("key", "n", share.alias("share"))
 
 
 def audible_loss(spans: DataFrame, frames: DataFrame, cuts: DataFrame, hop: int, least: int = 3) -> DataFrame:
