@@ -7,7 +7,7 @@ from tidemark.plans import catalog
 
 #: Queries whose tables are all words, frames or candidates.
 EXPLODED = (
-    "audible_edges", "audible_loss", "destretched", "sounding_share", "edge_frames", "word_threshold", "repeat_cut_edges", "retake_pairs", "repeat_candidates", "repeats_detected",
+    "audible_edges", "audible_loss", "destretched", "sounding_share", "edge_frames", "word_threshold", "repeat_cut_edges", "retake_pairs", "repeat_candidates", "repeats_detected", "repeat_chain",
 )
 
 
