@@ -15,3 +15,9 @@ EXPLODED = (
 def test_exploded_rows_are_not_broadcast(spark, name):
     plan = catalog.QUERIES[name](spark, TINY)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_glossary_windows_are_not_broadcast(spark):
+    """Only the terms are, which are few."""
+    plan = catalog.QUERIES["glossary_fixes"](spark, TINY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 1

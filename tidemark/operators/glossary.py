@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.text import norm
 from tidemark.operators import rank
+from tidemark.operators.intervals import shuffled
 
 TRAIL = "[,.?!;:]+$"
 
@@ -100,7 +101,7 @@ def glossary_matches(words: DataFrame, terms: DataFrame, pairs: tuple, weak: tup
     found = found.withColumn("score", score)
     good = F.when(F.col("size") == 1, ~nothing & (F.col("score") >= F.when(F.col("score") == 1.0, 1.0).otherwise(alone)))
     good = good.otherwise((F.col("score") >= least) & (F.col("score") >= F.col("_r.single") + 0.02))
-    return wide.join(found.where(good).select("forms", "sounds", "term", "place", "score"), ["forms", "sounds"]).select("key", "n", "size", "term", "place", "score")
+    return wide.join(shuffled(found.where(good).select("forms", "sounds", "term", "place", "score")), ["forms", "sounds"]).select("key", "n", "size", "term", "place", "score")
 
 
 def glossary_fixes(words: DataFrame, terms: DataFrame, pairs: tuple = (), weak: tuple[str, ...] = (), fillers: tuple[str, ...] = (), least: float = 0.75, alone: float = 0.8) -> DataFrame:
@@ -115,6 +116,6 @@ def glossary_fixes(words: DataFrame, terms: DataFrame, pairs: tuple = (), weak:
     kept = rank.first_list_wins(spans).select("key", F.col("i").alias("n"), F.col("n").alias("size"), "id.term")
     line = Window.partitionBy("key").orderBy("n")
     near = words.select("key", "n", F.collect_list(F.trim("text")).over(line.rowsBetween(0, 2)).alias("_w"))
-    out = kept.join(near, ["key", "n"]).withColumn("_w", F.slice("_w", F.lit(1), F.col("size"))).withColumn("old", F.array_join("_w", " "))
+    out = kept.join(shuffled(near), ["key", "n"]).withColumn("_w", F.slice("_w", F.lit(1), F.col("size"))).withColumn("old", F.array_join("_w", " "))
     tail = F.regexp_extract(F.element_at("_w", -1), TRAIL, 0)
     return out.where(F.regexp_replace("old", TRAIL, "") != F.col("term")).select("key", "n", "size", F.concat("term", tail).alias("text"), "old")
