@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,26 @@ def line():
     return Window.partitionBy("key").orderBy("i")
 
 
+def sounding_runs(df: DataFrame) -> DataFrame:
+    """(key, t0, t1): runs of the frames (key, i), each given once or more, end exclusive; a run is cut where 64 frames end.
+
+    Frames are packed into the bits of a number for each 64, before and after one shuffle; the runs are then read off the bits of many
+    numbers at a time.
+    """
+    bit = F.expr("shiftleft(1L, cast(pmod(i, 64) as int))")
+    packed = df.where("key is not null and i is not null").groupBy("key", F.floor(F.col("i") / 64).cast("long").alias("b")).agg(F.bit_or(bit).alias("m"))
+
+    def read(batches):
+        for batch in batches:
+            bits = np.unpackbits(batch["m"].to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8)
+            edge = np.diff(bits, axis=1, prepend=np.int8(0), append=np.int8(0))
+            row, start = np.nonzero(edge > 0)
+            at = batch["b"].to_numpy()[row] * 64
+            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(row)), pa.array(at + start), pa.array(at + np.nonzero(edge < 0)[1])], names=["key", "t0", "t1"])
+
+    return packed.mapInArrow(read, f"key {df.schema['key'].dataType.simpleString()}, t0 long, t1 long")
+
+
 def runs(df: DataFrame, on: Column, max_gap: int = 0, least: int = 1) -> DataFrame:
     """(key, i0, i1): runs of frames where ``on`` holds, end exclusive; gaps of up to ``max_gap`` frames are bridged."""
     hits = df.where(on).select("key", "i")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.text import norm
 from tidemark.operators.intervals import islands, overlapping, shuffled, subtract
 from tidemark.operators.sequences import walked
+from tidemark.operators.series import sounding_runs
 
 
 def line():
@@ -164,7 +165,7 @@ def shown_words(words: DataFrame) -> DataFrame:
 
 def _sounding(frames: DataFrame) -> DataFrame:
     """(key, t0, t1): runs of sounding frames, in frames."""
-    return shuffled(islands(frames.select("key", F.col("i").alias("t0"), (F.col("i") + 1).alias("t1"))))
+    return shuffled(islands(sounding_runs(frames)))
 
 
 def _in_frames(spans: DataFrame, hop: int, whole: bool) -> DataFrame:
@@ -213,7 +214,7 @@ def uncovered_sound(frames: DataFrame, words: DataFrame, hop: int, bridge: int,
     """(key, t0, t1, voiced): in frames, sound no word covers, gaps under ``bridge`` closed, spans of ``least`` and
     ``voiced`` sounding frames at least; the first ``most`` of a key."""
     covered = _in_frames(words, hop, True)
-    rest = subtract(frames.select("key", F.col("i").alias("t0"), (F.col("i") + 1).alias("t1")), covered, 512)
+    rest = subtract(sounding_runs(frames), shuffled(covered), 512)
     order = Window.partitionBy("key").orderBy("t0")
     new = F.coalesce(F.col("t0") - F.lag("t1").over(order) >= bridge, F.lit(True)).cast("int")
     runs = rest.withColumn("_new", new).withColumn("_r", F.sum("_new").over(order))
