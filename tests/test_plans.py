@@ -1,8 +1,12 @@
 """How the queries over exploded words and frames are planned: Spark guesses such tables too small, so none may be broadcast."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import TINY
+from tidemark.operators import clips as cl
 from tidemark.plans import catalog
 
 #: Queries whose tables are all words, frames or candidates.
@@ -21,3 +25,31 @@ def test_glossary_windows_are_not_broadcast(spark):
     """Only the terms are, which are few."""
     plan = catalog.QUERIES["glossary_fixes"](spark, TINY)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 1
+
+
+CLIPS = "key string, id long, track long, media string, t0 long, t1 long, src_in long, src_out long, speed long"
+
+
+def test_words_of_tracks(spark):
+    """Counts as by making every pair: twins, reversed clips, speeds, words that share times, repeated and missing idx."""
+    dice = random.Random(3)
+    clips, words = [], []
+    for n in range(300):
+        a, b = dice.randrange(0, 60), dice.randrange(0, 60)
+        clips.append((dice.choice("pqrst"), n, dice.randrange(1, 5), dice.choice(["m1", "m2", "m3", None]), dice.randrange(0, 4) * 10, 100, a, b, dice.choice([None, 0, 1, 2])))
+    for n in range(200):
+        s0 = dice.randrange(0, 60)
+        words.append((dice.choice(["m1", "m2", "m4", None]), dice.choice([None, n // 2, n, n]), s0, s0 + dice.randrange(0, 6)))
+    clips, words = spark.createDataFrame(clips, CLIPS), spark.createDataFrame(words, "media string, idx long, s0 long, s1 long")
+    pairs = cl.words_on_timeline(words, clips, 1).join(clips.select(F.col("id").alias("clip"), "track"), "clip")
+    want = {tuple(r) for r in pairs.groupBy("key", "track").count().collect()}
+    assert {tuple(r) for r in cl.words_of_tracks(words, clips).collect()} == want and len(want) > 10
+
+
+def test_voice_track_counts_without_pairs(spark):
+    """A recording of 3,000 words in 3,000 sequences: nine million pairs, which no join of the plan makes."""
+    clips = spark.range(3000).select(F.col("id").cast("string").alias("key"), "id", F.lit(1).cast("long").alias("track"), F.lit("m").alias("media"), F.lit(0).alias("t0"), F.lit(9000).alias("t1"), F.lit(0).alias("src_in"), F.lit(9000).alias("src_out"), F.lit(1).alias("speed"))
+    words = spark.range(3000).select(F.lit("m").alias("media"), F.col("id").alias("idx"), F.col("id").alias("s0"), (F.col("id") + 1).alias("s1"))
+    counts = cl.words_of_tracks(words, clips)
+    assert {(r.track, r.n) for r in counts.collect()} == {(1, 3000)} and counts.count() == 3000
+    assert cl.voice_track(counts, clips).where("role = 'voice'").count() == 3000
