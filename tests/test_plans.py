@@ -1,6 +1,8 @@
 """How the queries over exploded words and frames are planned: Spark guesses such tables too small, so none may be broadcast."""
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +55,28 @@ def test_voice_track_counts_without_pairs(spark):
     counts = cl.words_of_tracks(words, clips)
     assert {(r.track, r.n) for r in counts.collect()} == {(1, 3000)} and counts.count() == 3000
     assert cl.voice_track(counts, clips).where("role = 'voice'").count() == 3000
+
+
+def test_overlay_by_blocks(spark):
+    """As frame by frame, with odd speeds and places over the edges of blocks; no frame of the grid is shuffled alone."""
+    dice = random.Random(5)
+    speeds = (0.0, 0.3, 0.5, 1.0, 1.7, 2.0, 40.0, -1.0, -0.7, None)
+    clips = [(dice.choice("ab"), dice.choice(["m1", "m2", "m3"]), t := dice.randrange(-300, 500), t + dice.randrange(-5, 700), dice.randrange(-400, 600), dice.choice(speeds)) for _ in range(120)]
+    levels = {(m, i): dice.randrange(-80, 0) for m in ("m1", "m2") for i in range(-700, 1500) if dice.random() < 0.03}
+    lengths = {"a": 700, "b": 256, "c": 3, "d": 0}
+    want = {(k, i): -90 for k, n in lengths.items() for i in range(n)}
+    for key, media, t0, t1, src, speed in clips:
+        for i in range(t0, t1) if speed is not None else ():
+            v = levels.get((media, src + math.floor((i - t0) * speed)))
+            if v is not None and (key, i) in want:
+                want[key, i] = max(want[key, i], v)
+    df = cl.overlay(
+        spark.createDataFrame(clips, "key string, media string, t0 long, t1 long, src_in long, speed double"),
+        spark.createDataFrame([(*k, v) for k, v in levels.items()], "media string, i long, v long"), spark.createDataFrame(list(lengths.items()), "key string, n long"), -90,
+    )
+    rows = df.collect()
+    got = {(r.key, r.i): r.v for r in rows}
+    assert not [(k, v, want[k]) for k, v in got.items() if v != want[k]][:5]
+    assert len(rows) == len(want) and got == want and len(set(want.values())) > 10
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"hashpartitioning\(key#\w+, i#", plan))) == 1
