@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import TINY
 from tidemark.operators import clips as cl
+from tidemark.operators import tokens as tk
 from tidemark.plans import catalog
 
 #: Queries whose tables are all words, frames or candidates.
@@ -80,3 +81,11 @@ def test_overlay_by_blocks(spark):
     assert len(rows) == len(want) and got == want and len(set(want.values())) > 10
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert len(set(re.findall(r"hashpartitioning\(key#\w+, i#", plan))) == 1
+
+
+def test_neighbouring_blocks_take_one_shuffle(spark):
+    rows = [("a", p, w) for p, w in enumerate("x y x y z w x".split())] + [("a", 8, "x"), ("b", 0, "x"), (None, 0, "x"), ("c", 0, None), ("c", 2, None), ("c", 3, "x")]
+    out = tk.neighbour_overlap(spark.createDataFrame(rows, "key string, pos int, token string"), 2)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = {(r.key, r.b): (r.dot, r.q, r.q2, r.cosine) for r in out.collect()}
+    assert got == {("a", 0): (2, 2, 2, 1000), ("a", 1): (0, 2, 2, 0), ("a", 2): (0, 2, 1, 0), ("a", 3): (1, 1, 1, 1000), ("c", 0): (0, 1, 2, 0)}

@@ -99,11 +99,15 @@ def document_frequency(df: DataFrame) -> DataFrame:
 
 
 def neighbour_overlap(df: DataFrame, block: int) -> DataFrame:
-    """Between each block of words and the next: the dot product and norms of their bags, and their cosine in thousandths."""
-    bag = df.groupBy("key", F.floor(F.col("pos") / block).alias("b"), "token").agg(F.count(F.lit(1)).alias("n"))
-    norm = bag.groupBy("key", "b").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
-    other = bag.select("key", (F.col("b") - 1).alias("b"), "token", F.col("n").alias("n2"))
-    dot = bag.join(other, ["key", "b", "token"]).groupBy("key", "b").agg(F.sum(F.col("n") * F.col("n2")).alias("dot"))
-    pair = norm.join(norm.select("key", (F.col("b") - 1).alias("b"), F.col("q").alias("q2")), ["key", "b"])
-    both = pair.join(dot, ["key", "b"], "left").select("key", "b", F.coalesce("dot", F.lit(0)).alias("dot"), "q", "q2")
+    """Between each block of words and the next: the dot product and norms of their bags, and their cosine in thousandths.
+
+    One shuffle, by key: a word's counts in neighbouring blocks meet in a window.
+    """
+    at = F.floor(F.col("pos") / block)
+    bag = df.where("key is not null and pos is not null").select("key", at.alias("b"), "token").repartition("key").groupBy("key", "b", "token").agg(F.count(F.lit(1)).alias("n"))
+    same, blocks = Window.partitionBy("key", "token").orderBy("b"), Window.partitionBy("key").orderBy("b")
+    following = lambda c, over: F.when(F.lead("b").over(over) == F.col("b") + 1, F.lead(c).over(over))
+    shared = bag.withColumn("n2", F.when(F.col("token").isNotNull(), following("n", same)))
+    sums = shared.groupBy("key", "b").agg(F.coalesce(F.sum(F.col("n") * F.col("n2")), F.lit(0)).alias("dot"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    both = sums.withColumn("q2", following("q", blocks)).where("q2 is not null")
     return both.withColumn("cosine", F.floor(1000 * F.col("dot") / F.sqrt(F.col("q").cast("double") * F.col("q2")) + 1e-6).cast("long"))
