@@ -89,3 +89,10 @@ def test_neighbouring_blocks_take_one_shuffle(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     got = {(r.key, r.b): (r.dot, r.q, r.q2, r.cosine) for r in out.collect()}
     assert got == {("a", 0): (2, 2, 2, 1000), ("a", 1): (0, 2, 2, 0), ("a", 2): (0, 2, 1, 0), ("a", 3): (1, 1, 1, 1000), ("c", 0): (0, 1, 2, 0)}
+
+
+def test_lexicon_comes_before_the_shuffle(spark):
+    """The words are joined to the lexicon below the join that leaves out what is taken."""
+    plan = catalog.QUERIES["prioritised_hits"](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+    joins = re.findall(r"Join (LeftAnti|LeftOuter|Inner, \(token)", plan)
+    assert "Inner, (token" in joins and joins[joins.index("Inner, (token") - 1] == "LeftOuter"
